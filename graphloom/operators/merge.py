@@ -202,20 +202,20 @@ def merge_stats(
 ) -> DataFrame:
     """One row: entities added and skipped, relations added, conflicts, projects."""
     entities, relations = _prepared(graph, strategy, projects, prefix)
-    totals = entities.groupBy(*_KEY).agg(F.count("*").alias("n")).agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count("*").alias("firsts")
-    )
-    if strategy == "overwrite":
-        fights = _conflicts(entities, strategy)
-    else:
-        fights = _later_conflicts(entities)
-    conflicts = fights.agg(F.count("*").alias("conflicts"))
-    edges = _merge_relations(relations, dedupe).agg(F.count("*").alias("relations_added"))
-    sources = entities.select("project").union(relations.select("project")).agg(
-        F.countDistinct("project").alias("source_projects")
+    fights = _conflicts(entities, strategy) if strategy == "overwrite" else _later_conflicts(entities)
+    kept = _merge_relations(relations, dedupe)
+    sources = entities.select("project").union(relations.select("project")).distinct()
+
+    def count_of(frame, metric):
+        return frame.agg(F.count("*").alias("n")).select(F.lit(metric).alias("metric"), "n")
+
+    counts = (
+        count_of(entities, "rows").unionByName(count_of(entities.select(*_KEY).distinct(), "firsts"))
+        .unionByName(count_of(fights, "conflicts")).unionByName(count_of(kept, "relations_added"))
+        .unionByName(count_of(sources, "source_projects"))
     )
-    # Four single rows.
-    row = totals.join(conflicts).join(edges).join(sources)
+    names = ["rows", "firsts", "conflicts", "relations_added", "source_projects"]
+    row = counts.agg(*[F.sum(F.when(F.col("metric") == m, F.col("n"))).alias(m) for m in names])
     same = F.col("rows") - F.col("firsts") - F.col("conflicts")
     if strategy == "skip":
         added, skipped = F.col("firsts"), same + F.col("conflicts")
