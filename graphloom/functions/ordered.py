@@ -42,12 +42,13 @@ def last_known(
     summary = df.groupBy(*keys, *blocks).agg(
         F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("_state")
     )
-    carried = last_known(summary, keys, block, "_state", "_carried", coarser, inclusive=False)
-    carried = carried.where("_carried is not null").select(*keys, block, "_carried")
+    carry = f"_carry{len(blocks)}"
+    carried = last_known(summary, keys, block, "_state", carry, coarser, inclusive=False)
+    carried = carried.where(F.col(carry).isNotNull()).select(*keys, block, carry)
     return (
         inside.join(carried, [*keys, block], "left")
-        .withColumn(into, F.coalesce(into, "_carried"))
-        .drop("_carried")
+        .withColumn(into, F.coalesce(into, carry))
+        .drop(carry)
     )
 
 

@@ -14,7 +14,7 @@ def parse_repo_url(url: Column) -> Column:
 
     Takes ``git@github.com:o/r.git``, ``https://github.com/o/r`` and ``o/r``.
     """
-    text = F.rtrim(F.lit("/"), F.trim(url))
+    text = F.rtrim(F.trim(url), F.lit("/"))
     ssh = F.split(F.replace(F.replace(text, F.lit(SSH_PREFIX), F.lit("")), F.lit(".git"), F.lit("")), "/")
     web = F.split(F.substring_index(text, HOST + "/", -1), "/")
     short = F.split(text, "/")

@@ -60,10 +60,6 @@ def _layer(files: DataFrame, folder: str, backend: str) -> DataFrame:
     return files.where(F.col("path").rlike(rf"(?:^|/)\Q{backend}\E/app/\Q{folder}\E/[^/]+\.py$"))
 
 
-def _around(before: str, name: Column, after: str) -> Column:
-    return F.concat(F.lit(before), name, F.lit(after))
-
-
 def backend_routes(files: DataFrame, backend: str = "backend") -> DataFrame:
     """Routes with handler, docstring, last typed parameter, the file's dependencies, and the
     handler's service calls."""
@@ -81,14 +77,14 @@ def backend_routes(files: DataFrame, backend: str = "backend") -> DataFrame:
     found = F.concat(*[routes(i, p) for i, p in enumerate(ROUTES)])
     rows = _layer(files, "api", backend).select("project", "path", "content", F.explode(found).alias("r"))
     handler = F.col("r.handler")
-    text = F.regexp_extract(content, _around(r"(?sU)async\s+def\s+", handler, r'.*?"""(.*?)"""'), F.lit(1))
-    body_type = F.regexp_extract(
-        content, _around(r"(?U)async\s+def\s+", handler, r"\s*\([^)]*(\w+):\s*(\w+)"), F.lit(2)
-    )
-    body = F.regexp_extract(
-        content,
-        _around(r"(?sU)async\s+def\s+", handler, r"\s*\([^)]*\)(.*?)(?=\n@|\ndef\s|\nclass\s|\z)"), F.lit(1),
-    )
+
+    def of_handler(before: str, after: str, group: int) -> Column:
+        pattern = F.concat(F.lit(before), handler, F.lit(after))
+        return F.call_function("regexp_extract", content, pattern, F.lit(group))
+
+    text = of_handler(r"(?sU)async\s+def\s+", r'.*?"""(.*?)"""', 1)
+    body_type = of_handler(r"(?U)async\s+def\s+", r"\s*\([^)]*(\w+):\s*(\w+)", 2)
+    body = of_handler(r"(?sU)async\s+def\s+", r"\s*\([^)]*\)(.*?)(?=\n@|\ndef\s|\nclass\s|\z)", 1)
     return rows.select(
         "project", "r.method", "r.route", "r.handler", F.col("path").alias("file_path"),
         strip(text).alias("description"), blank_to_null(body_type).alias("request_body"),

@@ -141,7 +141,7 @@ def debounce(events: DataFrame, keys: Sequence[str], seconds: float = DEBOUNCE_S
     width = gap * BLOCK_GAPS
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     rows = events.withColumns({"_us": us, "_block": F.floor(us / width)})
-    keyed = [*keys, "_block"]
+    keyed, columns = [*keys, "_block"], events.columns
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     key_schema = ", ".join(f"`{k}` {types[k]}" for k in keys)
 
@@ -176,7 +176,7 @@ def debounce(events: DataFrame, keys: Sequence[str], seconds: float = DEBOUNCE_S
         frame = frame.sort_values("_us", kind="stable")
         start = frame["_start"].iloc[0]
         kept = _keep(frame["_us"].to_numpy(), gap, int(start) - gap)
-        return frame.loc[kept, events.columns]
+        return frame.loc[kept, columns]
 
     tables = rows.select(*keyed, "_us").groupBy(*keyed).applyInPandas(
         exits, f"{key_schema}, _block bigint, _first bigint, _last bigint"
