@@ -6,19 +6,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-GRAM = 8
+GRAMS = (1, 2, 4, 8)
 PHRASE = 3
 _WORD = "[a-z0-9_]+"
 
 
-def _grams(text: Column, n: Column) -> Column:
-    starts = F.length(text) - n + 1
-    return F.when(
-        starts >= 1,
-        F.array_distinct(
-            F.transform(F.sequence(F.lit(1), starts), lambda i: F.substring(text, i, n))
-        ),
-    ).otherwise(F.array().cast("array<string>"))
+def _grams(text: Column, n: Column | int, symbol: str = ".") -> Column:
+    """Distinct runs of n symbols starting anywhere in the text, in one linear scan."""
+    n = n if isinstance(n, Column) else F.lit(n)
+    pattern = F.concat(F.lit(f"(?s)(?=({symbol}{{"), n.cast("string"), F.lit("}))"))
+    return F.array_distinct(F.regexp_extract_all(text, pattern, F.lit(1)))
 
 
 def substring_join(
@@ -31,20 +28,22 @@ def substring_join(
 ) -> DataFrame:
     """Pairs (text row, needle row) where the needle occurs in the text.
 
-    Each needle is looked up by its first GRAM characters among the grams of the
-    texts, so the join is on equality; longer needles are then checked in full.
+    Each needle is looked up by its first 1, 2, 4 or 8 characters, as many as it has,
+    among the grams of the texts, so the join is on equality; needles longer than
+    their key are then checked in full. Only lengths that occur are generated.
     ``on`` adds equality columns, ``text_id`` identifies a text row. Empty needles
     match nothing here. Needle columns must not clash with the text columns.
     """
+    sizes = F.array(*[F.lit(n) for n in GRAMS])
     keyed = (
         needles.where(F.length(needle) > 0)
-        .withColumn("_n", F.least(F.length(needle), F.lit(GRAM)))
+        .withColumn("_n", F.array_max(F.filter(sizes, lambda n: n <= F.length(needle))))
         .withColumn("_gram", F.substring(F.col(needle), F.lit(1), F.col("_n")))
     )
     lengths = keyed.select("_n").distinct()
     pieces = (
         texts.select(*text_id, *[c for c in on if c not in text_id], text)
-        .withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(GRAM))))
+        .withColumn("_n", F.explode(sizes))
         .join(lengths, "_n", "left_semi")
         .select(
             *text_id, *[c for c in on if c not in text_id], "_n",
@@ -55,7 +54,7 @@ def substring_join(
     keep = [c for c in texts.columns if c not in text_id and c not in on]
     whole = found.join(texts.select(*text_id, *keep), list(text_id))
     return whole.where(
-        (F.col("_n") < GRAM) | F.contains(F.col(text), F.col(needle))
+        (F.col("_n") == F.length(needle)) | F.contains(F.col(text), F.col(needle))
     ).drop("_n")
 
 
@@ -67,9 +66,8 @@ def _leading(name: Column) -> Column:
     ).otherwise(F.concat(F.lit("c:"), F.substring(name, 1, PHRASE)))
 
 
-def _phrases(text: Column) -> Column:
-    """Every key that a name standing in the text can have."""
-    words = F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
+def _phrases(text: Column, words: Column) -> Column:
+    """Every key that a name standing in the text can have; ``words`` are the text's words."""
 
     def runs_of(n: int) -> Column:
         return F.when(
@@ -83,11 +81,7 @@ def _phrases(text: Column) -> Column:
     runs = [runs_of(n) for n in range(1, PHRASE + 1)]
     # A name without words holds no word character, so neither do its grams.
     grams = [
-        F.transform(
-            F.filter(_grams(text, F.lit(n)), lambda g: ~g.rlike("[a-z0-9_]")),
-            lambda g: F.concat(F.lit("c:"), g),
-        )
-        for n in (2, PHRASE)
+        F.transform(_grams(text, n, "[^a-z0-9_]"), lambda g: F.concat(F.lit("c:"), g)) for n in (2, PHRASE)
     ]
     return F.array_distinct(F.concat(*runs, *grams))
 
@@ -110,7 +104,9 @@ def phrase_join(
     """
     keyed = names.withColumn("_key", _leading(F.col(name)))
     extra = [c for c in on if c not in text_id]
-    pieces = texts.select(*text_id, *extra, F.explode(_phrases(F.col(text))).alias("_key"))
+    # The words are a column of their own: inside the lambdas they would be split anew each time.
+    split = texts.withColumn("_words", F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)))
+    pieces = split.select(*text_id, *extra, F.explode(_phrases(F.col(text), F.col("_words"))).alias("_key"))
     pair = pieces.join(keyed, ["_key", *on]).drop("_key", *extra)
     pair = pair.join(texts, list(text_id))
     # Matching is literal, so regex metacharacters of a name cannot interfere.

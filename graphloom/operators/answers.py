@@ -14,6 +14,7 @@ from graphloom.functions.ordered import top_per
 from graphloom.graph import Graph
 from graphloom.operators.lookup import find_dependencies, find_related, search_keywords
 from graphloom.schema import QUESTION_KEYWORDS, order_key
+from graphloom.session import cut
 
 _ID = ["project", "question_id"]
 
@@ -85,7 +86,8 @@ def _names_of(linked: DataFrame) -> DataFrame:
 def answer_what_is(routed: DataFrame, graph: Graph) -> DataFrame:
     """Type, description and the first related names of the entity asked about."""
     asked = routed.where("intent = 'what_is'").select(*_ID, "intent", "question")
-    linked = asked.join(link_entities(asked, graph), _ID)
+    # Read by every part of the answer, so computed once; the same below.
+    linked = cut(asked.join(link_entities(asked, graph), _ID))
     related = find_related(graph, _names_of(linked)).select("project", F.col("asked").alias("name"), "entity", "ord")
     few = top_per(related, ["project", "name"], ["ord"], RELATED_SHOWN)
     shown = few.groupBy("project", "name").agg(
@@ -105,7 +107,7 @@ def answer_what_is(routed: DataFrame, graph: Graph) -> DataFrame:
 def answer_dependencies(routed: DataFrame, graph: Graph) -> DataFrame:
     """Dependencies of the entity asked about, one line each."""
     asked = routed.where("intent = 'dependencies'").select(*_ID, "intent", "question")
-    linked = asked.join(link_entities(asked, graph), _ID)
+    linked = cut(asked.join(link_entities(asked, graph), _ID))
     needs = find_dependencies(graph, _names_of(linked)).select(
         "project", F.col("asked").alias("name"), "entity", "ord"
     )
@@ -140,9 +142,9 @@ def answer_general(routed: DataFrame, graph: Graph) -> DataFrame:
     """First entities that mention the whole question."""
     asked = routed.where("intent = 'general'").select(*_ID, "intent", "question")
     hits = search_keywords(graph, asked.select("project", F.col("question").alias("keyword")))
-    few = top_per(hits, ["project", "keyword"], ["ord"], HITS_SHOWN).select(
+    few = cut(top_per(hits, ["project", "keyword"], ["ord"], HITS_SHOWN).select(
         "project", F.col("keyword").alias("question"), "name", "type", "source_file", "ord"
-    )
+    ))
     known = few.select("project", "question").distinct()
     line = F.concat(
         F.format_string("  - %s (%s)", "name", "type"),

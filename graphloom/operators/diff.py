@@ -11,9 +11,14 @@ from pyspark.sql import DataFrame, functions as F
 from graphloom.graph import Graph
 from graphloom.operators.dedupe import keep_one
 from graphloom.schema import order_key
+from graphloom.session import cut
 
 _ENTITY_KEY = ["project", "name", "type"]
 _RELATION_KEY = ["project", "source", "target", "type"]
+STATS = [
+    "old_entity_count", "new_entity_count", "old_relation_count", "new_relation_count",
+    "entities_added", "entities_deleted", "entities_modified", "relations_added", "relations_deleted",
+]
 
 
 def _last(frame: DataFrame, keys: list[str]) -> DataFrame:
@@ -63,32 +68,33 @@ def diff_relations(old: Graph, new: Graph) -> DataFrame:
 
 def diff_stats(old: Graph, new: Graph) -> DataFrame:
     """Change counts, and raw sizes before duplicates are dropped, per project."""
-    def sizes(frame, name):
-        return frame.groupBy("project").agg(F.count("*").alias(name))
+    return _stats(old, new, diff_entities(old, new), diff_relations(old, new))
 
-    def changes(frame, prefix, kinds):
-        return frame.groupBy("project").agg(
-            *[F.count(F.when(F.col("change_type") == k, 1)).alias(f"{prefix}_{k}") for k in kinds]
-        )
 
-    parts = [
-        sizes(old.entities, "old_entity_count"), sizes(new.entities, "new_entity_count"),
-        sizes(old.relations, "old_relation_count"), sizes(new.relations, "new_relation_count"),
-        changes(diff_entities(old, new), "entities", ["added", "deleted", "modified"]),
-        changes(diff_relations(old, new), "relations", ["added", "deleted"]),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.join(part, "project", "full_outer")
-    return out.na.fill(0)
+def _stats(old: Graph, new: Graph, entities: DataFrame, relations: DataFrame) -> DataFrame:
+    def counted(frame, metric):
+        return frame.groupBy("project").agg(F.count("*").alias("n")).withColumn("metric", metric)
+
+    def changes(frame, prefix):
+        counts = frame.groupBy("project", "change_type").agg(F.count("*").alias("n"))
+        return counts.select("project", "n", F.concat(F.lit(prefix), "change_type").alias("metric"))
+
+    rows = changes(entities, "entities_").unionByName(changes(relations, "relations_"))
+    for side, graph in (("old", old), ("new", new)):
+        rows = rows.unionByName(counted(graph.entities, F.lit(f"{side}_entity_count")))
+        rows = rows.unionByName(counted(graph.relations, F.lit(f"{side}_relation_count")))
+    return rows.groupBy("project").pivot("metric", STATS).agg(F.sum("n")).na.fill(0)
 
 
 def diff_report(old: Graph, new: Graph) -> DataFrame:
     """The differences as line rows (project, section, ord, line)."""
+    # Many sections read the changes, so they are computed once.
+    entities, relations = cut(diff_entities(old, new)), cut(diff_relations(old, new))
+
     def empty(col):
         return F.when(F.coalesce(F.col(col), F.lit("")) != "", F.col(col)).otherwise("(空)")
 
-    numbers = diff_stats(old, new)
+    numbers = _stats(old, new, entities, relations)
     head = F.array(
         F.lit("📊 图谱对比摘要"), F.lit("=" * 40),
         F.format_string("实体: %d → %d", "old_entity_count", "new_entity_count"),
@@ -116,7 +122,6 @@ def diff_report(old: Graph, new: Graph) -> DataFrame:
             "project", F.lit(section).alias("section"), ord_.alias("ord"), "line"
         )
 
-    entities, relations = diff_entities(old, new), diff_relations(old, new)
     added = entities.where("change_type = 'added'")
     deleted = entities.where("change_type = 'deleted'")
     modified = entities.where("change_type = 'modified'")

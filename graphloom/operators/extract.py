@@ -137,12 +137,13 @@ def heading_rule(content: Column, title: Column, stop_terms: Sequence[str]):
     # A section is a '#' line with what follows up to the next '#' line. A heading
     # with nothing under it borrows the text of the next section.
     sections = F.split(content, "\n(?=#)")
+    pairs = F.arrays_zip(sections.alias("own"), F.slice(sections, 2, 1 << 30).alias("next"))
     numbered = F.transform(
-        sections,
-        lambda s, i: F.struct(
-            i.alias("i"), s.alias("text"),
-            strip(F.substring(F.substring_index(s, "\n", 1), 4, 1 << 30)).alias("name"),
-            F.when(F.contains(s, F.lit("\n")), s).otherwise(F.get(sections, i + 1)).alias("body"),
+        pairs,
+        lambda p, i: F.struct(
+            i.alias("i"), p["own"].alias("text"),
+            strip(F.substring(F.substring_index(p["own"], "\n", 1), 4, 1 << 30)).alias("name"),
+            F.when(F.contains(p["own"], F.lit("\n")), p["own"]).otherwise(p["next"]).alias("body"),
         ),
     )
     kept = F.filter(

@@ -42,16 +42,15 @@ def parse_responses(responses: DataFrame, dedupe: bool = True) -> Graph:
             "r.entities", lambda e: e["type"].isin(RESPONSE_ENTITY_TYPES) & e["name"].isNotNull()
         ).alias("entities"),
         F.col("r.relations").alias("relations"),
-    )
-    names = F.transform("entities", lambda e: F.lower(e["name"]))
+    ).withColumn("names", F.transform("entities", lambda e: F.lower(e["name"])))
     found = parsed.select(
         "project", "path",
         "entities",
         F.filter(
             "relations",
             lambda r: r["type"].isin(RELATION_TYPES)
-            & F.array_contains(names, F.lower(r["source"]))
-            & F.array_contains(names, F.lower(r["target"])),
+            & F.array_contains("names", F.lower(r["source"]))
+            & F.array_contains("names", F.lower(r["target"])),
         ).alias("relations"),
     )
     ord_ = order_key(path=F.col("path"), pos=F.col("pos")).alias("ord")

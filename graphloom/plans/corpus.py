@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from graphloom.graph import Graph
 from graphloom.schema import order_key
-from graphloom.session import prepare
+from graphloom.session import prepare, spread
 from graphloom.sources.tree import as_files
 
 TABLES = [
@@ -257,7 +257,7 @@ class Corpus:
         out = frames[0]
         for frame in frames[1:]:
             out = out.unionByName(frame)
-        return as_files(out)
+        return as_files(spread(out))
 
     def names(self) -> DataFrame:
         """Every entity name, asked of its own project."""

@@ -42,3 +42,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise a frame in the checkpoint folder so that later reads agree on it."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a heavy per-row step all cores when its input comes in fewer splits.
+
+    Large inputs have more splits than cores and are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

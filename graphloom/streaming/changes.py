@@ -127,62 +127,100 @@ def debounce_stream(events: DataFrame, keys: Sequence[str], seconds: float = DEB
     )
 
 
+def _chunks(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, list]]:
+    """Sorted batches cut so that no run of equal keys is split, with the runs' bounds."""
+    rest = None
+    for frame in frames:
+        frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+        if frame.empty:
+            continue
+        runs = _runs(frame, keys)
+        start = runs[-1][0]
+        rest = frame.iloc[start:]
+        if len(runs) > 1:
+            yield frame.iloc[:start], runs[:-1]
+    if rest is not None:
+        yield rest, [(0, len(rest))]
+
+
+def _runs(frame: pd.DataFrame, keys: list[str]) -> list[tuple[int, int]]:
+    changed = np.zeros(len(frame), dtype=bool)
+    changed[0] = True
+    for key in keys:
+        values = frame[key].to_numpy()
+        changed[1:] |= values[1:] != values[:-1]
+    starts = np.flatnonzero(changed).tolist()
+    return list(zip(starts, [*starts[1:], len(frame)]))
+
+
 def debounce(events: DataFrame, keys: Sequence[str], seconds: float = DEBOUNCE_SECONDS) -> DataFrame:
     """The same for a table of (keys, ts) rows, exact and without one task per key.
 
     A key's time is cut into blocks of BLOCK_GAPS gaps. What a block keeps depends
     on the time kept before it only through the first event it can keep, and that
     lies within one gap of its start (or is the first one after). So each block
-    reports, for those few candidates, the last time it would keep; a fold over
-    these small tables finds where every block really starts; the blocks are then
-    resolved independently.
+    reports, for those few events, the last time it would keep, equal neighbours
+    merged; a scan over these small tables finds from when on every block may keep;
+    the blocks are then resolved independently. Keys must not be null.
     """
     gap = int(seconds * 1_000_000)
     width = gap * BLOCK_GAPS
+    keys, columns = list(keys), events.columns
+    keyed = [*keys, "_block"]
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     rows = events.withColumns({"_us": us, "_block": F.floor(us / width)})
-    keyed, columns = [*keys, "_block"], events.columns
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    key_schema = ", ".join(f"`{k}` {types[k]}" for k in keys)
-
-    def exits(key, frame: pd.DataFrame) -> pd.DataFrame:
-        ts = np.unique(frame["_us"].to_numpy())
-        following = np.searchsorted(ts, ts + gap)
-        last = ts.copy()
-        for i in range(len(ts) - 1, -1, -1):
-            if following[i] < len(ts):
-                last[i] = last[following[i]]
-        n = int(np.searchsorted(ts, key[-1] * width + gap)) + 1
-        out = pd.DataFrame({"_first": ts[:n], "_last": last[:n]})
-        for name, value in zip(keyed, key):
-            out[name] = value
-        return out[[*keyed, "_first", "_last"]]
-
-    def starts(key, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["_block", "_first"])
-        last, out = None, []
-        for block, part in frame.groupby("_block", sort=True):
-            first = part["_first"].to_numpy()
-            i = 0 if last is None else int(np.searchsorted(first, last + gap))
-            if i < len(first):
-                out.append((block, int(first[i])))
-                last = int(part["_last"].to_numpy()[i])
-        result = pd.DataFrame(out, columns=["_block", "_start"])
-        for name, value in zip(keys, key):
-            result[name] = value
-        return result[[*keys, "_block", "_start"]]
-
-    def resolve(key, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("_us", kind="stable")
-        start = frame["_start"].iloc[0]
-        kept = _keep(frame["_us"].to_numpy(), gap, int(start) - gap)
-        return frame.loc[kept, columns]
-
-    tables = rows.select(*keyed, "_us").groupBy(*keyed).applyInPandas(
-        exits, f"{key_schema}, _block bigint, _first bigint, _last bigint"
+    key_schema = ", ".join(f"`{k}` {types[k]}" for k in keyed)
+
+    def exits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame, runs in _chunks(frames, keyed):
+            times, blocks, parts = frame["_us"].to_numpy(), frame["_block"].to_numpy(), []
+            for start, end in runs:
+                ts = np.unique(times[start:end])
+                following = np.searchsorted(ts, ts + gap)
+                last = ts.copy()
+                for i in range(len(ts) - 1, -1, -1):
+                    if following[i] < len(ts):
+                        last[i] = last[following[i]]
+                n = int(np.searchsorted(ts, blocks[start] * width + gap)) + 1
+                first, last = ts[:n], last[:n]
+                run_end = np.append(last[1:] != last[:-1], True)
+                parts.append((np.full(int(run_end.sum()), start), first[run_end], last[run_end]))
+            rows_at, first, last = (np.concatenate(p) for p in zip(*parts))
+            yield frame[keyed].iloc[rows_at].assign(_first=first, _last=last)
+
+    def entries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, kept = None, None
+        for frame, runs in _chunks(frames, keyed):
+            firsts, lasts = frame["_first"].to_numpy(), frame["_last"].to_numpy()
+            blocks, owners = frame["_block"].to_numpy(), list(zip(*[frame[k] for k in keys]))
+            found = []
+            for start, end in runs:
+                if owners[start] != current:
+                    current, kept = owners[start], None
+                entry = int(blocks[start]) * width if kept is None else kept + gap
+                found.append((start, entry))
+                i = start + int(np.searchsorted(firsts[start:end], entry))
+                if i < end:
+                    kept = int(lasts[i])
+            rows_at, entry = zip(*found)
+            yield frame[keyed].iloc[list(rows_at)].assign(_entry=np.array(entry, dtype="int64"))
+
+    def resolve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame, runs in _chunks(frames, keyed):
+            times, entry = frame["_us"].to_numpy(), frame["_entry"].to_numpy()
+            kept = np.concatenate([_keep(times[s:e], gap, int(entry[s]) - gap) for s, e in runs])
+            yield frame.loc[kept, columns]
+
+    def sorted_by(frame, partition, *order):
+        return frame.repartition(*partition).sortWithinPartitions(*order)
+
+    tables = sorted_by(rows.select(*keyed, "_us"), keyed, *keyed, "_us").mapInPandas(
+        exits, f"{key_schema}, _first bigint, _last bigint"
     )
-    found = tables.groupBy(*keys).applyInPandas(starts, f"{key_schema}, _block bigint, _start bigint")
-    return rows.join(found, keyed).groupBy(*keyed).applyInPandas(resolve, events.schema)
+    found = sorted_by(tables, keys, *keyed, "_first").mapInPandas(entries, f"{key_schema}, _entry bigint")
+    joined = sorted_by(rows.join(found, keyed), keyed, *keyed, "_us")
+    return joined.mapInPandas(resolve, events.schema)
 
 
 def watch_and_update(
