@@ -5,7 +5,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, SparkSession, functions as F, types as T
 
 MATCH = "struct<score:double,match_type:string,start:int,end:int>"
@@ -26,11 +26,11 @@ def similarity(text: pd.Series, query: pd.Series) -> pd.Series:
 
 
 def valid_pattern(spark: SparkSession, pattern: str) -> bool:
-    """Whether the JVM accepts the pattern; a bad one must not fail the whole job."""
+    """Whether Spark accepts the pattern; a bad one must not fail the whole job."""
     try:
-        spark._jvm.java.util.regex.Pattern.compile(pattern)
+        spark.range(1).select(F.regexp_like(F.lit(""), F.lit(pattern))).collect()
         return True
-    except Py4JJavaError:
+    except PySparkException:
         return False
 
 

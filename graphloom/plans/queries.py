@@ -17,6 +17,7 @@ from graphloom.plans.corpus import PROSE_LEXICON, Corpus, with_views
 from graphloom.schema import (
     COMMAND_PREFIXES, ENTITY_TYPES, LEXICON, QUESTION_KEYWORDS, RELATION_TYPES, RESPONSE_ENTITY_TYPES,
 )
+from graphloom.session import cut
 from graphloom.sinks import lines as line_sinks
 from graphloom.sinks import tables as table_sinks
 from graphloom.sources.tree import parse_documents
@@ -1017,6 +1018,15 @@ def watched(c):
 # --- call flows -------------------------------------------------------------
 
 
+def _index(files: DataFrame) -> DataFrame:
+    """The function index, written once: edges, starts and labels all read it."""
+    return cut(callflow.function_index(callflow.extract_functions(files)))
+
+
+def _endpoints(files: DataFrame) -> DataFrame:
+    return cut(callflow.code_endpoints(files))
+
+
 @query("""
     select name, class_name, description, line_number, calls from (
         select 'total' as name, 'Order' || cast(o_orderkey as varchar) as class_name, 'Total price' as description, 8 as line_number,
@@ -1061,7 +1071,7 @@ _EDGES = f"""
 
 @query(f"with {_EDGES} select caller, callee from edges")
 def call_edges(c):
-    index = callflow.function_index(callflow.extract_functions(c.files("code")))
+    index = _index(c.files("code"))
     return callflow.call_edges(index).select("caller", "callee")
 
 
@@ -1072,7 +1082,7 @@ def call_edges(c):
         'customer_' || cast(o_custkey as varchar) || ',get,status_' || o_orderstatus from orders
 """)
 def call_graph(c):
-    index = callflow.function_index(callflow.extract_functions(c.files("code")))
+    index = _index(c.files("code"))
     return callflow.call_graph(index).select("key", F.array_join("calls", ",").alias("calls"))
 
 
@@ -1085,8 +1095,8 @@ def call_graph(c):
 """)
 def call_reach_3(c):
     files = c.files("code")
-    index = callflow.function_index(callflow.extract_functions(files))
-    return callflow.endpoint_flows(callflow.code_endpoints(files), index).select("route", "depth", "step")
+    index = _index(files)
+    return callflow.endpoint_flows(_endpoints(files), index).select("route", "depth", "step")
 
 
 @query("""
@@ -1095,8 +1105,8 @@ def call_reach_3(c):
 """)
 def api_summary(c):
     files = c.files("code")
-    index = callflow.function_index(callflow.extract_functions(files))
-    endpoints = callflow.code_endpoints(files)
+    index = _index(files)
+    endpoints = _endpoints(files)
     steps = callflow.endpoint_flows(endpoints, index)
     return callflow.api_summary(endpoints, steps).select("route", "handler", "steps_count")
 
@@ -1106,7 +1116,7 @@ def api_summary(c):
     from orders order by 'orders/order_' || cast(o_orderkey as varchar) || '.py' limit 20
 """)
 def call_chains(c):
-    index = callflow.function_index(callflow.extract_functions(c.files("code")))
+    index = _index(c.files("code"))
     chains, _ = callflow.call_chains(index)
     return chains.select("entry_point", "depth")
 
@@ -1148,8 +1158,8 @@ def flow_item(c):
 """.replace(", flow as", "with flow as"))
 def flow_mermaid(c):
     files = c.files("code")
-    index = callflow.function_index(callflow.extract_functions(files))
-    endpoints = callflow.code_endpoints(files)
+    index = _index(files)
+    endpoints = _endpoints(files)
     lines = callflow.flow_lines(endpoints, callflow.endpoint_flows(endpoints, index), index)
     return lines.where("section > 0").select("route", "section", "line_no", "line")
 
