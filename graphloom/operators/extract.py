@@ -20,6 +20,7 @@ from graphloom.operators.dedupe import dedupe_entities, dedupe_relations, infer_
 from graphloom.schema import (
     COMMAND_PREFIXES, LEXICON, PLAIN_PARENTS, SKIPPED_IMPORTS, STOP_TERMS, order_key,
 )
+from graphloom.session import cut
 from graphloom.sources.tree import document_title
 
 # --- fixed values: what the rules look for ----------------------------------
@@ -355,9 +356,47 @@ def extract_raw(
     return _graph(_titled(files, title_fallback), *sides)
 
 
-def extract_graph(files: DataFrame, infer: bool = True, **options) -> Graph:
-    """The graph of the files: all rules, first duplicate kept, relations inferred."""
-    raw = extract_raw(files, **options)
+def extract_facts(
+    files: DataFrame, title_fallback: str = "Untitled", documents: Mapping = {}, code: Mapping = {}
+) -> DataFrame:
+    """Entities and relations of all rules as one frame, from a single pass over the files.
+
+    Write it, then take the graph from it with graph_of_facts; the files are not read again.
+    """
+    d, c = _document_rules(**documents), _code_rules(**code)
+    is_document = F.col("kind") == "md"
+
+    def tagged(side: int, fact: Column) -> Column:
+        fields = {"name": 0, "source": 1, "target": 1, "type": None, "description": 0, "rule": None, "pat": None, "pos": None}
+        return F.struct(F.lit(side).alias("side"), *[
+            (fact[f] if only in (None, side) else F.lit(None).cast(_TEXT)).alias(f) for f, only in fields.items()
+        ])
+
+    def both_kinds(side: int) -> Column:
+        arrays = F.when(is_document, _side(d, side)).otherwise(_side(c, side))
+        return F.transform(arrays, lambda fact: tagged(side, fact))
+
+    facts = F.concat(both_kinds(0), both_kinds(1))
+    path = F.col("path")
+    kind = F.when(is_document, 0).otherwise(1)
+    return _titled(files, title_fallback).select("project", "path", "kind", F.explode(facts).alias("f")).select(
+        "project", "f.side", "f.name", "f.source", "f.target", "f.type", "f.description", path.alias("source_file"),
+        order_key(kind, path, F.col("f.rule"), F.col("f.pat"), F.col("f.pos")).alias("ord"),
+    )
+
+
+def graph_of_facts(facts: DataFrame) -> Graph:
+    """The raw graph in extract_facts rows."""
+    return Graph.of(facts.where("side = 0"), facts.where("side = 1"))
+
+
+def extract_graph(files: DataFrame, infer: bool = True, once: bool = True, **options) -> Graph:
+    """The graph of the files: all rules, first duplicate kept, relations inferred.
+
+    ``once`` writes the raw rows to the checkpoint folder, so that entities and
+    relations together read every file a single time.
+    """
+    raw = graph_of_facts(cut(extract_facts(files, **options))) if once else extract_raw(files, **options)
     graph = Graph(dedupe_entities(raw.entities), dedupe_relations(raw.relations))
     return infer_relations(graph) if infer else graph
 

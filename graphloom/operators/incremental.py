@@ -8,8 +8,9 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F
 
 from graphloom.graph import Graph
-from graphloom.operators.extract import extract_raw
+from graphloom.operators.extract import extract_facts, graph_of_facts
 from graphloom.schema import ENTITY, RELATION
+from graphloom.session import cut, if_small
 
 
 class Update(NamedTuple):
@@ -98,7 +99,9 @@ def upsert(graph: Graph, new: Graph, generation: int = 1) -> Graph:
 def extract_changed(files: DataFrame, changes: DataFrame, title_fallback: str = "stem", **options) -> Graph:
     """Rules over added and modified files only."""
     touched = changes.where("change_type in ('added', 'modified')").select("project", "path")
-    return extract_raw(files.join(touched, ["project", "path"], "left_semi"), title_fallback, **options)
+    # Few changes are broadcast, so that the texts of unchanged files are never shuffled.
+    changed = files.join(if_small(touched), ["project", "path"], "left_semi")
+    return graph_of_facts(cut(extract_facts(changed, title_fallback, **options)))
 
 
 def apply_incremental(
@@ -118,7 +121,7 @@ def apply_incremental(
     deduplicated across files or inferred; extract_graph does that.
     """
     current = current_manifest(files)
-    changes = detect_changes(current, manifest)
+    changes = cut(detect_changes(current, manifest))
     gone = changes.where("change_type in ('deleted', 'modified')" if purge_modified else "change_type = 'deleted'")
     new = extract_changed(files, changes, title_fallback, **options)
     return Update(upsert(remove_files(graph, gone), new, generation), current, changes)

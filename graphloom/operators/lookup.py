@@ -17,9 +17,15 @@ from graphloom.graph import Graph
 from graphloom.operators.dedupe import keep_one
 
 
-def first_entity(graph: Graph) -> DataFrame:
-    """First entity per project and lower-cased name, with that name as ``key``."""
-    return keep_one(graph.entities, [F.col("project"), F.lower("name")]).withColumn("key", F.lower("name"))
+def first_entity(graph: Graph, names: DataFrame | str | None = None) -> DataFrame:
+    """First entity per project and lower-cased name, with that name as ``key``.
+
+    Given one name as a string, only its entities are read into the aggregation.
+    """
+    entities = graph.entities
+    if isinstance(names, str):
+        entities = entities.where(F.lower("name") == names.lower())
+    return keep_one(entities, [F.col("project"), F.lower("name")]).withColumn("key", F.lower("name"))
 
 
 def _asked(graph: Graph, names: DataFrame | str) -> DataFrame:
@@ -40,17 +46,30 @@ def _touching(graph: Graph, names: DataFrame | str, types: Sequence[str] | None
     if types is not None:
         relations = relations.where(F.col("type").isin(list(types)))
     ends = F.array_distinct(F.array(F.lower("source"), F.lower("target")))
+    if isinstance(names, str):
+        # One name needs no join.
+        key = names.lower()
+        found = relations.where((F.lower("source") == key) | (F.lower("target") == key)).withColumns(
+            {"key": F.lit(key), "asked": F.lit(names)}
+        )
+    else:
+        found = relations.withColumn("key", F.explode(ends)).join(_asked(graph, names), ["project", "key"])
     return (
-        relations.withColumn("key", F.explode(ends))
-        .join(_asked(graph, names), ["project", "key"])
-        .withColumn("direction", F.when(F.lower("source") == F.col("key"), "out").otherwise("in"))
+        found.withColumn("direction", F.when(F.lower("source") == F.col("key"), "out").otherwise("in"))
         .withColumn("other", F.when(F.col("direction") == "out", F.col("target")).otherwise(F.col("source")))
     )
 
 
-def _partner(rows: DataFrame, entities: DataFrame, end: str = "other") -> DataFrame:
-    """Join the entity at one end; ends without an entity drop out."""
-    partner = entities.select(
+def _partner(rows: DataFrame, graph: Graph, end: str = "other", few: bool = False) -> DataFrame:
+    """Join the entity at one end; ends without an entity drop out.
+
+    With ``few`` rows, only the entities of their ends are deduplicated.
+    """
+    if few:
+        wanted = rows.select("project", F.lower(end).alias("_end")).distinct()
+        named = graph.entities.withColumn("_end", F.lower("name")).join(wanted, ["project", "_end"], "left_semi")
+        graph = Graph(named.drop("_end"), graph.relations)
+    partner = first_entity(graph).select(
         "project", F.col("key").alias("_end"), F.col("name").alias("entity"),
         F.col("type").alias("entity_type"), F.col("description").alias("entity_description"),
     )
@@ -59,6 +78,8 @@ def _partner(rows: DataFrame, entities: DataFrame, end: str = "other") -> DataFr
 
 def find_entity(graph: Graph, names: DataFrame | str) -> DataFrame:
     """The entity of each asked name."""
+    if isinstance(names, str):
+        return first_entity(graph, names).withColumn("asked", F.lit(names)).drop("key")
     return _asked(graph, names).join(first_entity(graph), ["project", "key"]).drop("key")
 
 
@@ -73,24 +94,18 @@ def find_relations(graph: Graph, names: DataFrame | str) -> DataFrame:
 
 def find_dependencies(graph: Graph, names: DataFrame | str) -> DataFrame:
     """Entities that outgoing ``depends_on`` relations lead to; repeats are kept."""
-    rows = (
-        graph.relations.where("type = 'depends_on'")
-        .withColumn("key", F.lower("source"))
-        .join(_asked(graph, names), ["project", "key"])
-        .select("project", "asked", "target", "ord")
+    rows = _touching(graph, names, ["depends_on"]).where("direction = 'out'").select(
+        "project", "asked", "target", "ord"
     )
-    return _partner(rows, first_entity(graph), "target").drop("target")
+    return _partner(rows, graph, "target", isinstance(names, str)).drop("target")
 
 
 def find_documents(graph: Graph, names: DataFrame | str) -> DataFrame:
     """Documents that incoming ``documents`` relations come from."""
-    rows = (
-        graph.relations.where("type = 'documents'")
-        .withColumn("key", F.lower("target"))
-        .join(_asked(graph, names), ["project", "key"])
-        .select("project", "asked", "source", "ord")
+    rows = _touching(graph, names, ["documents"]).where(F.lower("target") == F.col("key")).select(
+        "project", "asked", "source", "ord"
     )
-    found = _partner(rows, first_entity(graph), "source").where("entity_type = 'Document'")
+    found = _partner(rows, graph, "source", isinstance(names, str)).where("entity_type = 'Document'")
     return found.drop("source")
 
 
@@ -99,7 +114,7 @@ def find_related(graph: Graph, names: DataFrame | str) -> DataFrame:
     rows = _touching(graph, names).select(
         "project", "asked", "direction", F.col("type").alias("relation"), "other", "ord"
     )
-    return _partner(rows, first_entity(graph)).drop("other")
+    return _partner(rows, graph, few=isinstance(names, str)).drop("other")
 
 
 def _mentions(keyword: Column) -> Column:
@@ -151,7 +166,7 @@ def dependency_tree(graph: Graph, names: DataFrame | str, children: int = 5) ->
     edges = graph.relations.where("type = 'depends_on'").select(
         "project", F.lower("source").alias("key"), "target", "ord"
     )
-    resolved = _partner(edges, entities, "target").select(
+    resolved = _partner(edges, graph, "target").select(
         "project", "key", "ord", "entity", "entity_type", F.lower("entity").alias("entity_key")
     )
     asked = _asked(graph, names).join(entities.select("project", "key"), ["project", "key"], "left_semi")

@@ -7,6 +7,8 @@ text heads the checking SQL. Every view is row-wise or an equi-join of the table
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from graphloom.graph import Graph
@@ -237,14 +239,16 @@ class Corpus:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = prepare(spark), sf_dir
-        for name in TABLES:
-            self.table(name).createOrReplaceTempView(name)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def view(self, name: str) -> DataFrame:
-        return self.spark.sql(f"{with_views(name)} select * from {name}")
+        sql = f"{with_views(name)} select * from {name}"
+        for table in TABLES:
+            if re.search(rf"\b{table}\b", sql):
+                self.table(table).createOrReplaceTempView(table)
+        return self.spark.sql(sql)
 
     def graph(self, entities: str = "ent", relations: str = "rel") -> Graph:
         def placed(name):

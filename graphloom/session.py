@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # All settable at run time, so a session made elsewhere can be adjusted too.
 SETTINGS = {
@@ -51,3 +51,12 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+# Rows of paths or names that every executor can hold.
+SMALL_ROWS = 200_000
+
+
+def if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """Broadcast hint for a materialised frame of few short rows; larger ones join by shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
