@@ -232,7 +232,7 @@ def listed_modules(c):
     return edges.groupBy("project", "source", "target", "type").agg(F.count("*").alias("documents"))
 
 
-@query("""
+_CODE_ENTITIES = """
     select name, type, description, source_file from (
         select 'order_' || cast(o_orderkey as varchar) as name, 'Module' as type,
                'Order ' || cast(o_orderkey as varchar) || ' module.' as description,
@@ -259,7 +259,10 @@ def listed_modules(c):
                'regions/region_' || cast(r_regionkey as varchar) || '.py' from region
         union all select distinct 'status_' || o_orderstatus, 'Feature', null, 'status/status_' || o_orderstatus || '.py' from orders
     ) t
-""")
+"""
+
+
+@query(_CODE_ENTITIES)
 def code_entities(c):
     raw = extract.extract_code(c.files("code"))
     return dedupe.dedupe_entities(raw.entities).select("name", "type", "description", "source_file")
@@ -297,6 +300,19 @@ def extracted_types(c):
     return graph.entities.groupBy("project", "type").agg(F.count("*").alias("count"))
 
 
+@query(f"""
+    select name, type, description, source_file from ({_CODE_ENTITIES}) code
+    union all select 'Note ' || doc_id, 'Document', '文档: notes/' || doc_id || '.md', 'notes/' || doc_id || '.md' from documents
+""")
+def extract_facts(c):
+    """Documents and code of several projects in one pass, a few rules of each kind."""
+    facts = extract.extract_facts(
+        c.files("notes", "code"), documents={"rules": ["document"]}, code={"rules": ["module", "class", "function"]}
+    )
+    entities = dedupe.dedupe_entities(extract.graph_of_facts(facts).entities)
+    return entities.select("name", "type", "description", "source_file")
+
+
 # --- deduplication and inference --------------------------------------------
 
 
@@ -1211,6 +1227,33 @@ def flow_mermaid(c):
     return lines.where("section > 0").select("route", "section", "line_no", "line")
 
 
+@query("""
+    with o as (select 'Order' || o_orderkey as cls, 'order_' || o_orderkey as f, 'customer_' || o_custkey as cu, 'status_' || o_orderstatus as st,
+                      'nation_' || c_nationkey as na, 'region_' || n_regionkey as re, c_name, 'orders/order_' || o_orderkey || '.py' as path,
+                      'customers/customer_' || o_custkey || '.py' as cp, 'status/status_' || o_orderstatus || '.py' as sp,
+                      'nations/nation_' || c_nationkey || '.py' as np, 'regions/region_' || n_regionkey || '.py' as rp
+               from orders join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey
+               order by 'orders/order_' || o_orderkey || '.py' limit 20)
+    select cls || '.' || f as entry_point, line from o, lateral (select unnest([
+        '    ' || cls || '_' || f || '["🚀 ' || cls || '.' || f || '\\nRead order\\n📁 ' || path || '"]:::entryNode',
+        '    ' || cls || '_' || f || '_s1["📦 ' || cu || '\\n' || c_name || '\\n📁 ' || cp || '"]:::funcNode',
+        '    ' || cls || '_' || f || ' --> ' || cls || '_' || f || '_s1',
+        '    ' || cls || '_' || f || '_s2["📦 ' || st || '\\n' || st || '\\n📁 ' || sp || '"]:::funcNode',
+        '    ' || cls || '_' || f || '_s1 --> ' || cls || '_' || f || '_s2',
+        '    ' || cls || '_' || f || '_s3["📦 ' || na || '\\n' || na || '\\n📁 ' || np || '"]:::funcNode',
+        '    ' || cls || '_' || f || '_s2 --> ' || cls || '_' || f || '_s3',
+        '    ' || cls || '_' || f || '_s4["📦 ' || re || '\\n' || re || '\\n📁 ' || rp || '"]:::funcNode',
+        '    ' || cls || '_' || f || '_s3 --> ' || cls || '_' || f || '_s4',
+        '    ' || cls || '_' || f || '_end["✅ 结束"]:::entryNode',
+        '    ' || cls || '_' || f || '_s4 --> ' || cls || '_' || f || '_end']) as line) l
+""")
+def chain_mermaid(c):
+    index = _index(c.files("code"))
+    chains, steps = callflow.call_chains(index)
+    lines = callflow.chain_lines(chains, steps, index)
+    return lines.where("section > 0 or line like '%entryNode' and line like '%🚀%'").select("entry_point", "line")
+
+
 # --- API data flow ----------------------------------------------------------
 
 
@@ -1283,6 +1326,34 @@ def dataflow_graph(c):
     return apiflow.dataflow_graph(apiflow.backend_routes(files), apiflow.service_methods(files)).edges.drop("project")
 
 
+@query("""
+    select 'GET' as method, '/customers/' || o_custkey || '/orders/${id}' as call_path,
+           'frontend/src/order_' || o_orderkey || '.ts' as file_path from orders
+""")
+def frontend_calls(c):
+    return apiflow.frontend_calls(c.files("webapp")).select("method", "call_path", "file_path")
+
+
+@query("""
+    with r as (select c_custkey, row_number() over (order by 'backend/app/api/customer_' || c_custkey || '.py') as n from customer),
+    s as (select 'Customer' || c_custkey || 'Service' as cls, m, c_custkey, c_acctbal, row_number() over (
+              order by 'backend/app/services/customer_' || c_custkey || '.py', m) as n
+          from customer, lateral (select unnest(['__init__', 'load_' || c_custkey]) as m) x),
+    a as (select c_custkey, cast(n - 1 as varchar) as i from r where n <= 10),
+    b as (select cls || '.' || m as method, cast(n - 1 as varchar) as j from s where n <= 10)
+    select line from (
+        select '    API_' || i || '["GET /customers/' || c_custkey || '/orders/{id}"]:::api' as line from a
+        union all select '    Frontend --> API_' || i from a
+        union all select '    SVC_' || j || '["' || method || '"]:::service' from b
+        union all select '    API_' || i || ' --> SVC_' || j from a join b on contains(method, 'load_' || c_custkey)
+        union all select '    SVC_' || j || ' --> DB' from b) t
+""")
+def dataflow_mermaid(c):
+    files = c.files("webapp")
+    routes, services = cut(apiflow.backend_routes(files)), cut(apiflow.service_methods(files))
+    return apiflow.dataflow_lines(routes, services).where("section in (1, 2, 3, 5)").select("line")
+
+
 @query("""
     with op as (select c_custkey as k, c_name, 'Customer' || cast(c_custkey as varchar) || 'Service' as cls,
                        case when c_acctbal < 0 then 'll' else 'irst' end as tail,
@@ -1446,6 +1517,17 @@ def update_entities(c):
     return mutate.update_entities(c.graph(), requests).graph.entities.drop("ord")
 
 
+@query("""
+    select s_suppkey as request_id, cast(case when s_acctbal < 0 then 200 else 404 end as integer) as status from supplier
+""")
+def delete_entities(c):
+    requests = c.view("supplier_of").select(
+        "project", F.col("s_suppkey").alias("request_id"),
+        F.when(F.col("s_acctbal") < 0, F.col("s_name")).otherwise(F.lower("s_name")).alias("name"),
+    )
+    return mutate.delete_entities(c.graph(), requests).results.drop("project")
+
+
 @query("""
     select project, source, target, type from rel
     where not exists (select 1 from supplier_of s where s.project = rel.project and (s.s_name = rel.source or s.s_name = rel.target) and s_acctbal < 0)
@@ -1560,6 +1642,28 @@ def bulk_nodes(c):
     return table_sinks.bulk_node_rows(c.graph())
 
 
+@query("""
+    select project, "source" as ":START_ID", target as ":END_ID", upper(type) as ":TYPE" from rel
+""", "rel")
+def bulk_relations(c):
+    return table_sinks.bulk_relation_rows(c.graph())
+
+
+@query("select project, source, target, type, coalesce(source_file, '') as source_file from rel", "rel")
+def csv_relations(c):
+    return table_sinks.relation_csv_rows(c.graph())
+
+
+@query(f"""
+    , {_IDS} select project, id, type, name, coalesce(description, '') as description, coalesce(source_file, '') as source_file from node
+""", "ent_twice")
+def database_nodes(c):
+    nodes = views.database_view(c.graph("ent_twice")).nodes
+    return nodes.select(
+        "project", "id", F.col("labels")[0].alias("type"), "properties.name", "properties.description", "properties.source_file"
+    )
+
+
 @query("""
     select project, line from (
         select project, 'CREATE (n:' || type || ':Entity {name: ''' || name || ''', type: ''' || type || ''', description: '''
@@ -1593,6 +1697,22 @@ def graph_json(c):
     return line_sinks.graph_json_lines(c.graph()).where("section = 1").select("project", "section", "line")
 
 
+@query("""
+    select r_regionkey as request_id, r_name as project,
+           case when r_name in ('ASIA', 'EUROPE') then 409 else 200 end as status from region
+    union all select 1000 + n_nationkey, n_name, 200 from nation
+""")
+def create_projects(c):
+    """Two regions exist already; the others and the nations are new."""
+    known = c.table("region").where("r_name in ('ASIA', 'EUROPE')").select(F.col("r_name").alias("project"))
+    requests = c.table("region").select(
+        F.col("r_regionkey").cast("bigint").alias("request_id"), F.col("r_name").alias("project")
+    ).unionByName(c.table("nation").select(
+        (F.col("n_nationkey") + 1000).cast("bigint").alias("request_id"), F.col("n_name").alias("project")))
+    made = mutate.create_projects(known, requests)
+    return made.results.join(requests, "request_id")
+
+
 # --- plugins ----------------------------------------------------------------
 
 
