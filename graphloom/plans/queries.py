@@ -637,12 +637,16 @@ _INTENT = "case " + " ".join(
 ) + " else 'general' end"
 
 _LINK = """
+    q_low as materialized (select project, question_id, lower(question) as text from questions),
+    e_low as materialized (select project, name, type, description, kind, pos, lower(name) as low from ent where length(name) >= 2),
+    candidate as materialized (
+        select q.project, q.question_id, q.text, e.* exclude (project)
+        from q_low q join e_low e on q.project = e.project and contains(q.text, e.low)),
     link as (
-        select q.project, q.question_id, arg_min(e.name, (-length(e.name), e.kind, e.pos)) as name,
-               arg_min(e.type, (-length(e.name), e.kind, e.pos)) as type,
-               arg_min(coalesce(e.description, ''), (-length(e.name), e.kind, e.pos)) as description
-        from questions q join ent e on q.project = e.project and contains(lower(q.question), lower(e.name))
-        where regexp_matches(lower(q.question), '(^|[^a-z0-9_])' || lower(e.name) || '($|[^a-z0-9_])') and length(e.name) >= 2
+        select project, question_id, arg_min(name, (-length(name), kind, pos)) as name,
+               arg_min(type, (-length(name), kind, pos)) as type,
+               arg_min(coalesce(description, ''), (-length(name), kind, pos)) as description
+        from candidate where regexp_matches(text, '(^|[^a-z0-9_])' || low || '($|[^a-z0-9_])')
         group by 1, 2)
 """
 
