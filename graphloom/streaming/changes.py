@@ -7,7 +7,6 @@ value per path; deletions need snapshot rows, as a file source never reports the
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from datetime import timedelta
 
 import numpy as np
 import pandas as pd
