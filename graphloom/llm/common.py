@@ -53,12 +53,12 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def steps(offsets: np.ndarray, limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of rows holding at most ``limit`` bytes, one row at least."""
-    low, rows = 0, len(offsets) - 1
-    while low < rows:
+def steps(offsets: np.ndarray, limit: int = STEP_BYTES, rows: int | None = None) -> Iterator[tuple[int, int]]:
+    """Ranges of at most so many rows, holding at most ``limit`` bytes, one row at least."""
+    low, total = 0, len(offsets) - 1
+    while low < total:
         high = int(np.searchsorted(offsets, offsets[low] + limit, side="right")) - 1
-        high = min(max(high, low + 1), rows)
+        high = min(max(high, low + 1), total, low + (rows or total))
         yield low, high
         low = high
 

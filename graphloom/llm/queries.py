@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from graphloom.llm import repeats, simhash
+from graphloom.llm import bpe, language, repeats, secret_scan, simhash, token_files
 from graphloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,11 +23,40 @@ def query(sql: str | None = None):
     return register
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query()
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.identify(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query()
+def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 @query()
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+@query()
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = token_files.token_records(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end=2)
+    return token_files.read_documents(token_files.written(records))
+
+
+@query()
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 @query(r"""
     with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
     e as (
