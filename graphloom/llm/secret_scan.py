@@ -18,9 +18,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# The base patterns, and the least length of the group that counts.
+# The base patterns, and the least length of the group that counts. The look-ahead
+# only lets most characters fail fast.
 KINDS = {
-    "assign": (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+    "assign": (r"""(?=[pstaPSTA])((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
     "access": (r"AKIA[A-Z0-9]+", 0, 16),
     "hex": (r"[0-9a-f]{32,}", 0, 32),  # the runs of [0-9a-f]+ that are long enough
 }
@@ -28,7 +29,7 @@ KINDS = {
 SAMPLE_DOCS = 2048
 RANDOM_STRINGS = 2000
 # A candidate has so many characters, a digit and a letter.
-CANDIDATE = r"[A-Za-z0-9_+=/-]{20,}"
+CANDIDATE = r"(?<![A-Za-z0-9_+=/-])[A-Za-z0-9_+=/-]{20,}"
 MODEL_KIND = "random"
 LEAST_RATIO = 20.0
 LEAST_MEAN = 0.8
@@ -115,7 +116,7 @@ def samples(docs: DataFrame, bound: int = SAMPLE_DOCS) -> DataFrame:
     word = word.where(F.col("w").rlike("^([A-Za-z]+([_/=-][A-Za-z]+)*[0-9]{0,3}|[0-9]+)$"))
     w, number = F.col("w"), F.pmod(F.xxhash64("w"), F.lit(100000)).cast("string")
     ordinary = word.select(F.explode(F.array(
-        w, *[F.concat(w, F.lit(s), w) for s in "_-/"], *[F.concat(w, F.lit(s), number) for s in "_-/="],
+        w, F.concat(w, F.initcap("w"), F.initcap("w")), *[F.concat(w, F.lit(s), w) for s in "_-/"], *[F.concat(w, F.lit(s), number) for s in "_-/="],
         F.concat(number, F.lit("/"), w),
     )).alias("value"))
     return drawn.union(seen).select(F.lit(True).alias("random"), "value").union(
