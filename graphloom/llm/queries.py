@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from graphloom.llm import bpe, language, packing, repeats, secret_scan, simhash, token_files
+from graphloom.llm import bpe, language, neighbours, packing, repeats, secret_scan, simhash, token_files, top_k
 from graphloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,12 @@ def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+@query()
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return neighbours.search(neighbours.build(vectors), vectors.where("vec_id % 20 = 0"), 20)
+
+
 @query()
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
@@ -81,3 +87,20 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = repeats.remove_repeats(read(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("""
+    with v as (
+        select vec_id, list_transform(embedding, x -> floor(64 * x::double)::bigint) as v from embeddings
+        where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0 and len(embedding) > 0
+    ),
+    p as (
+        select q.vec_id as query_id, c.vec_id, list_inner_product(q.v::double[], c.v::double[])::bigint as score
+        from v q, v c where q.vec_id % 20 = 0 and c.vec_id <> q.vec_id
+    ),
+    r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from p)
+    select query_id, rank::integer as rank, vec_id, score from r where rank <= 20
+""")
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return top_k.top_k(vectors, vectors.where("vec_id % 20 = 0"), 20)
