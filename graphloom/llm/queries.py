@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from graphloom.llm import bpe, language, neighbours, packing, repeats, secret_scan, simhash, token_files, top_k
+from graphloom.llm import bpe, html_text, language, neighbours, packing, repeats, secret_scan, simhash, token_files, top_k
 from graphloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,11 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(neighbours.build(vectors), vectors.where("vec_id % 20 = 0"), 20)
 
 
+@query()
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 @query()
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
