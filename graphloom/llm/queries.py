@@ -96,8 +96,8 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     with v as (
-        select vec_id, list_transform(embedding, x -> floor(64 * x::double)::bigint) as v from embeddings
-        where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0 and len(embedding) > 0
+        select vec_id, [floor(64 * x::double)::bigint for x in embedding] as v from embeddings
+        where len(embedding) > 0 and len([x for x in embedding if x is null or not isfinite(x)]) = 0
     ),
     p as (
         select q.vec_id as query_id, c.vec_id, list_inner_product(q.v::double[], c.v::double[])::bigint as score

@@ -202,8 +202,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64)
     rows = stage(quantized(vectors, scale))
     longest = rows.orderBy(F.desc("norm"), "vec_id").limit(SAMPLE).collect()
     sample_ids = np.array([r["vec_id"] for r in longest], np.int64)
-    sample = np.array([r["v"] for r in longest], np.int64).reshape(len(longest), -1)
-    width = sample.shape[1] if len(longest) else 0
+    width = len(longest[0]["v"]) if longest else 0
+    sample = np.array([r["v"] for r in longest], np.int64).reshape(len(longest), width)
     ranged = rows.repartitionByRange(F.desc("norm"), "vec_id").sortWithinPartitions(F.desc("norm"), "vec_id")
     buckets = stage(ranged.mapInArrow(_buckets(BUCKET), "bucket long, class long, ids binary, v binary, norms binary"))
     classes = {r["class"]: -(-r["n"] // PER_SALT) for r in buckets.groupBy("class").agg(F.count("*").alias("n")).collect()}
