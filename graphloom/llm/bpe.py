@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
 from graphloom.llm.chunks import Chunks
-from graphloom.llm.common import steps, utf8
+from graphloom.llm.common import steps, utf8, words
 
 _FAR = 1 << 40
 CACHE_WORDS = 300_000
@@ -196,7 +196,7 @@ class Bpe:
         text = self._library.normalizer.normalize_str(text)
         return [bytes(self._bytes[c] for c in w) for w, _ in self._library.pre_tokenizer.pre_tokenize_str(text)]
 
-    def _new(self, chunks: list[bytes]) -> Iterator[list[int]]:
+    def _new(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         cut: list[list[bytes | int]] = []
         for chunk in chunks:
             parts = self._cut.split(chunk.decode("utf-8"))
@@ -209,15 +209,23 @@ class Bpe:
         known = self._words
         new = sorted({w for found in cut for w in found if not isinstance(w, int) and w not in known})
         known.update(zip(new, self.words(new), strict=True))
+        ids: list[int] = []
+        ends = []
         for found in cut:
-            ids: list[int] = []
             for w in found:
                 ids += [w] if isinstance(w, int) else known[w]
-            yield ids
+            ends.append(len(ids))
+        return np.array(ids, np.uint32), np.diff(ends, prepend=0)
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row and how many each has."""
-        ids, lengths, _ = self._chunks.ids([t.split() for t in texts])
+        ids, lengths, odd = self._chunks.ids(data, *words(data, offsets), len(offsets) - 1)
+        if odd.any():
+            parts = np.split(ids, np.cumsum(lengths)[:-1])
+            for i in np.flatnonzero(odd).tolist():
+                parts[i], _ = self._new(data[offsets[i] : offsets[i + 1]].tobytes().split())
+                lengths[i] = len(parts[i])
+            ids = np.concatenate(parts)
         return ids, lengths
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -237,8 +245,8 @@ def _encode(path: str, names: list[str]):
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             for low, high in steps(offsets):
-                texts = [data[offsets[i] : offsets[i + 1]].tobytes() for i in range(low, high)]
-                ids, lengths = bpe.encode(texts)
+                part = offsets[low : high + 1]
+                ids, lengths = bpe.encode(data[part[0] : part[-1]], part - part[0])
                 parts = np.split(ids, np.cumsum(lengths)[:-1])
                 out = {name: batch.column(name).slice(low, high - low) for name in names}
                 yield pa.record_batch(out | {

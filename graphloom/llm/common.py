@@ -81,7 +81,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
-_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -101,7 +101,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
     h = _mix((lengths.astype(np.uint64) + np.uint64(seed)) * odd)
     at, todo = 0, np.arange(len(starts))
     while len(todo):
-        lane = lanes[starts[todo] + at] & _MASK[np.minimum(lengths[todo] - at, 8)]
+        lane = lanes[starts[todo] + at] & MASK[np.minimum(lengths[todo] - at, 8)]
         h[todo] = _mix((h[todo] ^ lane) * odd)
         at += 8
         todo = todo[lengths[todo] > at]

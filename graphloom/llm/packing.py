@@ -203,8 +203,8 @@ def _pieces(path: str, end: int, size: int, led: bool, ids_too: bool):
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             for low, high in steps(offsets):
-                texts = [data[offsets[i] : offsets[i + 1]].tobytes() for i in range(low, high)]
-                ids, lengths = append_id(*tokens.encode(texts), end)
+                part = offsets[low : high + 1]
+                ids, lengths = append_id(*tokens.encode(data[part[0] : part[-1]], part - part[0]), end)
                 count = -(-lengths // size)
                 row = np.repeat(np.arange(len(lengths)), count)
                 piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)

@@ -116,7 +116,7 @@ def _records(path: str, led: bool, end: int, bits: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = library(path, led)
         width = bits or bits_for(tokens.size)
-        part, record, first = TaskContext.get().partitionId(), 0, 0
+        place, record, first = TaskContext.get().partitionId(), 0, 0
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
         count = 0
 
@@ -124,7 +124,7 @@ def _records(path: str, led: bool, end: int, bits: int | None):
             nonlocal record, first, held, count
             names = [d for h in held for d in h[0]]
             lengths, ids = (np.concatenate([h[k] for h in held]) for k in (1, 2))
-            row = {"part": part, "record": record, "first": first, "ids": len(ids), "docs": len(names),
+            row = {"part": place, "record": record, "first": first, "ids": len(ids), "docs": len(names),
                    "payload": write_record(names, lengths, ids, width)}
             record, first, held, count = record + 1, first + len(ids), [], 0
             return pa.RecordBatch.from_pylist([row], _RECORD)
@@ -133,8 +133,8 @@ def _records(path: str, led: bool, end: int, bits: int | None):
             data, offsets = utf8(batch.column("text"))
             names = batch.column("doc_id").to_pylist()
             for low, high in steps(offsets, RECORD_IDS * 2):
-                texts = [data[offsets[i] : offsets[i + 1]].tobytes() for i in range(low, high)]
-                ids, lengths = append_id(*tokens.encode(texts), end)
+                part = offsets[low : high + 1]
+                ids, lengths = append_id(*tokens.encode(data[part[0] : part[-1]], part - part[0]), end)
                 held.append((names[low:high], lengths, ids))
                 count += len(ids)
                 if count >= RECORD_IDS:

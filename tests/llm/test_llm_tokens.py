@@ -6,11 +6,13 @@ from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from graphloom.llm import bpe, packing, token_files
-from graphloom.llm.chunks import Chunks, Library
+from graphloom.llm.chunks import Chunks, Library, led_chunks
+from graphloom.llm.common import utf8, words
 from graphloom.llm.queries import QUERIES, vocabulary
 
 SF = "/root/testdata/sf0.001"
@@ -29,7 +31,7 @@ def odd_texts():
 def test_ids_are_the_librarys(make, name):
     texts = odd_texts()
     ours = make(vocabulary(name))
-    ids, lengths = ours.encode([t.encode() for t in texts])
+    ids, lengths = ours.encode(*utf8(pa.array(texts)))
     want = Tokenizer.from_file(vocabulary(name)).encode_batch(texts, add_special_tokens=False)
     assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == [e.ids for e in want]
 
@@ -46,10 +48,28 @@ def test_cache_forgets_and_stays_right(monkeypatch):
     chunks = Chunks(lambda new: (np.frombuffer(b"".join(new), np.uint8), np.array([len(c) for c in new])))
     r = random.Random(2)
     for _ in range(60):
-        texts = [[b"%d" % r.randint(0, 99) for _ in range(r.randint(0, 9))] for _ in range(5)]
-        ids, lengths, odd = chunks.ids(texts)
-        assert bytes(ids.tolist()) == b"".join(map(b"".join, texts)) and not odd.any()
-        assert lengths.tolist() == [sum(map(len, t)) for t in texts]
+        texts = [" ".join(f"{r.randint(0, 99)}" * r.choice([1, 1, 9]) for _ in range(r.randint(0, 9))) for _ in range(5)]
+        data, offsets = utf8(pa.array(texts))
+        ids, lengths, odd = chunks.ids(data, *words(data, offsets), 5)
+        assert bytes(ids.tolist()).decode() == "".join(texts).replace(" ", "") and not odd.any()
+        assert lengths.tolist() == [len(t.replace(" ", "")) for t in texts]
+
+
+def test_chunks_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr("graphloom.llm.chunks.word_hashes", lambda data, starts, ends, seed: np.full(len(starts), 7, np.uint64))
+    texts = ["some text", "other", "some", ""]
+    ids, lengths = Library(vocabulary(WORD), False).encode(*utf8(pa.array(texts)))
+    want = Tokenizer.from_file(vocabulary(WORD)).encode_batch(texts, add_special_tokens=False)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == [e.ids for e in want]
+
+
+def test_led_chunks_cover_all():
+    texts = ["", " ", "a", " a  b ", "x\n\ny z", "   "]
+    data, offsets = utf8(pa.array(texts))
+    starts, ends, rows = led_chunks(offsets, *words(data, offsets))
+    raw = data.tobytes()
+    assert [b"".join(raw[s:e] for s, e, r in zip(starts, ends, rows, strict=True) if r == i).decode() for i in range(6)] == texts
+    assert [raw[s:e].decode() for s, e in zip(starts, ends, strict=True)] == [" ", "a", " a", "  b", " ", "x", "\n\ny", " z", "   "]
 
 
 def test_encode_and_decode(documents, odd_rows, no_documents):
