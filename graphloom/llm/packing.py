@@ -31,7 +31,7 @@ from graphloom.llm.token_files import append_id
 
 SIZE = 2048
 MOVES = 1500
-SHARD_ROWS = 1 << 15
+SHARD_ROWS = 1 << 12
 
 # A kind of bin: its lengths, longest first. Bins: how many there are of each kind.
 Kind = tuple[int, ...]
