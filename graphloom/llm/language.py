@@ -165,9 +165,11 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model | None:
     labelled = docs.where("text is not null and lang is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
     labelled = labelled.where(F.length("text") <= MAX_CHARS)
     common = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ranked = labelled.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_lang)
-    ranked = ranked.join(F.broadcast(common.select("lang")), "lang").select("doc_id").distinct()
+    # A hash thins each language to a few times the sample before its rows are ranked, however many it has.
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    drawn = labelled.select("doc_id", "lang").join(F.broadcast(common), "lang").where(draw * F.col("n").cast("double") <= float(4 * per_lang << 30))
+    order = Window.partitionBy("lang").orderBy(draw, "doc_id")
+    ranked = drawn.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_lang).select("doc_id").distinct()
     chosen = labelled.join(F.broadcast(ranked), "doc_id").select("text", "lang")
     return fit([(r["text"], r["lang"]) for r in chosen.collect()])
 
