@@ -70,9 +70,11 @@ def match_text(
         pattern = query if case_sensitive else f"(?iu){query}"
         matched = usable & text.rlike(pattern)
         found = found | matched
-        # The text before the hit gives its position; (?s) lets it span lines.
-        hit_text = F.regexp_substr(text, F.lit(pattern))
-        start = F.instr(text, hit_text) - 1
+        # What a split at the first match leaves before it gives its position. A split passes over an
+        # empty match; there, the shortest prefix that the pattern can follow does.
+        hit_text = F.regexp_extract(text, pattern, 0)
+        prefix = F.regexp_extract(text, rf"\A((?s:.*?))(?:{pattern})", 1)
+        start = F.when(hit_text == "", F.length(prefix)).otherwise(F.length(F.split(text, pattern, 2)[0]))
         result = result.when(matched, hit(0.9, "regex", start, start + F.length(hit_text)))
     contained = usable & F.contains(seen, F.lit(wanted))
     at = F.locate(wanted, seen) - 1

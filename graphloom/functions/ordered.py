@@ -84,7 +84,9 @@ def dense_index(
     )
 
 
-def top_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], k: int) -> DataFrame:
-    """First k rows per key. Spark limits each group before the shuffle as well."""
+def top_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], k: int | None) -> DataFrame:
+    """First k rows per key, all for None. Spark limits each group before the shuffle as well."""
+    if k is None:
+        return df
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")

@@ -2,7 +2,8 @@
 
 Questions are (project, question_id, question). Answers are line rows
 (project, question_id, intent, line_no, ord, line): an answer that lists many
-names has one row per name instead of one long string.
+names has one row per name instead of one long string. The names of a type are the same for
+all who ask, so those rows stand once per project and intent.
 """
 
 from __future__ import annotations
@@ -18,19 +19,19 @@ from graphloom.session import cut
 
 _ID = ["project", "question_id"]
 
-# --- fixed values: answer texts and list sizes ------------------------------
-LISTS = {  # intent: (entity type, heading, answer when there is none, cap)
-    "tech": ("Framework", "项目技术栈:", None, None),
-    "databases": ("Database", "项目使用的数据库:", "项目中没有发现数据库信息。", None),
-    "tools": ("Tool", "项目使用的工具:", "项目中没有发现工具信息。", None),
-    "modules": ("Module", "项目包含以下模块:", "项目中没有发现模块信息。", 15),
-    "documents": ("Document", "项目包含以下文档:", "项目中没有发现文档信息。", None),
+# --- fixed values: answer texts --------------------------------------------
+LISTS = {  # intent: (entity type, heading, answer when there is none)
+    "tech": ("Framework", "项目技术栈:", None),
+    "databases": ("Database", "项目使用的数据库:", "项目中没有发现数据库信息。"),
+    "tools": ("Tool", "项目使用的工具:", "项目中没有发现工具信息。"),
+    "modules": ("Module", "项目包含以下模块:", "项目中没有发现模块信息。"),
+    "documents": ("Document", "项目包含以下文档:", "项目中没有发现文档信息。"),
 }
 UNKNOWN_ENTITY = "抱歉，我找不到相关的实体信息。"
 UNKNOWN_DEPENDENCY = "抱歉，我找不到相关的依赖信息。"
 UNKNOWN_QUESTION = "抱歉，我无法回答这个问题。请尝试更具体的问题，例如:"
-RELATED_SHOWN = 5
-HITS_SHOWN = 5
+EXAMPLES = ["  - 有哪些模块?", "  - 技术栈是什么?", "  - 使用了哪些数据库?"]
+SUBHEADINGS = {"tech": ["", "框架:"]}
 # --- end of fixed values ----------------------------------------------------
 
 
@@ -79,35 +80,35 @@ def _stack(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _linked(asked: DataFrame, graph: Graph, linked: DataFrame | None) -> DataFrame:
+    """Questions with the entity they name, written once, as every part of an answer reads it."""
+    return cut(asked.join(link_entities(asked, graph) if linked is None else linked, _ID))
+
+
 def _names_of(linked: DataFrame) -> DataFrame:
     return linked.select("project", "name").distinct()
 
 
-def answer_what_is(routed: DataFrame, graph: Graph) -> DataFrame:
-    """Type, description and the first related names of the entity asked about."""
+def answer_what_is(
+    routed: DataFrame, graph: Graph, related_shown: int | None = None, linked: DataFrame | None = None
+) -> DataFrame:
+    """Type, description and related names, a line each, of the entity asked about."""
     asked = routed.where("intent = 'what_is'").select(*_ID, "intent", "question")
-    # Read by every part of the answer, so computed once; the same below.
-    linked = cut(asked.join(link_entities(asked, graph), _ID))
+    linked = _linked(asked, graph, linked)
     related = find_related(graph, _names_of(linked)).select("project", F.col("asked").alias("name"), "entity", "ord")
-    few = top_per(related, ["project", "name"], ["ord"], RELATED_SHOWN)
-    shown = few.groupBy("project", "name").agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("ord", "entity"))), lambda r: r["entity"]), ", "
-        ).alias("related")
-    )
-    found = linked.join(shown, ["project", "name"], "left")
+    shown = top_per(related, ["project", "name"], ["ord"], related_shown)
     return _stack([
-        _lines(found, 0, F.format_string("%s 是项目中的 %s。", "name", "type")),
-        _lines(found.where("coalesce(description, '') <> ''"), 1, F.concat(F.lit("描述: "), "description")),
-        _lines(found.where("related is not null"), 2, F.concat(F.lit("相关实体: "), "related")),
+        _lines(linked, 0, F.format_string("%s 是项目中的 %s。", "name", "type")),
+        _lines(linked.where("coalesce(description, '') <> ''"), 1, F.concat(F.lit("描述: "), "description")),
+        _lines(linked.join(shown, ["project", "name"]), 2, F.concat(F.lit("相关实体: "), "entity"), F.col("ord")),
         _lines(asked.join(linked, _ID, "left_anti"), 0, F.lit(UNKNOWN_ENTITY)),
     ])
 
 
-def answer_dependencies(routed: DataFrame, graph: Graph) -> DataFrame:
+def answer_dependencies(routed: DataFrame, graph: Graph, linked: DataFrame | None = None) -> DataFrame:
     """Dependencies of the entity asked about, one line each."""
     asked = routed.where("intent = 'dependencies'").select(*_ID, "intent", "question")
-    linked = cut(asked.join(link_entities(asked, graph), _ID))
+    linked = _linked(asked, graph, linked)
     needs = find_dependencies(graph, _names_of(linked)).select(
         "project", F.col("asked").alias("name"), "entity", "ord"
     )
@@ -122,27 +123,35 @@ def answer_dependencies(routed: DataFrame, graph: Graph) -> DataFrame:
 
 
 def answer_list(routed: DataFrame, graph: Graph, intent: str) -> DataFrame:
-    """Names of one type."""
-    type_, heading, nothing, cap = LISTS[intent]
+    """Whether the project has names of one type; the names are in ``answer_lists``, once per project and intent."""
+    type_, heading, nothing = LISTS[intent]
     asked = routed.where(F.col("intent") == intent).select(*_ID, "intent")
-    rows = graph.entities.where(F.col("type") == type_).select("project", "name", "ord")
-    if cap is not None:
-        rows = top_per(rows, ["project"], ["ord"], cap)
-    known = rows.select("project").distinct()
-    parts = [_lines(asked.join(rows, "project"), 1, F.concat(F.lit("  - "), "name"), F.col("ord"))]
-    if nothing is None:
-        parts.append(_lines(asked, 0, F.lit(heading)))
-    else:
-        parts.append(_lines(asked.join(known, "project", "left_semi"), 0, F.lit(heading)))
-        parts.append(_lines(asked.join(known, "project", "left_anti"), 0, F.lit(nothing)))
-    return _stack(parts)
-
-
-def answer_general(routed: DataFrame, graph: Graph) -> DataFrame:
-    """First entities that mention the whole question."""
+    known = graph.entities.where(F.col("type") == type_).select("project").distinct()
+    answered, empty = asked.join(known, "project", "left_semi"), asked.join(known, "project", "left_anti")
+    return _stack([
+        _lines(answered, 0, F.lit(heading)),
+        *[_lines(answered, 0, F.lit(text), order_key(pos=i + 1)) for i, text in enumerate(SUBHEADINGS.get(intent, []))],
+        _lines(empty, 0, F.lit(heading if nothing is None else nothing)),
+    ])
+
+
+def answer_lists(graph: Graph, shown: int | None = None) -> DataFrame:
+    """(project, intent, line_no, ord, line): what the list answers of a project enumerate, whoever asks."""
+    def lines(intent, type_):
+        rows = graph.entities.where(F.col("type") == type_).select("project", "name", "ord")
+        return top_per(rows, ["project"], ["ord"], shown).select(
+            "project", F.lit(intent).alias("intent"), F.lit(1).alias("line_no"), "ord",
+            F.concat(F.lit("  - "), "name").alias("line"),
+        )
+
+    return _stack([lines(intent, type_) for intent, (type_, _, _) in LISTS.items()])
+
+
+def answer_general(routed: DataFrame, graph: Graph, shown: int | None = None) -> DataFrame:
+    """Entities that mention the whole question, all or the first ``shown``."""
     asked = routed.where("intent = 'general'").select(*_ID, "intent", "question")
     hits = search_keywords(graph, asked.select("project", F.col("question").alias("keyword")))
-    few = cut(top_per(hits, ["project", "keyword"], ["ord"], HITS_SHOWN).select(
+    few = cut(top_per(hits, ["project", "keyword"], ["ord"], shown).select(
         "project", F.col("keyword").alias("question"), "name", "type", "source_file", "ord"
     ))
     known = few.select("project", "question").distinct()
@@ -154,14 +163,15 @@ def answer_general(routed: DataFrame, graph: Graph) -> DataFrame:
     return _stack([
         _lines(asked.join(known, on, "left_semi"), 0, F.lit("找到相关实体:")),
         _lines(asked.join(few, on), 1, line, F.col("ord")),
-        _lines(asked.join(known, on, "left_anti"), 0, F.lit(UNKNOWN_QUESTION)),
+        *[_lines(asked.join(known, on, "left_anti"), i, F.lit(text)) for i, text in enumerate([UNKNOWN_QUESTION, *EXAMPLES])],
     ])
 
 
 def answer(questions: DataFrame, graph: Graph, case_insensitive: bool = False) -> DataFrame:
-    """Route every question and answer it."""
+    """Route every question and answer it. Names that an answer enumerates are in ``answer_lists``."""
     routed = route_questions(questions, case_insensitive)
+    linked = cut(link_entities(routed.where("intent in ('what_is', 'dependencies')"), graph))
     return _stack(
-        [answer_what_is(routed, graph), answer_dependencies(routed, graph), answer_general(routed, graph)]
+        [answer_what_is(routed, graph, linked=linked), answer_dependencies(routed, graph, linked), answer_general(routed, graph)]
         + [answer_list(routed, graph, intent) for intent in LISTS]
     )

@@ -16,6 +16,7 @@ from graphloom.functions.ordered import dense_index
 from graphloom.functions.text import all_matches, base_name, blank_to_null, file_stem, strip
 from graphloom.operators.dedupe import keep_one
 from graphloom.schema import DB_MARKERS, FRONTEND_EXTENSIONS, NOT_SERVICE_CALLS, order_key
+from graphloom.session import cut
 
 # --- fixed values: what routes, services, models and calls look like --------
 ROUTES = [
@@ -40,7 +41,6 @@ FRONTEND_CALLS = [  # pattern, groups of method and path
     (r"""api\.(get|post|put|delete)\s*\(\s*[`"']([^`"']+)[`"']""", 1, 2),
 ]
 SERVICE_CALL = r"(?U)(?:await\s+)?(?:\w+_service|service)\.(\w+)\s*\("
-REPORT_CALLS, REPORT_FIELDS = 3, 10
 # --- end of fixed values ----------------------------------------------------
 
 
@@ -90,6 +90,9 @@ def backend_routes(files: DataFrame, backend: str = "backend") -> DataFrame:
         strip(text).alias("description"), blank_to_null(body_type).alias("request_body"),
         F.regexp_extract_all(content, F.lit(DEPENDS), F.lit(2)).alias("dependencies"),
         F.regexp_extract_all(body, F.lit(SERVICE_CALL), F.lit(1)).alias("service_calls"),
+        F.transform(
+            F.regexp_extract_all(body, F.lit(SERVICE_CALL), F.lit(0)), lambda m: F.regexp_extract(m, r"(?U)(\w+)\.\w+\s*\($", 1)
+        ).alias("service_receivers"),
         order_key(0, F.col("path"), 0, F.col("r.pat"), F.col("r.pos")).alias("ord"),
     )
 
@@ -209,33 +212,50 @@ def match_paths(routes: DataFrame, calls: DataFrame) -> DataFrame:
 
 
 def data_flows(routes: DataFrame, services: DataFrame) -> DataFrame:
-    """One row per route and service call, with the database operations of the services' method
-    of that name; a route without service calls has one row of nulls."""
+    """One row per route and service call, with the database operations of the method called; a
+    route without service calls has one row of nulls.
+
+    The receiver names the class (``user_service`` is ``UserService``) or its file. Where it names neither,
+    the call goes to the method of that name if the project has only one.
+    """
+    def plain(name) -> Column:
+        return F.lower(F.replace(name, F.lit("_"), F.lit("")))
+
     calls = routes.select(
         "project", "method", "route", "handler", "file_path", "ord",
-        F.posexplode_outer("service_calls").alias("call_no", "service_call"),
+        F.posexplode_outer(F.arrays_zip("service_calls", "service_receivers")).alias("call_no", "call"),
+    ).select(
+        "project", "method", "route", "handler", "file_path", "ord", "call_no",
+        F.col("call.service_calls").alias("service_call"), plain(F.col("call.service_receivers")).alias("owner"),
     )
-    methods = services.select(
-        "project", F.col("name").alias("service_call"), "class_name", "db_operations"
+    methods = services.select("project", F.col("name").alias("service_call"), "class_name", "db_operations", "file_path")
+    owners = F.array_distinct(F.array(plain(F.col("class_name")), plain(file_stem(F.col("file_path")))))
+    owned = methods.select("project", "service_call", "class_name", "db_operations", F.explode(owners).alias("owner"))
+    sole = methods.groupBy("project", "service_call").agg(
+        F.count("*").alias("_n"), F.min_by(F.struct("class_name", "db_operations"), "class_name").alias("_only")
+    ).where("_n = 1").drop("_n")
+    found = calls.join(owned, ["project", "service_call", "owner"], "left").join(sole, ["project", "service_call"], "left")
+    return found.select(
+        "project", "service_call", "method", "route", "handler", "file_path", "ord", "call_no",
+        F.coalesce("class_name", "_only.class_name").alias("class_name"),
+        F.coalesce("db_operations", "_only.db_operations").alias("db_operations"),
     )
-    return calls.join(methods, ["project", "service_call"], "left")
 
 
 def dataflow_report(files: DataFrame, backend: str = "backend", frontend: str = "frontend") -> Report:
     """The four tables of the report: endpoints, flows by module, services by class, models."""
-    routes = match_paths(backend_routes(files, backend), frontend_calls(files, frontend))
-    services = service_methods(files, backend)
+    # Each is read by several tables and for the project heads, and is far smaller than the code.
+    routes = cut(match_paths(backend_routes(files, backend), frontend_calls(files, frontend)))
+    services = cut(service_methods(files, backend))
+    defined = cut(models(files, backend))
     flows = data_flows(routes, services).withColumn("module", file_stem(F.col("file_path")))
     return Report(
         routes.select("project", "method", "route", "handler", "description", "request_body", "dependencies", "ord"),
         flows,
         services.select(
-            "project", "class_name", "file_path", "name", F.slice("calls", 1, REPORT_CALLS).alias("calls"),
-            "db_operations", "ord",
-        ),
-        models(files, backend).select(
-            "project", "name", "kind", "file_path", F.slice("fields", 1, REPORT_FIELDS).alias("fields"), "ord"
+            "project", "class_name", "file_path", "name", "calls", "db_operations", "ord",
         ),
+        defined.select("project", "name", "kind", "file_path", "fields", "ord"),
     )
 
 
@@ -326,17 +346,21 @@ def dataflow_graph(routes: DataFrame, services: DataFrame) -> FlowGraph:
         .unionByName(
             edges(
                 services.where(F.size("db_operations") > 0), F.col("service"), F.lit("🗄️ 数据库"),
-                F.array_join(F.slice("db_operations", 1, 2), ", "),
+                F.array_join("db_operations", ", "),
             )
         )
     )
     return FlowGraph(all_nodes, all_edges)
 
 
-def dataflow_lines(routes: DataFrame, services: DataFrame, shown: int = 10, calls: int = 2) -> DataFrame:
-    """Mermaid diagram of the first routes and services per project: (project, section, line_no, line)."""
-    first = dense_index(routes, ["project", "ord"], "i", within="project").where(F.col("i") < shown)
-    tools = dense_index(services, ["project", "ord"], "j", within="project").where(F.col("j") < shown)
+def dataflow_lines(
+    routes: DataFrame, services: DataFrame, shown: int | None = None, calls: int | None = None
+) -> DataFrame:
+    """Mermaid diagram of routes and services, all or the first ``shown`` per project and ``calls`` per
+    route: (project, section, line_no, line)."""
+    limit = F.lit(True) if shown is None else F.col("n") < shown
+    first = dense_index(routes, ["project", "ord"], "n", within="project").where(limit).withColumnRenamed("n", "i")
+    tools = dense_index(services, ["project", "ord"], "n", within="project").where(limit).withColumnRenamed("n", "j")
     projects = routes.select("project").union(services.select("project")).distinct()
     head = F.array(*[F.lit(t) for t in (
         "graph LR", "    classDef frontend fill:#61dafb,stroke:#21a0c4,color:black",
@@ -355,11 +379,12 @@ def dataflow_lines(routes: DataFrame, services: DataFrame, shown: int = 10, call
         exploded = frame.select("*", F.posexplode(F.array(*lines)).alias("_k", "line"))
         return rows(exploded, section, number * len(lines) + F.col("_k"), F.col("line"))
 
-    # At most `shown` routes x `calls` calls x `shown` services per project.
-    wanted = first.select("project", "i", F.explode(F.slice("service_calls", 1, calls)).alias("call"))
-    links = wanted.join(tools.select("project", "j", "class_name", "name"), "project").where(
-        F.contains(F.concat_ws(".", "class_name", "name"), F.col("call"))
-    )
+    named = F.col("service_calls") if calls is None else F.slice("service_calls", 1, calls)
+    wanted = first.select("project", "i", F.explode(F.array_distinct(named)).alias("call"))
+    keys = tools.select("project", "j", F.concat_ws(".", "class_name", "name").alias("service"))
+    hits = substring_join(
+        keys, "service", wanted.select("project", "call").distinct(), "call", ["project", "j"], on=["project"])
+    links = wanted.join(hits.select("project", "j", "call"), ["project", "call"]).select("project", "i", "j").distinct()
     return (
         pairs(projects, 0, F.lit(0), *[F.get(head, F.lit(k)) for k in range(7)])
         .unionByName(pairs(
@@ -367,7 +392,7 @@ def dataflow_lines(routes: DataFrame, services: DataFrame, shown: int = 10, call
             F.format_string("    Frontend --> API_%d", "i"),
         ))
         .unionByName(rows(tools, 2, F.col("j"), F.format_string('    SVC_%d["%s.%s"]:::service', "j", "class_name", "name")))
-        .unionByName(rows(links, 3, F.col("i") * shown + F.col("j"), F.format_string("    API_%d --> SVC_%d", "i", "j")))
+        .unionByName(rows(links, 3, F.shiftleft("i", 32) + F.col("j"), F.format_string("    API_%d --> SVC_%d", "i", "j")))
         .unionByName(rows(projects, 4, F.lit(0), F.lit('    DB[("🗄️ 数据库")]:::database')))
         .unionByName(rows(tools, 5, F.col("j"), F.format_string("    SVC_%d --> DB", "j")))
     )

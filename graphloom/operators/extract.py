@@ -159,7 +159,7 @@ def heading_rule(content: Column, title: Column, stop_terms: Sequence[str]):
         text = F.filter(
             F.slice(after, 2, 1 << 30), lambda line: (line != "") & ~line.rlike("^(?:#|```)")
         )
-        return F.substring(F.try_element_at(text, F.lit(1)), 1, 100)
+        return F.try_element_at(text, F.lit(1))
 
     return (
         F.transform(kept, lambda h: _entity(h["name"], "Module", description(h), 4, 0, h["i"])),

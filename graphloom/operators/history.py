@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from graphloom.functions.ordered import last_known, top_per
+from graphloom.functions.ordered import dense_index, last_known, top_per
 from graphloom.functions.text import strip, suffix
 from graphloom.session import cut
 
@@ -17,9 +17,6 @@ from graphloom.session import cut
 HEADER = r"^([^|]*)\|(.*)\|([^|]*)\|([0-9]{4}-[0-9]{2}-[0-9]{2})$"
 FOUR_PARTS = r"^([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)$"
 NUMSTAT = r"^([0-9]+|-)\t([0-9]+|-)\t([^\t]+)$"
-CONTRIBUTORS_SHOWN = 10
-FILE_COMMITS_SHOWN = 50
-FILE_TYPES_SHOWN = 10
 NO_SUFFIX = "无扩展名"
 # --- end of fixed values ----------------------------------------------------
 
@@ -87,7 +84,11 @@ def contributors(commits: DataFrame) -> DataFrame:
 
 def touched_paths(lines: DataFrame, strict: bool = False) -> DataFrame:
     """(repo, commit, path, old_path): what each commit touched; old_path where it renamed."""
-    owned = _owned_lines(lines, strict).where(~F.col("is_header") & F.col("line").rlike(NUMSTAT))
+    return _touched(_owned_lines(lines, strict))
+
+
+def _touched(owned: DataFrame) -> DataFrame:
+    owned = owned.where(~F.col("is_header") & F.col("line").rlike(NUMSTAT))
     raw = F.regexp_extract("line", NUMSTAT, 3)
     renames = F.contains(raw, F.lit(" => "))
 
@@ -103,17 +104,28 @@ def touched_paths(lines: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def _names_over_time(touched: DataFrame, paths: DataFrame) -> DataFrame:
-    """(repo, asked, path): every name the asked files had, renames followed back."""
-    moves = touched.where("old_path is not null").select("repo", "path", "old_path").distinct()
-    known = cut(paths.select("repo", F.col("path").alias("asked"), "path").distinct())
-    newest = known
+    """(repo, asked, path, after, until): every name the asked files had, and the commits it held for.
+
+    A log has the newest commit first. A name holds from after the commit that renamed it on (``after``)
+    back to the one that gave it (``until``, null if none), so a new file at an old path is another file.
+    """
+    moves = cut(touched.where("old_path is not null").select("repo", F.col("commit").alias("at"), "path", "old_path").distinct())
+    names = []
+    newest = paths.select("repo", F.col("path").alias("asked"), "path", F.lit(None).cast(moves.schema["at"].dataType).alias("after")).distinct()
     # One round per rename in a file's life; a round without a new name ends it.
     while True:
-        older = newest.join(moves, ["repo", "path"]).select("repo", "asked", F.col("old_path").alias("path"))
-        newest = cut(older.distinct().join(known, ["repo", "asked", "path"], "left_anti"))
+        n, m = newest.alias("n"), moves.alias("m")
+        earlier = F.col("n.after").isNull() | (F.col("m.at") > F.col("n.after"))
+        same = (F.col("n.repo") == F.col("m.repo")) & (F.col("n.path") == F.col("m.path"))
+        named = cut(n.join(m, same & earlier, "left").groupBy("n.repo", "n.asked", "n.path", "n.after").agg(
+            F.min("m.at").alias("until"), F.min_by("m.old_path", F.struct("m.at", "m.old_path")).alias("old_path")))
+        names.append(named.drop("old_path"))
+        newest = named.where("old_path is not null").select("repo", "asked", F.col("old_path").alias("path"), F.col("until").alias("after"))
         if newest.isEmpty():
-            return known
-        known = known.unionByName(newest)
+            out = names[0]
+            for more in names[1:]:
+                out = out.unionByName(more)
+            return out
 
 
 def file_commits(lines: DataFrame, paths: DataFrame | None = None, strict: bool = False) -> DataFrame:
@@ -121,13 +133,16 @@ def file_commits(lines: DataFrame, paths: DataFrame | None = None, strict: bool
 
     With ``paths`` (repo, path) renames are followed; without, every path stands for itself.
     """
-    touched = touched_paths(lines, strict)
+    # Read by the paths and by the headers, so parsed once.
+    owned = cut(_owned_lines(lines, strict).select("repo", "commit", "is_header", "line"))
+    touched = _touched(owned)
     if paths is None:
         rows = touched.select("repo", F.col("path").alias("file"), "commit").distinct()
     else:
         names = _names_over_time(touched, paths)
-        rows = touched.join(names, ["repo", "path"]).select("repo", F.col("asked").alias("file"), "commit").distinct()
-    heads = _owned_lines(lines, strict).where("is_header").select("repo", "commit", _header_fields(strict).alias("h"))
+        held = (F.col("after").isNull() | (F.col("commit") > F.col("after"))) & (F.col("until").isNull() | (F.col("commit") <= F.col("until")))
+        rows = touched.join(names, ["repo", "path"]).where(held).select("repo", F.col("asked").alias("file"), "commit").distinct()
+    heads = owned.where("is_header").select("repo", "commit", _header_fields(strict).alias("h"))
     return rows.join(heads, ["repo", "commit"]).select("repo", "file", "commit", "h.*")
 
 
@@ -140,8 +155,8 @@ def file_history(lines: DataFrame, paths: DataFrame | None = None, strict: bool
     )
 
 
-def latest_file_commits(rows: DataFrame, k: int = FILE_COMMITS_SHOWN) -> DataFrame:
-    """The most recent commits per file; a log has the newest first."""
+def latest_file_commits(rows: DataFrame, k: int | None = None) -> DataFrame:
+    """The commits per file, all or the most recent ``k``; a log has the newest first."""
     return top_per(rows, ["repo", "file"], ["commit"], k)
 
 
@@ -168,10 +183,14 @@ def monthly_commits(commits: DataFrame) -> DataFrame:
     return commits.groupBy("repo", F.substring("date", 1, 7).alias("month")).agg(F.count("*").alias("commits"))
 
 
-def contributor_lines(people: DataFrame, k: int = CONTRIBUTORS_SHOWN) -> DataFrame:
-    """Mermaid star of the top contributors per repository: (repo, section, line_no, line)."""
-    place = F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("commits"), "first_seen"))
-    top = people.withColumn("n", place).where(F.col("n") <= k).withColumn("n", F.col("n") - 1)
+def contributor_lines(people: DataFrame, k: int | None = None) -> DataFrame:
+    """Mermaid star of the contributors per repository, all or the top ``k``: (repo, section, line_no, line)."""
+    if k is None:
+        keyed = people.withColumn("_most", -F.col("commits"))
+        top = dense_index(keyed, ["repo", "_most", "first_seen"], "n", within="repo").drop("_most")
+    else:
+        place = F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("commits"), "first_seen"))
+        top = people.withColumn("n", place).where(F.col("n") <= k).withColumn("n", F.col("n") - 1)
     style = F.when(F.col("n") == 0, "topContributor").otherwise("contributor")
     label = F.format_string(
         '    C%d["%s\\n%d次提交"]:::%s', "n", F.replace(F.col("name"), F.lit(" "), F.lit("_")), "commits", style
@@ -193,8 +212,8 @@ def contributor_lines(people: DataFrame, k: int = CONTRIBUTORS_SHOWN) -> DataFra
     )
 
 
-def file_type_histogram(files: DataFrame, k: int = FILE_TYPES_SHOWN) -> DataFrame:
-    """Most frequent suffixes per repository with the number of its files. Files are (repo, path)."""
+def file_type_histogram(files: DataFrame, k: int | None = None) -> DataFrame:
+    """Suffixes per repository, all or the ``k`` most frequent, with the number of its files. Files are (repo, path)."""
     ext = suffix(F.col("path"))
     counts = files.withColumn("ext", F.when(ext == "", NO_SUFFIX).otherwise(ext)).groupBy("repo", "ext").agg(
         F.count("*").alias("count"), F.min("path").alias("_first")

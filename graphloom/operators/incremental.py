@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from graphloom.graph import Graph
 from graphloom.operators.extract import extract_facts, graph_of_facts
 from graphloom.schema import ENTITY, RELATION
-from graphloom.session import cut, if_small
+from graphloom.session import cut
 
 
 class Update(NamedTuple):
@@ -99,8 +99,7 @@ def upsert(graph: Graph, new: Graph, generation: int = 1) -> Graph:
 def extract_changed(files: DataFrame, changes: DataFrame, title_fallback: str = "stem", **options) -> Graph:
     """Rules over added and modified files only."""
     touched = changes.where("change_type in ('added', 'modified')").select("project", "path")
-    # Few changes are broadcast, so that the texts of unchanged files are never shuffled.
-    changed = files.join(if_small(touched), ["project", "path"], "left_semi")
+    changed = files.join(touched, ["project", "path"], "left_semi")
     return graph_of_facts(cut(extract_facts(changed, title_fallback, **options)))
 
 
@@ -120,8 +119,18 @@ def apply_incremental(
     that vanished from a modified file stay unless ``purge_modified``. Nothing is
     deduplicated across files or inferred; extract_graph does that.
     """
-    current = current_manifest(files)
+    # The files may change while they are read. What is extracted is written first and has to have
+    # the listed hash; a file that no longer has it is left out of the manifest, for the next update.
+    current = cut(current_manifest(files))
     changes = cut(detect_changes(current, manifest))
+    on = ["project", "path"]
+    wanted = current.join(changes.where("change_type in ('added', 'modified')").select(*on), on, "left_semi")
+    files = files.withColumn("content_hash", content_hash(F.col("content")))
+    files = cut(files.join(wanted.select(*on, "content_hash"), [*on, "content_hash"], "left_semi"))
+    missed = wanted.join(files, on, "left_anti").select(*on)
+    current = cut(current.join(missed, on, "left_anti"))
+    changes = cut(changes.join(missed, on, "left_anti"))
+    files = files.drop("content_hash")
     gone = changes.where("change_type in ('deleted', 'modified')" if purge_modified else "change_type = 'deleted'")
     new = extract_changed(files, changes, title_fallback, **options)
     return Update(upsert(remove_files(graph, gone), new, generation), current, changes)

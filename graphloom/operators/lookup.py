@@ -15,6 +15,7 @@ from graphloom.functions.grams import substring_join
 from graphloom.functions.ordered import top_per
 from graphloom.graph import Graph
 from graphloom.operators.dedupe import keep_one
+from graphloom.session import cut
 
 
 def first_entity(graph: Graph, names: DataFrame | str | None = None) -> DataFrame:
@@ -135,17 +136,19 @@ def search_keywords(graph: Graph, keywords: DataFrame, keys: Sequence[str] = ("p
 
     With the default keys a keyword is asked of its project; with none, of all.
     """
+    # Graphs put together by hand may use a place twice; with name and type it is one entity.
+    row = ["project", "ord", "name", "type"]
     fields = graph.entities.select(
-        "project", "ord", F.explode(F.array_compact(F.array(
+        *row, F.explode(F.array_compact(F.array(
             F.struct(F.lit(0).alias("field"), F.lower("name").alias("text")),
             F.when(F.col("description").isNotNull(),
                    F.struct(F.lit(1).alias("field"), F.lower("description").alias("text"))),
         ))).alias("f"),
-    ).select("project", "ord", "f.field", "f.text")
+    ).select(*row, "f.field", "f.text")
     asked = keywords.select(*keys, F.lower("keyword").alias("needle"), "keyword").distinct()
-    pairs = substring_join(fields, "text", asked, "needle", ["project", "ord", "field"], on=list(keys))
-    hits = pairs.select("project", "ord", "keyword").distinct()
-    return hits.join(graph.entities, ["project", "ord"])
+    pairs = substring_join(fields, "text", asked, "needle", [*row, "field"], on=list(keys))
+    hits = pairs.select(*row, "keyword").distinct()
+    return hits.join(graph.entities, row)
 
 
 def dependencies_both(graph: Graph, names: DataFrame | str) -> DataFrame:
@@ -157,8 +160,8 @@ def dependencies_both(graph: Graph, names: DataFrame | str) -> DataFrame:
     )
 
 
-def dependency_tree(graph: Graph, names: DataFrame | str, children: int = 5) -> DataFrame:
-    """Dependencies of each name and, under each, its first few dependencies.
+def dependency_tree(graph: Graph, names: DataFrame | str, children: int | None = None) -> DataFrame:
+    """Dependencies of each name and, under each, its dependencies, all or the first ``children``.
 
     ``more`` counts the dependencies of a dependency beyond those shown.
     """
@@ -166,9 +169,10 @@ def dependency_tree(graph: Graph, names: DataFrame | str, children: int = 5) ->
     edges = graph.relations.where("type = 'depends_on'").select(
         "project", F.lower("source").alias("key"), "target", "ord"
     )
-    resolved = _partner(edges, graph, "target").select(
+    # The asked level and the one below read it.
+    resolved = cut(_partner(edges, graph, "target").select(
         "project", "key", "ord", "entity", "entity_type", F.lower("entity").alias("entity_key")
-    )
+    ))
     asked = _asked(graph, names).join(entities.select("project", "key"), ["project", "key"], "left_semi")
     level1 = resolved.join(asked, ["project", "key"]).drop("key").withColumnRenamed("entity_key", "key")
     below = resolved.join(level1.select("project", "key").distinct(), ["project", "key"], "left_semi")
@@ -183,7 +187,8 @@ def dependency_tree(graph: Graph, names: DataFrame | str, children: int = 5) ->
         .select(
             "project", "asked", F.col("entity").alias("dependency"), F.col("entity_type").alias("dependency_type"),
             "ord", "child", "child_type", "child_ord",
-            F.greatest(F.coalesce("_total", F.lit(0)) - children, F.lit(0)).alias("more"),
+            F.greatest(F.coalesce("_total", F.lit(0)) - children, F.lit(0)).alias("more")
+            if children is not None else F.lit(0).cast("bigint").alias("more"),
         )
     )
 
@@ -227,24 +232,24 @@ def entity_detail(graph: Graph, names: DataFrame | str) -> DataFrame:
     return entity.join(rows, ["project", "asked"], "left")
 
 
-def category(graph: Graph, type_: str, limit: int = 20) -> DataFrame:
-    """First entities of a type per project, with the type's total."""
+def category(graph: Graph, type_: str, limit: int | None = None) -> DataFrame:
+    """Entities of a type, or the first of each project, with the type's total."""
     return list_entities(graph, type_, limit)
 
 
-def _first_rows(rows: DataFrame, limit: int) -> DataFrame:
+def _first_rows(rows: DataFrame, limit: int | None) -> DataFrame:
     totals = rows.groupBy("project").agg(F.count("*").alias("total"))
     return top_per(rows, ["project"], ["ord"], limit).join(totals, "project")
 
 
-def list_entities(graph: Graph, type_: str | None = None, limit: int = 100) -> DataFrame:
-    """First entities per project, optionally of one type, with the total."""
+def list_entities(graph: Graph, type_: str | None = None, limit: int | None = None) -> DataFrame:
+    """Entities, or the first per project, optionally of one type, with the total."""
     rows = graph.entities if type_ is None else find_entities_by_type(graph, type_)
     return _first_rows(rows, limit)
 
 
-def list_relations(graph: Graph, limit: int = 100) -> DataFrame:
-    """First relations per project with the total."""
+def list_relations(graph: Graph, limit: int | None = None) -> DataFrame:
+    """Relations, or the first per project, with the total."""
     return _first_rows(graph.relations, limit)
 
 

@@ -187,10 +187,18 @@ def merge_graphs(
 ) -> Graph:
     """All projects of a graph merged into the project ``into``."""
     entities, relations = _prepared(graph, strategy, projects, prefix)
-    # Fold order as one ord: the project's number leads.
+    # Fold order as one ord: pairs of project and generation, numbered, take the generation's place.
+    pair = ["_project", "_gen"]
+
+    def split(frame):
+        return frame.withColumns({"_project": F.col("seq.project_no"), "_gen": F.col("seq.ord.gen")})
+
+    pairs = split(entities).select(*pair).union(split(relations).select(*pair)).distinct()
+    pairs = dense_index(pairs, pair, "_n")
+
     def finish(frame):
-        place = F.col("seq.ord").withField("gen", F.col("seq.project_no").cast("int"))
-        return frame.withColumn("project", F.lit(into)).withColumn("ord", place)
+        place = F.col("seq.ord").withField("gen", F.col("_n").cast("int"))
+        return split(frame).join(pairs, pair).withColumn("project", F.lit(into)).withColumn("ord", place)
 
     return Graph.of(
         finish(_merge_entities(entities, relations, strategy)), finish(_merge_relations(relations, dedupe))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from graphloom.graph import Graph
 from graphloom.schema import order_key
+from graphloom.session import cut
 
 # fn(path, content) -> (entities, relations); rows are dicts with the graph's fields.
 Extract = Callable[[str, str], tuple[Iterable[dict], Iterable[dict]]]
@@ -77,7 +78,10 @@ class Registry:
 
     def extract(self, files: DataFrame) -> Graph:
         """Entities and relations of all extractors, duplicates kept."""
-        facts = self.facts(files)
+        return self.graph_of(cut(self.facts(files)))
+
+    def graph_of(self, facts: DataFrame) -> Graph:
+        """The graph of what ``facts`` gave, which should be stored: both sides read it."""
         # After the built-in rules, in registration order.
         rank = F.lit(None)
         for i, name in enumerate(self.extractors):
@@ -132,4 +136,5 @@ def extraction_totals(outcomes: DataFrame) -> DataFrame:
 
 def extract_with_errors(files: DataFrame, registry: Registry) -> tuple[Graph, DataFrame]:
     """The extractors' graph and the outcome per file."""
-    return registry.extract(files), file_outcomes(registry.facts(files))
+    facts = cut(registry.facts(files))
+    return registry.graph_of(facts), file_outcomes(facts)

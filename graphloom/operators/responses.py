@@ -8,7 +8,7 @@ from graphloom.graph import Graph
 from graphloom.operators.dedupe import dedupe_entities, dedupe_relations
 from graphloom.schema import RELATION_TYPES, RESPONSE_ENTITY_TYPES, order_key
 
-# How much of a file a prompt holds, and the shape of an answer.
+# How much text a prompt holds, and the shape of an answer.
 PROMPT_CHARACTERS = 8000
 RESPONSE = (
     "entities array<struct<name:string,type:string,description:string>>, "
@@ -16,14 +16,18 @@ RESPONSE = (
 )
 
 
-def prompt_requests(files: DataFrame) -> DataFrame:
-    """One message per file: its kind, its path and the start of its text."""
+def prompt_requests(files: DataFrame, size: int = PROMPT_CHARACTERS) -> DataFrame:
+    """Messages of each file, ``part`` of ``parts`` from 0: its kind, its path and the next piece of its text."""
     kind = F.when(F.col("kind") == "md", "document").otherwise("code")
-    return files.select(
-        "project", "path",
+    pieces = F.greatest(F.ceil(F.length("content") / size).cast("int"), F.lit(1))
+    parts = files.select("project", "path", kind.alias("kind"), "content", pieces.alias("parts")).select(
+        "*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    )
+    return parts.select(
+        "project", "path", "part", "parts",
         F.concat(
-            F.lit("Analyze this "), kind, F.lit(" file ("), "path", F.lit("):\n\n"),
-            F.substring("content", 1, PROMPT_CHARACTERS),
+            F.lit("Analyze this "), "kind", F.lit(" file ("), "path", F.lit("):\n\n"),
+            F.substring("content", F.col("part") * size + 1, F.lit(size)),
         ).alias("message"),
     )
 

@@ -45,8 +45,8 @@ def tech_groups(graph: Graph) -> DataFrame:
     return rows.select("project", "type", "name", "ord")
 
 
-def top_modules(graph: Graph, k: int = 15) -> DataFrame:
-    """First modules per project with their description."""
+def top_modules(graph: Graph, k: int | None = None) -> DataFrame:
+    """Modules with their description, all or the first ``k`` per project."""
     rows = graph.entities.where("type = 'Module'").select("project", "name", "description", "ord")
     return top_per(rows, ["project"], ["ord"], k)
 

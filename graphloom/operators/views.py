@@ -80,7 +80,7 @@ def write_database_json(graph: Graph, path: str, mode: str = "overwrite") -> Non
     view.edges.write.mode(mode).partitionBy("project").json(f"{path}/relationships")
 
 
-def ego_lines(graph: Graph, names: DataFrame | str, shown: int = 10) -> DataFrame:
+def ego_lines(graph: Graph, names: DataFrame | str, shown: int | None = None) -> DataFrame:
     """Mermaid diagram around each name: (project, asked, section, ord, line)."""
     entity = _asked(graph, names).join(first_entity(graph), ["project", "key"]).select(
         "project", "asked", "key", "name"

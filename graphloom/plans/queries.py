@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -17,11 +18,13 @@ from graphloom.plans.corpus import PROSE_LEXICON, Corpus, with_views
 from graphloom.schema import (
     COMMAND_PREFIXES, ENTITY_TYPES, LEXICON, QUESTION_KEYWORDS, RELATION_TYPES, RESPONSE_ENTITY_TYPES,
 )
-from graphloom.session import cut
+from graphloom.session import checkpoint_dir, cut
 from graphloom.sinks import lines as line_sinks
 from graphloom.sinks import tables as table_sinks
-from graphloom.sources.tree import parse_documents
-from graphloom.streaming.changes import debounce, watch_filter
+from graphloom.sources.gitlog import read_git_log
+from graphloom.sources.graphs import read_graph, read_manifest
+from graphloom.sources.tree import parse_documents, scan_projects, scan_tree
+from graphloom.streaming.changes import debounce, watch_changes, watch_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,9 +72,80 @@ def _ordinal(df: DataFrame) -> DataFrame:
     return df.withColumn("pos", F.col("ord.pos")).drop("ord")
 
 
+def _folder(c) -> str:
+    """A new folder beside the stored intermediate results."""
+    return f"{checkpoint_dir(c.spark).rstrip('/')}/graphloom-{uuid.uuid4().hex}"
+
+
 # --- sources ----------------------------------------------------------------
 
 
+@query("select project, name, type, description, source_file, kind, pos from ent", "ent")
+def stored_entities(c):
+    path = _folder(c)
+    table_sinks.write_graph(c.graph(), path)
+    return read_graph(c.spark, path).entities.select("project", "name", "type", "description", "source_file", "ord.kind", "ord.pos")
+
+
+@query("select project, source, target, type, source_file from rel", "rel")
+def stored_relations(c):
+    path = _folder(c)
+    table_sinks.write_graph(c.graph(), path)
+    return read_graph(c.spark, path).relations.select("project", "source", "target", "type", "source_file")
+
+
+@query("""
+    select project, path, md5(content) as content_hash from (
+        select project, path, content from md union all select project, path, content from notes) f
+""", "md notes")
+def stored_manifest(c):
+    path = _folder(c)
+    table_sinks.write_manifest(incremental.current_manifest(c.files("md", "notes")), path)
+    return read_manifest(c.spark, path)
+
+
+@query("""
+    select 'GET' as method, '/orders/' || cast(o_orderkey as varchar) as route, 'order_' || cast(o_orderkey as varchar) as handler from orders
+""")
+def stored_flow(c):
+    path, endpoints = _folder(c), _endpoints(c.files("code"))
+    table_sinks.write_flow(endpoints, endpoints.select("project", "handler"), path)
+    return c.spark.read.json(f"{path}/api_endpoints").select("method", "route", "handler")
+
+
+@query('select line, count(*) as "count" from log group by 1', "log")
+def stored_log(c):
+    path = _folder(c)
+    c.log().select("line").write.text(path)
+    return read_git_log(c.spark, path).groupBy("line").agg(F.count("*").alias("count"))
+
+
+def _written_texts(c) -> str:
+    """The documents as files of a thousand lines at most, in a folder per source."""
+    path = _folder(c)
+    lines = c.table("documents").select("source", F.regexp_replace("text", "[\\r\\n]", " ").alias("value"))
+    lines.write.option("maxRecordsPerFile", 1000).partitionBy("source").text(path)
+    return path
+
+
+_TEXT_LINES = "select {source} as project, md5(regexp_replace(text, '[\\r\\n]', ' ', 'g')) as line, count(*) as \"count\" from documents group by all"
+
+
+def _line_counts(files: DataFrame) -> DataFrame:
+    rows = files.select("project", F.explode(F.split(F.regexp_replace("content", "\\n$", ""), "\\n")).alias("line"))
+    return rows.groupBy("project", F.md5("line").alias("line")).agg(F.count("*").alias("count"))
+
+
+@query(_TEXT_LINES.format(source="'source=' || source"))
+def scanned_projects(c):
+    return _line_counts(scan_projects(c.spark, parent=_written_texts(c), extensions=["txt"]))
+
+
+@query(_TEXT_LINES.format(source="'texts'"))
+def scanned_tree(c):
+    return _line_counts(scan_tree(c.spark, _written_texts(c), project="texts", extensions=["txt"]))
+
+
 @query("""
     select project, path, regexp_extract(content, '^# ([^\\n]*)', 1) as title, count(*) as headings from (
         select project, path, content, unnest(string_split(content, chr(10))) as line
@@ -104,9 +178,10 @@ def parse_url(c):
 
 @query("""
     select project, path, 'Analyze this ' || kind || ' file (' || path || '):' || chr(10) || chr(10)
-           || substr(content, 1, 8000) as message
-    from (select project, path, content, 'document' as kind from notes
-          union all select project, path, content, 'code' from code) f
+           || substr(content, part * 8000 + 1, 8000) as message, part, parts
+    from (select *, unnest(range(parts))::integer as part from (
+        select *, greatest(ceil(length(content) / 8000.0), 1)::integer as parts from (
+            select project, path, content, 'document' as kind from notes union all select project, path, content, 'code' from code) f) g) h
 """, "notes code")
 def prompt_requests(c):
     return responses.prompt_requests(c.files("notes", "code"))
@@ -212,8 +287,8 @@ def doc_commands(c):
     select replace(p_brand, '#', '_') as project, p_type as name, 'Made by ' || p_brand || '.' as description,
            'docs/part_' || cast(p_partkey as varchar) || '.md' as source_file from part
     union all
-    select source, 'Notes ' || lang, substr(trim(regexp_extract(
-        text, '^(?:[ \\t\\r\\f\\v]*(?:(?:#|```)[^\\n]*)?\\n)*([^\\n]*)', 1), ' ' || chr(9) || chr(13)), 1, 100),
+    select source, 'Notes ' || lang, trim(regexp_extract(
+        text, '^(?:[ \\t\\r\\f\\v]*(?:(?:#|```)[^\\n]*)?\\n)*([^\\n]*)', 1), ' ' || chr(9) || chr(13)),
         'notes/' || cast(doc_id as varchar) || '.md' from documents
 """)
 def heading_modules(c):
@@ -444,9 +519,9 @@ def dependencies_both(c):
                    count(*) over (partition by r.project, lower(r.source)) as n
             from rel r join f on f.project = r.project and f.key = lower(r.target) where r.type = 'depends_on')
     select e.project, e.name as asked, d.entity as dependency, k.entity as child,
-           greatest(coalesce(max(k.n) over (partition by e.project, e.name, d.entity), 0) - 5, 0) as more
+           cast(0 as bigint) as more
     from (select distinct project, name from ent) e join dep d on d.project = e.project and d.key = lower(e.name)
-    left join (select * from dep where rn <= 5) k on k.project = d.project and k.key = lower(d.entity)
+    left join dep k on k.project = d.project and k.key = lower(d.entity)
 """, "ent rel")
 def dependency_tree(c):
     return lookup.dependency_tree(c.graph(), c.names()).select("project", "asked", "dependency", "child", "more")
@@ -484,7 +559,7 @@ def entity_detail(c):
 @query("""
     select project, name, total from (
         select project, name, row_number() over (partition by project order by kind, pos) as rn,
-               count(*) over (partition by project) as total from ent where type = 'Feature') t where rn <= 20
+               count(*) over (partition by project) as total from ent where type = 'Feature') t
 """, "ent")
 def category(c):
     return lookup.category(c.graph(), "Feature").select("project", "name", "total")
@@ -493,7 +568,7 @@ def category(c):
 @query("""
     select project, name, type, total from (
         select project, name, type, row_number() over (partition by project order by kind, pos) as rn,
-               count(*) over (partition by project) as total from ent) t where rn <= 100
+               count(*) over (partition by project) as total from ent) t
 """, "ent")
 def list_entities(c):
     return lookup.list_entities(c.graph()).select("project", "name", "type", "total")
@@ -502,7 +577,7 @@ def list_entities(c):
 @query("""
     select project, source, target, type, total from (
         select project, source, target, type, row_number() over (partition by project order by kind, pos) as rn,
-               count(*) over (partition by project) as total from rel) t where rn <= 100
+               count(*) over (partition by project) as total from rel) t
 """, "rel")
 def list_relations(c):
     return lookup.list_relations(c.graph()).select("project", "source", "target", "type", "total")
@@ -523,7 +598,7 @@ def list_projects(c):
                '    classDef main fill:#4CAF50,stroke:#388E3C,color:white', '    classDef related fill:#2196F3,stroke:#1565C0,color:white']) as line
         from touch
         union all select project, asked, unnest(['    ' || other || '["' || other || '"]:::related',
-               '    ' || asked || ' -->|' || type || '| ' || other]) from top where rn <= 10) t
+               '    ' || asked || ' -->|' || type || '| ' || other]) from top) t
 """, "ent rel")
 def ego_mermaid(c):
     return views.ego_lines(c.graph(), c.names()).select("project", "asked", "line")
@@ -538,10 +613,9 @@ def ego_mermaid(c):
     union all
     select project, name, type, cast(0.8 as double) * cast(1.2 as double), 'contains', 'name' from ent
     where contains(lower(name), 'part#77') and lower(name) <> 'part#77'
-    order by score desc, project, name limit 1000000
 """, "ent")
 def search_exact(c):
-    return search.search(c.graph(), "Part#77", max_results=1_000_000).select(
+    return search.search(c.graph(), "Part#77").select(
         "project", "name", "type", "score", "match_type", "match_field"
     )
 
@@ -564,10 +638,9 @@ _SCORED = """
 @query(f"""
     , q as (select 'ma' as q), {_SCORED}
     select project, name, type, score, match_type, match_field, hit as start from best where rn = 1
-    order by score desc, project, kind, pos limit 500
 """, "ent")
 def search_contains(c):
-    return search.search(c.graph(), "MA", max_results=500).select(
+    return search.search(c.graph(), "MA").select(
         "project", "name", "type", "score", "match_type", "match_field",
         F.col("highlights")[0]["start"].cast("bigint").alias("start"),
     )
@@ -579,18 +652,29 @@ def search_contains(c):
         where regexp_matches(lower(name), '^part#[0-9]*7$')
         union all select project, name, type, kind, pos, 1, 'description', 0.9::double from ent
         where regexp_matches(lower(description), '^part#[0-9]*7$'))
-    select project, name, type, score, match_field from scored order by score desc, project, kind, pos limit 400
+    select project, name, type, score, match_field from scored
 """, "ent")
 def search_regex(c):
-    return search.search(c.graph(), "^PART#[0-9]*7$", use_regex=True, max_results=400).select(
+    return search.search(c.graph(), "^PART#[0-9]*7$", use_regex=True).select(
         "project", "name", "type", "score", "match_field"
     )
 
 
+@query("""
+    , hit as (select project, name, length(regexp_extract(name, '^(.*?)0(?:[1-9]*)$', 1)) as start from ent where regexp_matches(name, '0[1-9]*$'))
+    select project, name, start::bigint as start, length(name)::bigint as "end" from hit
+""", "ent")
+def search_regex_range(c):
+    """Where a pattern bound to the end of a name matches, though its text occurs before as well."""
+    hits = search.search(c.graph(), "0[1-9]*$", use_regex=True, search_fields=["name"])
+    at = F.col("highlights")[0]
+    return hits.select("project", "name", at["start"].cast("bigint").alias("start"), at["end"].cast("bigint").alias("end"))
+
+
 @query(f"""
     , q as (select 'o' as q), {_SCORED}, ranked as (
         select *, row_number() over (partition by project order by score desc, kind, pos) as place from best where rn = 1)
-    select project, name, type, score, match_field from ranked where place <= 50
+    select project, name, type, score, match_field from ranked
 """, "ent")
 def search_multi_project(c):
     return search.search_multi_project(c.graph(), "O").select("project", "name", "type", "score", "match_field")
@@ -602,7 +686,7 @@ def search_multi_project(c):
     end as shown from best where rn = 1 and match_field = 'name'
 """, "ent")
 def search_highlight(c):
-    hits = search.search_multi_project(c.graph(), "mer", max_results=1 << 30, search_fields=["name"])
+    hits = search.search_multi_project(c.graph(), "mer", search_fields=["name"])
     return hits.select("project", "name", "type", highlight(F.col("name"), F.col("highlights")).alias("shown"))
 
 
@@ -624,7 +708,7 @@ def search_context(c):
 
 @query()
 def search_fuzzy(c):
-    return search.search(c.graph(), "Suplier#000000010", fuzzy=True, max_results=200).select(
+    return search.search(c.graph(), "Suplier#000000010", fuzzy=True).select(
         "project", "name", "type", F.round("score", 9).alias("score"), "match_type", "match_field"
     )
 
@@ -662,31 +746,27 @@ def qa_link(c):
 
 
 def _answer_lists() -> str:
+    """Headings of the list answers, as literal texts."""
     parts = []
-    for intent, (type_, heading, nothing, cap) in answers.LISTS.items():
-        rows = f"""(select project, name, row_number() over (partition by project order by kind, pos) as rn
-                    from ent where type = '{type_}')"""
-        limit = f"where rn <= {cap}" if cap else ""
-        parts.append(f"""select r.question_id, '  - ' || e.name as line from routed r
-                         join (select * from {rows} t {limit}) e on e.project = r.project where intent = '{intent}'""")
+    for intent, type_, heads, nothing in (
+        ("tech", "Framework", ["项目技术栈:", "", "框架:"], "项目技术栈:"),
+        ("databases", "Database", ["项目使用的数据库:"], "项目中没有发现数据库信息。"),
+        ("tools", "Tool", ["项目使用的工具:"], "项目中没有发现工具信息。"),
+        ("modules", "Module", ["项目包含以下模块:"], "项目中没有发现模块信息。"),
+        ("documents", "Document", ["项目包含以下文档:"], "项目中没有发现文档信息。"),
+    ):
         has = f"exists (select 1 from ent where ent.project = r.project and ent.type = '{type_}')"
-        head = "true" if nothing is None else has
-        parts.append(f"select r.question_id, '{heading}' from routed r where intent = '{intent}' and {head}")
-        if nothing is not None:
-            parts.append(f"select r.question_id, '{nothing}' from routed r where intent = '{intent}' and not {has}")
+        for texts, condition in ((heads, has), ([nothing], f"not {has}")):
+            parts += [f"select r.question_id, '{t}' as line from routed r where intent = '{intent}' and {condition}" for t in texts]
     return " union all ".join(parts)
 
 
 @query(f"""
     , routed as (select project, question_id, question, {_INTENT} as intent from questions), {_LINK}, {_TOUCH}, f as ({FIRST}),
-    near as (select t.project, t.asked, f.name, row_number() over (partition by t.project, t.asked order by t.kind, t.pos) as rn,
-                    t.kind, t.pos from touch t join f on f.project = t.project and f.key = lower(t.other)),
-    few as (select project, asked, string_agg(name, ', ' order by kind, pos) as names from near where rn <= 5 group by 1, 2),
+    few as (select t.project, t.asked, f.name as names from touch t join f on f.project = t.project and f.key = lower(t.other)),
     deps as (select r.project, lower(r.source) as key, f.name from rel r join f on f.project = r.project and f.key = lower(r.target)
              where r.type = 'depends_on'),
-    gen as (select r.question_id, e.name, e.type, e.source_file,
-                   row_number() over (partition by r.question_id order by e.kind, e.pos) as rn
-            from routed r join ent e on e.project = r.project where r.intent = 'general'
+    gen as (select r.question_id, e.name, e.type, e.source_file from routed r join ent e on e.project = r.project where r.intent = 'general'
               and (contains(lower(e.name), lower(r.question)) or contains(lower(e.description), lower(r.question))))
     select question_id, line from (
         select r.question_id, l.name || ' 是项目中的 ' || l.type || '。' as line from routed r join link l using (project, question_id) where intent = 'what_is'
@@ -694,17 +774,19 @@ def _answer_lists() -> str:
             where intent = 'what_is' and l.description <> ''
         union all select r.question_id, '相关实体: ' || few.names from routed r join link l using (project, question_id)
             join few on few.project = l.project and few.asked = l.name where intent = 'what_is'
-        union all select r.question_id, '{answers.UNKNOWN_ENTITY}' from routed r left join link l using (project, question_id)
+        union all select r.question_id, '抱歉，我找不到相关的实体信息。' from routed r left join link l using (project, question_id)
             where intent = 'what_is' and l.name is null
         union all select r.question_id, '  - ' || d.name from routed r join link l using (project, question_id)
             join deps d on d.project = l.project and d.key = lower(l.name) where intent = 'dependencies'
         union all select r.question_id, l.name || case when exists (select 1 from deps d where d.project = l.project and d.key = lower(l.name))
             then ' 依赖于:' else ' 没有发现依赖关系。' end from routed r join link l using (project, question_id) where intent = 'dependencies'
-        union all select r.question_id, '{answers.UNKNOWN_DEPENDENCY}' from routed r left join link l using (project, question_id)
+        union all select r.question_id, '抱歉，我找不到相关的依赖信息。' from routed r left join link l using (project, question_id)
             where intent = 'dependencies' and l.name is null
-        union all select question_id, '  - ' || name || ' (' || type || ')' || ' [来源: ' || source_file || ']' from gen where rn <= 5
+        union all select question_id, '  - ' || name || ' (' || type || ')' || ' [来源: ' || source_file || ']' from gen
         union all select r.question_id, case when exists (select 1 from gen g where g.question_id = r.question_id)
-            then '找到相关实体:' else '{answers.UNKNOWN_QUESTION}' end from routed r where intent = 'general'
+            then '找到相关实体:' else '抱歉，我无法回答这个问题。请尝试更具体的问题，例如:' end from routed r where intent = 'general'
+        union all select r.question_id, x from routed r, unnest(['  - 有哪些模块?', '  - 技术栈是什么?', '  - 使用了哪些数据库?']) t(x)
+            where intent = 'general' and not exists (select 1 from gen g where g.question_id = r.question_id)
         union all {_answer_lists()}
     ) t
 """, "questions ent rel")
@@ -712,6 +794,14 @@ def qa_answers(c):
     return answers.answer(c.view("questions"), c.graph()).select("question_id", "line")
 
 
+@query("select * from (" + " union all ".join(
+    f"select project, '{intent}' as intent, '  - ' || name as line from ent where type = '{type_}'"
+    for intent, type_ in (("tech", "Framework"), ("databases", "Database"), ("tools", "Tool"), ("modules", "Module"), ("documents", "Document"))
+) + ") t", "ent")
+def qa_lists(c):
+    return answers.answer_lists(c.graph()).select("project", "intent", "line")
+
+
 # --- summaries --------------------------------------------------------------
 
 
@@ -746,7 +836,7 @@ def tech_groups(c):
 
 @query("""
     select project, name, description from (
-        select *, row_number() over (partition by project order by kind, pos) as rn from ent where type = 'Module') t where rn <= 15
+        select *, row_number() over (partition by project order by kind, pos) as rn from ent where type = 'Module') t
 """, "ent")
 def top_modules(c):
     return summary.top_modules(c.graph()).drop("ord")
@@ -879,6 +969,17 @@ def merge_skip(c):
     return merge.merge_entities(_shared(c), "skip", c.view("brand_order")).select("name", "type", "description", "source_file")
 
 
+@query("""
+    select type, 2 * count(distinct name) as entities, 2 * count(distinct name) as places from ent group by 1
+""", "ent")
+def merge_places(c):
+    """Two generations of every project merged: each entity has a place of its own."""
+    graph = c.graph()
+    later = graph.entities.withColumns({"name": F.concat("name", F.lit("+")), "ord": F.col("ord").withField("gen", F.lit(1))})
+    merged = merge.merge_graphs(type(graph)(graph.entities.unionByName(later), graph.relations))
+    return merged.entities.groupBy("type").agg(F.count("*").alias("entities"), F.countDistinct("ord").alias("places"))
+
+
 @query(f"""
     , {_FOLD} select name, type, description, source_file from (
         select *, row_number() over (partition by name, type order by project_no desc, kind desc, pos desc) as back from rows_) t where back = 1
@@ -1073,6 +1174,38 @@ def watched(c):
     return odd.where(watch_filter(F.col("path")))
 
 
+@query("""
+    with recursive e as (select case when user_id % 10 <> 0 then user_id end as user_id, epoch_us(ts) as t from events),
+    kept as (
+        select user_id, min(t) as t from e group by 1
+        union all
+        select k.user_id, (select min(e.t) from e where e.user_id is not distinct from k.user_id and e.t >= k.t + 3600000000) as t
+        from kept k where exists (select 1 from e where e.user_id is not distinct from k.user_id and e.t >= k.t + 3600000000))
+    select user_id, t as us from kept
+""")
+def debounce_null_keys(c):
+    user = F.when(F.col("user_id") % 10 != 0, F.col("user_id"))
+    kept = debounce(c.table("events").select(user.alias("user_id"), "ts"), ["user_id"], 3600.0)
+    return kept.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+
+
+@query("""
+    with s as (select cast(user_id as varchar) as path, ts, min(event_type) as now from events group by 1, 2),
+    b as (select *, lag(now) over (partition by path order by ts) as before from s)
+    select path, case when before is null then 'created' else 'modified' end as change_type, epoch_us(ts) as us
+    from b where before is null or before <> now
+""")
+def watched_changes(c):
+    """Snapshots stored as a table, streamed until none is left, changes stored as they come."""
+    snapshots, out, state = _folder(c), _folder(c), _folder(c)
+    rows = c.table("events").groupBy(F.col("user_id").cast("string").alias("path"), "ts").agg(F.min("event_type").alias("content_hash"))
+    rows.select(F.lit("p").alias("project"), "path", "content_hash", "ts").write.parquet(snapshots)
+    stream = c.spark.readStream.schema("project string, path string, content_hash string, ts timestamp_ntz").parquet(snapshots)
+    writer = watch_changes(stream).writeStream.format("parquet").option("checkpointLocation", state)
+    writer.trigger(availableNow=True).start(out).awaitTermination()
+    return c.spark.read.parquet(out).select("path", "change_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+
+
 # --- call flows -------------------------------------------------------------
 
 
@@ -1170,8 +1303,8 @@ def api_summary(c):
 
 
 @query("""
-    select 'Order' || cast(o_orderkey as varchar) || '.order_' || cast(o_orderkey as varchar) as entry_point, cast(5 as bigint) as depth
-    from orders order by 'orders/order_' || cast(o_orderkey as varchar) || '.py' limit 20
+    select 'Order' || cast(o_orderkey as varchar) || '.' || name as entry_point, cast(depth as bigint) as depth
+    from orders, lateral (values ('order_' || cast(o_orderkey as varchar), 5), ('total', 3), ('price', 2)) as m(name, depth)
 """)
 def call_chains(c):
     index = _index(c.files("code"))
@@ -1184,7 +1317,7 @@ def call_chains(c):
            + (select count(*) from region) + (select count(distinct o_orderstatus) from orders) as functions,
            (select count(*) from orders) + (select count(*) from customer) + (select count(*) from nation)
            + (select count(*) from region) + (select count(distinct o_orderstatus) from orders) as files,
-           (select count(*) from orders) as endpoints, cast(20 as bigint) as chains
+           (select count(*) from orders) as endpoints, 3 * (select count(*) from orders) as chains
 """)
 def flow_stats(c):
     return callflow.flow_stats(callflow.analyze_flows(c.files("code"))).drop("project")
@@ -1237,19 +1370,21 @@ def flow_mermaid(c):
                       'customers/customer_' || o_custkey || '.py' as cp, 'status/status_' || o_orderstatus || '.py' as sp,
                       'nations/nation_' || c_nationkey || '.py' as np, 'regions/region_' || n_regionkey || '.py' as rp
                from orders join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey
-               order by 'orders/order_' || o_orderkey || '.py' limit 20)
-    select cls || '.' || f as entry_point, line from o, lateral (select unnest([
-        '    ' || cls || '_' || f || '["🚀 ' || cls || '.' || f || '\\nRead order\\n📁 ' || path || '"]:::entryNode',
-        '    ' || cls || '_' || f || '_s1["📦 ' || cu || '\\n' || c_name || '\\n📁 ' || cp || '"]:::funcNode',
-        '    ' || cls || '_' || f || ' --> ' || cls || '_' || f || '_s1',
-        '    ' || cls || '_' || f || '_s2["📦 ' || st || '\\n' || st || '\\n📁 ' || sp || '"]:::funcNode',
-        '    ' || cls || '_' || f || '_s1 --> ' || cls || '_' || f || '_s2',
-        '    ' || cls || '_' || f || '_s3["📦 ' || na || '\\n' || na || '\\n📁 ' || np || '"]:::funcNode',
-        '    ' || cls || '_' || f || '_s2 --> ' || cls || '_' || f || '_s3',
-        '    ' || cls || '_' || f || '_s4["📦 ' || re || '\\n' || re || '\\n📁 ' || rp || '"]:::funcNode',
-        '    ' || cls || '_' || f || '_s3 --> ' || cls || '_' || f || '_s4',
-        '    ' || cls || '_' || f || '_end["✅ 结束"]:::entryNode',
-        '    ' || cls || '_' || f || '_s4 --> ' || cls || '_' || f || '_end']) as line) l
+              ),
+    chain as (
+        select cls, f as m, 'Read order' as d, path, [{'n': cu, 'd': c_name, 'p': cp}, {'n': st, 'd': st, 'p': sp},
+               {'n': na, 'd': na, 'p': np}, {'n': re, 'd': re, 'p': rp}] as steps from o
+        union all select cls, 'price', cls || '.price', path, [{'n': st, 'd': st, 'p': sp}] from o
+        union all select cls, 'total', 'Total price', path, [{'n': cls || '.price', 'd': cls || '.price', 'p': path}, {'n': st, 'd': st, 'p': sp}] from o),
+    c as (select *, '    ' || cls || '_' || m as id, cls || '.' || m as entry_point from chain),
+    s as (select *, steps[i] as x, id || '_s' || i as here, id || case when i = 1 then '' else '_s' || (i - 1) end as before
+          from (select *, unnest(range(1, len(steps) + 1)) as i from c) t)
+    select entry_point, line from (
+        select entry_point, id || '["🚀 ' || entry_point || '\\n' || d || '\\n📁 ' || path || '"]:::entryNode' as line from c
+        union all select entry_point, here || '["📦 ' || x.n || '\\n' || x.d || '\\n📁 ' || x.p || '"]:::funcNode' from s
+        union all select entry_point, before || ' --> ' || trim(here) from s
+        union all select entry_point, id || '_end["✅ 结束"]:::entryNode' from c
+        union all select entry_point, id || '_s' || len(steps) || ' --> ' || trim(id) || '_end' from c) t
 """)
 def chain_mermaid(c):
     index = _index(c.files("code"))
@@ -1343,8 +1478,8 @@ def frontend_calls(c):
     s as (select 'Customer' || c_custkey || 'Service' as cls, m, c_custkey, c_acctbal, row_number() over (
               order by 'backend/app/services/customer_' || c_custkey || '.py', m) as n
           from customer, lateral (select unnest(['__init__', 'load_' || c_custkey]) as m) x),
-    a as (select c_custkey, cast(n - 1 as varchar) as i from r where n <= 10),
-    b as (select cls || '.' || m as method, cast(n - 1 as varchar) as j from s where n <= 10)
+    a as (select c_custkey, cast(n - 1 as varchar) as i from r),
+    b as (select cls || '.' || m as method, cast(n - 1 as varchar) as j from s)
     select line from (
         select '    API_' || i || '["GET /customers/' || c_custkey || '/orders/{id}"]:::api' as line from a
         union all select '    Frontend --> API_' || i from a
@@ -1444,7 +1579,6 @@ def file_history(c):
         select repo, file, hash, row_number() over (partition by repo, file order by k) as rn from (
             select distinct 'repo_' || cast(o_orderkey % 3 as varchar) as repo, 'parts/part_' || cast(l_partkey as varchar) || '.py' as file,
                    'c' || cast(o_orderkey as varchar) as hash, o_orderkey as k from lineitem join orders on o_orderkey = l_orderkey) x) t
-    where rn <= 50
 """)
 def latest_file_commits(c):
     return history.latest_file_commits(history.file_commits(c.log())).select("repo", "file", "hash")
@@ -1454,8 +1588,8 @@ def latest_file_commits(c):
     with {_COMMITS}, p as (select repo, author, count(*) as n, min(k) as first_seen from com group by 1, 2),
     t as (select *, row_number() over (partition by repo order by n desc, first_seen) - 1 as i from p)
     select repo, '    C' || cast(i as varchar) || '["' || author || '\\n' || cast(n as varchar) || '次提交"]:::'
-           || case when i = 0 then 'topContributor' else 'contributor' end as line from t where i < 10
-    union all select repo, '    C0 -.->|协作| C' || cast(i as varchar) from t where i between 1 and 9
+           || case when i = 0 then 'topContributor' else 'contributor' end as line from t
+    union all select repo, '    C0 -.->|协作| C' || cast(i as varchar) from t where i >= 1
 """)
 def contributor_mermaid(c):
     lines = history.contributor_lines(history.contributors(history.parse_commits(c.log())))
@@ -1466,7 +1600,7 @@ def contributor_mermaid(c):
     , f as (select 'web' as repo, regexp_replace(url, '[?#].*$', '') as path from pages),
     e as (select repo, path, case when regexp_matches(path, '[^/.][^/]*\\.[^/.]+$') then regexp_extract(path, '(\\.[^/.]+)$', 1) else '无扩展名' end as ext from f),
     n as (select repo, ext, count(*) as "count", min(path) as first_path from e group by 1, 2)
-    select repo, ext, "count", (select count(*) from pages) as total_files from n order by "count" desc, first_path limit 10
+    select repo, ext, "count", (select count(*) from pages) as total_files from n
 """.replace(", f as", "with f as", 1))
 def ext_histogram(c):
     files = c.table("pages").select(F.lit("web").alias("repo"), F.regexp_replace("url", "[?#].*$", "").alias("path"))

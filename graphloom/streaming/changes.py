@@ -6,10 +6,12 @@ value per path; deletions need snapshot rows, as a file source never reports the
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
@@ -73,8 +75,14 @@ class _Changes(StatefulProcessor):
         pass
 
 
+def _by_value() -> None:
+    """Send the processors themselves: the process that prepares them has no shipped packages."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def watch_changes(snapshots: DataFrame) -> DataFrame:
     """Change events of a stream of (project, path, content_hash, ts) snapshot rows."""
+    _by_value()
     snapshots.sparkSession.conf.set(*STATE_STORE)
     return snapshots.groupBy("project", "path").transformWithStateInPandas(
         _Changes(), "project string, path string, change_type string, ts timestamp_ntz", "Append", "None"
@@ -118,6 +126,7 @@ def debounce_stream(events: DataFrame, keys: Sequence[str], seconds: float = DEB
 
     Events carry ``ts`` (timestamp_ntz) and arrive in time order from batch to batch.
     """
+    _by_value()
     events.sparkSession.conf.set(*STATE_STORE)
     columns = events.columns
     gap = int(seconds * 1_000_000)
@@ -160,14 +169,16 @@ def debounce(events: DataFrame, keys: Sequence[str], seconds: float = DEBOUNCE_S
     lies within one gap of its start (or is the first one after). So each block
     reports, for those few events, the last time it would keep, equal neighbours
     merged; a scan over these small tables finds from when on every block may keep;
-    the blocks are then resolved independently. Keys must not be null.
+    the blocks are then resolved independently. Null is a key like any other.
     """
     gap = int(seconds * 1_000_000)
     width = gap * BLOCK_GAPS
-    keys, columns = list(keys), events.columns
+    columns = events.columns
+    # One text per key, so that nulls compare equal.
+    key, keys = F.to_json(F.struct(*keys)), ["_key"]
     keyed = [*keys, "_block"]
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = events.withColumns({"_us": us, "_block": F.floor(us / width)})
+    rows = events.withColumns({"_key": key, "_us": us, "_block": F.floor(us / width)})
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     key_schema = ", ".join(f"`{k}` {types[k]}" for k in keyed)
 

@@ -4,82 +4,85 @@ from graphloom.operators import apiflow, callflow
 from graphloom.schema import order_key
 from helpers import bag, files
 
-SERVICE = '''class UserService:
-    def get_user(self):
-        """Get user by ID"""
-        user = self._fetch_from_db()
-        return clean(user)
-
-    def _fetch_from_db(self):
-
-        def inner():
-            return rows()
-        return inner()
-
-def clean(data):
-    """Clean
-    data"""
-    return print(len(data))
-
-class Other(Base):
-    async def load(self,
-                   key):
-        return self.get_user(key)
+LEDGER = '''class Ledger(Store):
+    async def post(self, entry, *,
+                   force=False):
+        """Post one entry.
+        Twice is once."""
+        if self._seen(entry):
+            return self.total()
+        return write_row(entry)
+
+    def total(self):
+        return print(len(amounts(self)))
+
+    def _seen(self, entry):
+
+        def same(row):
+            return key_of(row)
+        return same(entry)
+
+def audit(book):
+    """Audit"""
+    return print(len(book))
+
+class Report:
+    def lines(self):
+        return self.total(self)
 '''
 
-API = '''from fastapi import FastAPI
-app = FastAPI()
+SHELVES = '''app = make_app()
 
-@app.get("/items")
-async def list_items():
-    """List items"""
-    return fetch_items()
+@app.get("/shelves")
+async def all_shelves():
+    """All shelves"""
+    return open_room()
 
-@app.route('/old', methods=["POST"])
-def old():
-    return step_one()
+@app.route('/returns', methods=["POST"])
+def take_back():
+    return sort_books()
 
-@router.delete("/items/{id}")
-def drop():
+@router.delete("/shelves/{no}")
+def clear():
     return None
 
-def fetch_items():
-    """Fetch from db"""
-    return step_one(fetch_items)
+def open_room():
+    """Unlock"""
+    return sort_books(open_room)
 
-def step_one():
-    return step_two()
+def sort_books():
+    return by_author()
 
-def step_two():
-    return step_three()
+def by_author():
+    return by_title()
 
-def step_three():
-    return step_four()
+def by_title():
+    return by_year()
 
-def step_four():
+def by_year():
     return 1
 '''
 
-EXPRESS = '''const app = express();
-app.get('/api/items', (req, res) => { res.json([]); });
-app.post("/api/items", (req, res) => {});
+EXPRESS = '''let app = require('server')();
+app.put('/shelves/:no', async (request, reply) => reply.end());
+app.get("/authors", (request, reply) => {});
 '''
 
 
 def test_functions(spark):
-    rows = callflow.extract_functions(files(spark, {"s.py": SERVICE}))
+    rows = callflow.extract_functions(files(spark, {"s.py": LEDGER}))
     got = {r.full_name: r for r in rows.collect()}
     assert {k: r.line_number for k, r in got.items()} == {
-        "UserService.get_user": 2, "UserService._fetch_from_db": 7, "UserService.inner": 9, "UserService.clean": 13,
-        "Other.load": 19}
-    assert got["UserService.get_user"].calls == ["_fetch_from_db", "clean"]
-    assert got["UserService.get_user"].description == "Get user by ID"
-    assert got["UserService._fetch_from_db"].calls == ["inner", "rows"]
-    assert got["UserService.inner"].calls == ["rows"]
-    assert got["UserService.clean"].calls == [] and got["UserService.clean"].description == "Clean"
-    assert got["Other.load"].calls == ["get_user"]
-    reset = callflow.extract_functions(files(spark, {"s.py": SERVICE}), reset_on_dedent=True)
-    assert "clean" in {r.full_name for r in reset.collect()}
+        "Ledger.post": 2, "Ledger.total": 10, "Ledger._seen": 13, "Ledger.same": 15, "Ledger.audit": 19, "Report.lines": 24}
+    assert got["Ledger.post"].calls == ["_seen", "total", "write_row"]
+    assert got["Ledger.post"].description == "Post one entry."
+    assert got["Ledger.total"].calls == ["amounts"]
+    assert got["Ledger._seen"].calls == ["key_of", "same"]
+    assert got["Ledger.same"].calls == ["key_of"]
+    assert got["Ledger.audit"].calls == [] and got["Ledger.audit"].description == "Audit"
+    assert got["Report.lines"].calls == ["total"]
+    reset = callflow.extract_functions(files(spark, {"s.py": LEDGER}), reset_on_dedent=True)
+    assert "audit" in {r.full_name for r in reset.collect()}
 
 
 def test_long_body(spark):
@@ -89,28 +92,28 @@ def test_long_body(spark):
 
 
 def test_endpoints(spark):
-    rows = callflow.code_endpoints(files(spark, {"app.py": API, "server.js": EXPRESS}))
+    rows = callflow.code_endpoints(files(spark, {"app.py": SHELVES, "server.js": EXPRESS}))
     assert bag(rows, "method", "route", "handler") == sorted([
-        ("GET", "/items", "list_items"), ("POST", "/old", "old"), ("DELETE", "/items/{id}", "drop"),
-        ("GET", "/api/items", "handler"), ("POST", "/api/items", "handler")], key=repr)
+        ("GET", "/shelves", "all_shelves"), ("POST", "/returns", "take_back"), ("DELETE", "/shelves/{no}", "clear"),
+        ("PUT", "/shelves/:no", "handler"), ("GET", "/authors", "handler")], key=repr)
 
 
 def test_flows(spark):
-    flows = callflow.analyze_flows(files(spark, {"app.py": API}))
-    steps = flows.endpoint_steps.where("route = '/items'").orderBy("depth", "step").collect()
+    flows = callflow.analyze_flows(files(spark, {"app.py": SHELVES}))
+    steps = flows.endpoint_steps.where("route = '/shelves'").orderBy("depth", "step").collect()
     assert [(r.depth, r.step) for r in steps] == [
-        (0, "list_items"), (1, "fetch_items"), (2, "step_one"), (3, "step_two")]
+        (0, "all_shelves"), (1, "open_room"), (2, "sort_books"), (3, "by_author")]
     summary = callflow.api_summary(flows.endpoints, flows.endpoint_steps)
-    assert bag(summary, "route", "steps_count") == [("/items", 4), ("/items/{id}", 1), ("/old", 4)]
+    assert bag(summary, "route", "steps_count") == [("/returns", 4), ("/shelves", 4), ("/shelves/{no}", 1)]
     numbers = callflow.flow_stats(flows).first()
     assert (numbers.functions, numbers.files, numbers.endpoints, numbers.chains) == (8, 1, 3, 0)
     item = callflow.flow_item(flows, 1).orderBy("depth").collect()
-    assert item[0].route == "/items" and [r.step_description for r in item] == ["List items", "Fetch from db", None, None]
+    assert item[0].route == "/shelves" and [r.step_description for r in item] == ["All shelves", "Unlock", None, None]
     lines = [r.line for r in callflow.flow_lines(flows.endpoints, flows.endpoint_steps, flows.index)
-             .where("route = '/items'").orderBy("section", "line_no").collect()]
-    assert '    API_GET__items["🌐 GET /items"]:::apiNode' in lines
-    assert '    API_GET__items_step0["📦 list_items\\nList items\\n📁 app.py"]:::funcNode' in lines
-    assert lines[-1] == "    API_GET__items_step3 --> API_GET__items_end"
+             .where("route = '/shelves'").orderBy("section", "line_no").collect()]
+    assert '    API_GET__shelves["🌐 GET /shelves"]:::apiNode' in lines
+    assert '    API_GET__shelves_step0["📦 all_shelves\\nAll shelves\\n📁 app.py"]:::funcNode' in lines
+    assert lines[-1] == "    API_GET__shelves_step3 --> API_GET__shelves_end"
 
 
 def index(spark, rows):
@@ -219,3 +222,25 @@ def test_api_data_flow(spark):
     report = [r.line for r in apiflow.report_lines(apiflow.dataflow_report(f)).orderBy("section", "ord").collect()]
     assert "| GET | `/users/{id}` | `read_user` | 前端调用: a.ts |" in report
     assert "- GET /users/{id} → read_user() → load() → QUERY, FILTER, SELECT_ONE" in report
+
+
+def test_calls_go_to_the_class_they_name(spark):
+    """Two services have a method of one name; only where no receiver tells, a single one is taken."""
+    route = """
+@router.post("/a")
+async def a(db: Session = Depends(get_db)):
+    await order_service.create(db)
+    await books_service.create(db)
+    await service.create(db)
+    await service.cancel(db)
+"""
+    def service(name, method, operation):
+        return f"class {name}:\n    async def {method}(self, db):\n        return {operation}\n"
+
+    app = {"backend/app/api/a.py": route, "backend/app/services/o.py": service("OrderService", "create", "db.add(1)"),
+           "backend/app/services/books_service.py": service("Shelf", "create", "db.delete(1)"),
+           "backend/app/services/c.py": service("Desk", "cancel", "db.commit()")}
+    f = files(spark, app)
+    flows = apiflow.data_flows(apiflow.backend_routes(f), apiflow.service_methods(f))
+    assert bag(flows, "call_no", "service_call", "class_name") == [
+        (0, "create", "OrderService"), (1, "create", "Shelf"), (2, "create", None), (3, "cancel", "Desk")]

@@ -131,3 +131,10 @@ def test_top_per_limits_before_the_shuffle(spark):
     plan = top_per(spark.range(100).withColumn("g", F.col("id") % 2), ["g"], ["id"], 3)
     assert plan.count() == 6
     assert "WindowGroupLimit" in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_regex_ranges(spark):
+    cases = [("concat cat", r"\bcat", 7, 10), ("abab", "b$", 3, 4), ("xay", "(?<=x)a", 1, 2), ("aXbXX", r"(X)\1", 3, 5), ("abc", "x*", 0, 0), ("ab", "$", 2, 2)]
+    for text, pattern, start, end in cases:
+        row = spark.createDataFrame([(text,)], "t string").select(match_text(F.col("t"), pattern, use_regex=True).alias("m")).first()
+        assert (row.m.match_type, row.m.start, row.m.end) == ("regex", start, end), (text, pattern)

@@ -48,10 +48,12 @@ def test_lookups(spark):
     assert bag(detail, "name", "direction", "other") == [("FastAPI", "in", "UserService"), ("README", "out", "userservice")]
 
 
-def test_dependency_tree_shows_five_children(spark):
+def test_dependency_tree(spark):
     g = graph(spark, [(n, "Module") for n in "abcdefghij"], [("a", "depends_on", "b")] + [("b", "depends_on", x) for x in "cdefghi"])
-    rows = lookup.dependency_tree(g, "a").orderBy("child_ord").collect()
+    rows = lookup.dependency_tree(g, "a", children=5).orderBy("child_ord").collect()
     assert [r.child for r in rows] == list("cdefg") and {r.more for r in rows} == {2}
+    rows = lookup.dependency_tree(g, "a").orderBy("child_ord").collect()
+    assert [r.child for r in rows] == list("cdefghi") and {r.more for r in rows} == {0}
 
 
 def test_search(spark):
@@ -87,14 +89,17 @@ def test_answers(spark):
     got = {}
     for r in answers.answer(questions, g).orderBy("question_id", "line_no", "ord").collect():
         got.setdefault(asked[r.question_id], []).append(r.line)
-    assert got["技术栈是什么"] == ["项目技术栈:", "  - FastAPI"]
-    assert got["用了哪些数据库"] == ["项目使用的数据库:", "  - Redis"]
-    assert got["有哪些模块"] == ["项目包含以下模块:", "  - Pipeline", "  - Transform", "  - a"]
+    assert got["技术栈是什么"] == ["项目技术栈:", "", "框架:"]
+    assert got["用了哪些数据库"] == ["项目使用的数据库:"]
+    assert got["有哪些模块"] == ["项目包含以下模块:"]
+    lists = [(r.intent, r.line) for r in answers.answer_lists(g).orderBy("intent", "ord").collect()]
+    assert lists == [("databases", "  - Redis"), ("modules", "  - Pipeline"), ("modules", "  - Transform"), ("modules", "  - a"), ("tech", "  - FastAPI")]
     assert got["Pipeline依赖什么"] == ["Pipeline 依赖于:", "  - Transform"]
-    assert got["Pipeline是什么"] == ["Pipeline 是项目中的 Module。", "描述: moves data", "相关实体: Transform, Redis"]
+    assert got["Pipeline是什么"] == ["Pipeline 是项目中的 Module。", "描述: moves data", "相关实体: Transform", "相关实体: Redis"]
     assert got["a 是什么"] == [answers.UNKNOWN_ENTITY]  # one letter never links
     assert got["redis"] == ["找到相关实体:", "  - Redis (Database)"]
-    assert got["nothing"] == [answers.UNKNOWN_QUESTION]
+    assert got["nothing"] == [
+        "抱歉，我无法回答这个问题。请尝试更具体的问题，例如:", "  - 有哪些模块?", "  - 技术栈是什么?", "  - 使用了哪些数据库?"]
     assert got["Transform 依赖什么"] == ["Transform 没有发现依赖关系。"]
     assert got["有哪些工具"] == ["项目中没有发现工具信息。"]
 

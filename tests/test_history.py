@@ -61,6 +61,16 @@ def test_file_history_follows_renames(spark, folder):
     assert bag(latest, "hash") == [("c2",), ("c3",)]
 
 
+def test_a_new_file_at_an_old_path_is_another(spark, folder):
+    (Path(folder) / "repo.log").write_text(
+        "c4|again|x@x.org|2024-04-04\n1\t0\ta.py\nc3|new|x@x.org|2024-03-03\n1\t0\ta.py\n"
+        "c2|move|x@x.org|2024-02-02\n1\t0\ta.py => b.py\nc1|first|x@x.org|2024-01-01\n1\t0\ta.py\n")
+    lines = read_git_log(spark, folder)
+    asked = spark.createDataFrame([("repo", "b.py"), ("repo", "a.py")], "repo string, path string")
+    assert bag(history.file_commits(lines, asked), "file", "hash") == [
+        ("a.py", "c1"), ("a.py", "c3"), ("a.py", "c4"), ("b.py", "c1"), ("b.py", "c2")]
+
+
 def test_splits_of_one_log_keep_their_order(spark, folder):
     """A log read in many splits gives the same commits as one read whole."""
     text = "".join(

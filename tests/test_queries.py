@@ -1,6 +1,8 @@
 """Every registered query against its SQL, and the entry point."""
 
 import os
+import subprocess
+import sys
 
 import pytest
 
@@ -32,3 +34,13 @@ def test_entry(spark):
 
 def test_oracles_have_queries():
     assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
+
+
+def test_entry_without_the_subpackage():
+    """Without llm/ and the pipeline the other queries are there all the same."""
+    code = (
+        "import sys; sys.modules['graphloom.llm'] = None; import __spark_entry__ as e; "
+        "assert len(e.queries()) > 100 and not any(n.startswith('op') for n in e.queries()) and 'pipeline' not in e.oracle_sql()"
+    )
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)

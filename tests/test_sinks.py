@@ -117,9 +117,11 @@ def test_responses(spark):
     g = responses.parse_responses(spark.createDataFrame(rows, "project string, path string, response string"))
     assert bag(g.entities, "name", "description") == [("A", "d"), ("C", None)]
     assert bag(g.relations, "source", "target", "type") == [("a", "C", "uses")]
-    prompt = responses.prompt_requests(files(spark, {"x.md": "y" * 9000, "z.py": "k"})).orderBy("path").collect()
+    prompt = responses.prompt_requests(files(spark, {"x.md": "y" * 9000, "z.py": "k"})).orderBy("path", "part").collect()
+    assert [(r.path, r.part, r.parts) for r in prompt] == [("x.md", 0, 2), ("x.md", 1, 2), ("z.py", 0, 1)]
     assert prompt[0].message == "Analyze this document file (x.md):\n\n" + "y" * 8000
-    assert prompt[1].message.startswith("Analyze this code file")
+    assert prompt[1].message == "Analyze this document file (x.md):\n\n" + "y" * 1000
+    assert prompt[2].message == "Analyze this code file (z.py):\n\nk"
 
 
 def test_plugins(spark):
