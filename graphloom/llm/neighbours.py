@@ -38,6 +38,8 @@ RECALL = 0.94
 CHUNK = 4096
 QUERY_BLOCK = 2048
 _SLACK = 1e-9
+# Pairs of vectors multiplied at a time.
+_PAIRS = 1 << 15
 
 
 def usable(vector: str = "embedding") -> Column:
@@ -159,10 +161,13 @@ def _top(scores: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, x: np.n
     least = np.where(np.isfinite(least), least - _SLACK * np.maximum(1, np.abs(least)), -np.inf)
     q, v = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
     # Products of one pair come out the same wherever it is met: the last digits decide ties.
-    exact = (queries[q] * x[v]).sum(1)
-    found = pd.DataFrame({"query_id": query_ids[q], "vec_id": ids[v], "score": exact})
-    found = found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True], kind="stable")
-    return found[found.groupby("query_id").cumcount() < k]
+    exact = np.empty(len(q))
+    for i in range(0, len(q), _PAIRS):
+        exact[i : i + _PAIRS] = (queries[q[i : i + _PAIRS]] * x[v[i : i + _PAIRS]]).sum(1)
+    order = np.lexsort((ids[v], -exact, q))
+    q, v, exact = q[order], v[order], exact[order]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return pd.DataFrame({"query_id": query_ids[q[keep]], "vec_id": ids[v[keep]], "score": exact[keep]})
 
 
 def best(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
