@@ -43,7 +43,7 @@ def test_names_and_columns(inputs):
 
 def test_language_id(inputs):
     found = language.identify(inputs[0], language.train(inputs[0]))
-    want = found.where((F.col("lang_pred") != "und") & (F.col("score") >= 0.3)).withColumn("lang", F.col("lang_pred"))
+    want = found.where((F.col("lang_pred") != "und") & (F.col("score") >= 0.15)).withColumn("lang", F.col("lang_pred"))
     assert rows_of(inputs[1]) == rows_of(want)
     texts = [t for _, t, *_ in rows_of(inputs[1])]
     assert all(any(map(str.isalpha, t)) for t in texts)
