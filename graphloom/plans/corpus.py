@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from graphloom.graph import Graph
 from graphloom.schema import order_key
-from graphloom.session import prepare, spread
+from graphloom.session import prepare
 from graphloom.sources.tree import as_files
 
 TABLES = [
@@ -261,7 +261,8 @@ class Corpus:
         out = frames[0]
         for frame in frames[1:]:
             out = out.unionByName(frame)
-        return as_files(spread(out))
+        # Files in their own order of hashes, so that a table of one split still uses all cores.
+        return as_files(out.repartition("project", "path"))
 
     def names(self) -> DataFrame:
         """Every entity name, asked of its own project."""
