@@ -226,7 +226,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     branching = judged.where("branches").groupBy("doc_id").agg(F.collect_set("name").alias(_NAMES))
 
     edges = stage(texts.join(branching, "doc_id").mapInArrow(_edges(window, gram), "doc_id long, a long, b long"))
-    sources = edges.groupBy("a", "b").agg(F.min("doc_id").alias("source"))
+    sources = edges.groupBy("a", "b").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"))
+    # Written, so that the join shuffles both sides itself and can split a hot window.
+    sources = stage(sources.where("source < last").drop("last"))
     later = edges.join(sources, ["a", "b"]).where("doc_id > source")
     later = later.groupBy("doc_id").agg(F.collect_set("a").alias(_EDGES))
     decided = stage(repeated.join(later, "doc_id", "full"))
