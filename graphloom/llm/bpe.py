@@ -27,7 +27,7 @@ from graphloom.llm.chunks import Chunks
 from graphloom.llm.common import steps, utf8, words
 
 _FAR = 1 << 40
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 # Words of ASCII text, as the file's pattern cuts them.
 _ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0d\x20a-z0-9]+")
 

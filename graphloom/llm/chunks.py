@@ -16,8 +16,8 @@ import numpy as np
 
 from graphloom.llm.common import MASK, word_hashes, words
 
-CACHE_CHUNKS = 1_000_000
-CACHE_IDS = 12_000_000
+CACHE_CHUNKS = 500_000
+CACHE_IDS = 6_000_000
 # New chunks given to the library as one text.
 _JOINED = 128
 
