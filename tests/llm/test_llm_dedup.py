@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from graphloom.llm import repeats, simhash
+from graphloom.llm import jaccard, repeats, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -120,6 +120,60 @@ def test_remove_repeats_on_documents(spark, window, gram):
     assert sorted(map(tuple, found.collect()), key=repr) == plain_repeats(rows, window)
 
 
+def plain_similar(rows):
+    """(doc_id, smallest doc_id of its component): five-word shingles, Jaccard similarity of 0.8 or more."""
+    cut = [(t or "").encode().lower().split() for _, t in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} for w in cut]
+    group = list(range(len(rows)))
+
+    def top(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i, j in combinations(range(len(rows)), 2):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            group[top(i)] = top(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[top(i)] = min(d, least.get(top(i), d))
+    return sorted((d, least[top(i)]) for i, (d, _) in enumerate(rows))
+
+
+def test_similar_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    want = plain_similar(rows)
+    assert sorted(map(tuple, jaccard.near_duplicates(docs).collect())) == want
+    # Near copies that the fingerprints of op5 leave apart.
+    assert {d for d, c in want if d != c} > {d for d, _, c in plain_components(rows) if d != c}
+
+
+def test_similar_odd_rows(documents, odd_rows):
+    rows = [(d, t) for d, t, _ in odd_rows if d is not None]
+    assert sorted(map(tuple, jaccard.near_duplicates(documents).collect())) == plain_similar(rows)
+
+
+@pytest.mark.parametrize("sample", [0, 2048])
+def test_similar_edited_copies(spark, sample):
+    """Copies of copies with more and more words changed, a passage that all share, texts of a few words."""
+    rng = np.random.default_rng(5)
+    shared = [f"line{i}" for i in range(30)]
+    texts = []
+    for base in range(12):
+        text = [f"b{base}w{i}" for i in range(int(rng.integers(3, 120)))]
+        for n in range(8):
+            text = [w if rng.random() > 0.01 * n else f"{w}x{n}" for w in text]
+            texts.append(" ".join(text + (shared if base % 2 else [])))
+    rows = [(int(d), t) for d, t in zip(rng.permutation(1000), texts, strict=False)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, jaccard.near_duplicates(frame, sample=sample).collect())) == plain_similar(rows)
+
+
+def test_no_similar_documents(no_documents):
+    assert jaccard.near_duplicates(no_documents).collect() == []
+
+
 def test_empty_tables(no_documents):
     assert simhash.near_duplicates(no_documents).collect() == []
     assert repeats.remove_repeats(no_documents).collect() == []
