@@ -7,13 +7,16 @@ that no landmark has cannot change those, so lengths count the landmarks' grams)
 machine per language, against the rest, is fitted in the Nystroem space. Whole texts are
 scored by two matrix products per block of rows.
 
-The model is fitted on a bounded sample: ``PER_LANG`` labelled texts of at most ``MAX_CHARS``
-characters for each of the ``MAX_LANGS`` most frequent languages, chosen by a hash of doc_id.
+Every letter of the landmarks has a code of its own, and grams are numbers in that base; a letter that no
+landmark has cannot be part of a gram they know.
+
+The model is fitted on a bounded sample of every language: ``PER_LANG`` labelled texts each, fewer if there are
+so many languages that it would exceed ``SAMPLE_ROWS``, chosen by a hash of doc_id; of a text longer than
+``MAX_CHARS`` characters a window of as many, at a place that the hash chooses.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -27,12 +30,18 @@ from graphloom.llm.common import steps, utf8
 ORDERS = 3
 PER_LANG = 400
 MAX_CHARS = 20_000
-MAX_LANGS = 64
+SAMPLE_ROWS = 25_600
 LANDMARKS = 160
-MAX_ALPHABET = 96
+# Landmarks for each language, up to a bound; one at least.
+PER_LANDMARK = 4
+MOST_LANDMARKS = 1024
 RIDGE = 1e-2
 UNKNOWN = "und"
 _ROWS = 256
+# Grams are looked up in a table of at most so many numbers, else by binary search.
+_TABLE = 1 << 22
+# Cells of a dense block.
+_CELLS = 1 << 23
 
 
 @lru_cache(maxsize=1)
@@ -57,24 +66,96 @@ def _characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return points, np.repeat(np.arange(len(offsets) - 1), np.diff(before[offsets]))
 
 
+@lru_cache(maxsize=2)
+def _table(grams: bytes, total: int) -> np.ndarray:
+    out = np.full(total, -1, np.int32)
+    known = np.frombuffer(grams, np.int64)
+    out[known] = np.arange(len(known))
+    return out
+
+
+def _places(numbers: np.ndarray, grams: np.ndarray, alphabet: str) -> np.ndarray:
+    """Where each number is in the sorted ``grams``; -1 if it is not."""
+    total = sum((len(alphabet) + 2) ** k for k in range(1, ORDERS + 1))
+    if total <= _TABLE:
+        return _table(grams.tobytes(), total)[numbers]
+    at = np.minimum(np.searchsorted(grams, numbers), len(grams) - 1)
+    return np.where(grams[at] == numbers, at, -1)
+
+
 @dataclass(frozen=True)
-class Model:
-    """Languages, alphabet, grams known (sorted numbers), landmarks' presence, machines."""
+class Landmarks:
+    """Alphabet, grams (sorted numbers), one bit per gram and landmark, and the landmarks' numbers of grams."""
 
-    langs: list[str]
     alphabet: str
     grams: np.ndarray
-    presence: np.ndarray
+    bits: np.ndarray
+    sizes: np.ndarray
+
+    def kernel(self, found: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
+        """Normalised presence kernel of ``n`` texts' grams; a text without known grams is orthogonal to all.
+
+        Only the grams that occur in these texts are unpacked, a block of them at a time.
+        """
+        rows, places = [], []
+        for row, numbers in found:
+            place = _places(numbers, self.grams, self.alphabet)
+            rows.append(row[place >= 0])
+            places.append(place[place >= 0])
+        row, place = np.concatenate(rows), np.concatenate(places)
+        used = np.zeros(len(self.grams), bool)
+        used[place] = True
+        columns = np.flatnonzero(used)
+        at = (np.cumsum(used) - 1)[place]
+        x = np.zeros(n * len(columns), np.float32)
+        x[row * len(columns) + at] = 1
+        x = x.reshape(n, len(columns))
+        out = np.zeros((n, len(self.sizes)), np.float32)
+        step = max(1, _CELLS // len(self.sizes))
+        for low in range(0, len(columns), step):
+            marks = np.unpackbits(self.bits[columns[low : low + step]], axis=1, count=len(self.sizes))
+            out += x[:, low : low + step] @ marks.astype(np.float32)
+        return out / (np.sqrt(np.maximum(x.sum(1, keepdims=True), 1)) * np.sqrt(np.maximum(self.sizes, 1)))
+
+
+def _columns(texts: list[str], alphabet: str) -> list[tuple[np.ndarray, np.ndarray]]:
+    data, offsets = utf8(pa.array(texts, pa.string()))
+    return _gram_numbers(*_characters(data, offsets), alphabet)
+
+
+def landmarks_of(texts: list[str]) -> Landmarks:
+    alphabet = "".join(sorted({c.lower()[0] for t in texts for c in set(t) if c.isalpha()}))
+    # One text at a time: a pair of numbers for each of its distinct grams.
+    each = [np.unique(np.concatenate([numbers for _, numbers in _columns([t], alphabet)])) for t in texts]
+    grams = np.unique(np.concatenate(each))
+    bits = np.zeros((len(grams), -(-len(texts) // 8)), np.uint8)
+    for k, found in enumerate(each):
+        bits[np.searchsorted(grams, found), k >> 3] |= np.uint8(128 >> (k & 7))
+    return Landmarks(alphabet, grams, bits, np.array([len(x) for x in each], np.float32))
+
+
+@dataclass(frozen=True)
+class Model:
+    """Languages, the landmarks, machines."""
+
+    langs: list[str]
+    landmarks: Landmarks
     weights: np.ndarray
     bias: np.ndarray
 
+    @property
+    def rows(self) -> int:
+        """Texts to score at a time."""
+        return max(1, min(_ROWS, _CELLS // len(self.landmarks.grams)))
+
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Machine outputs (row x language), and which rows hold a letter."""
         points, rows = _characters(data, offsets)
-        found = presence(_gram_numbers(points, rows, self.alphabet), len(offsets) - 1, self.alphabet, self.grams)
-        lettered = np.zeros(len(offsets) - 1, bool)
+        n = len(offsets) - 1
+        found = _gram_numbers(points, rows, self.landmarks.alphabet)
+        lettered = np.zeros(n, bool)
         lettered[rows[_letters()[points]]] = True
-        return kernel(found, self.presence) @ self.weights + self.bias, lettered
+        return self.landmarks.kernel(found, n) @ self.weights + self.bias, lettered
 
 
 def _gram_numbers(points: np.ndarray, rows: np.ndarray, alphabet: str) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -92,67 +173,34 @@ def _gram_numbers(points: np.ndarray, rows: np.ndarray, alphabet: str) -> list[t
     return out
 
 
-@lru_cache(maxsize=2)
-def _places(alphabet: str, grams: bytes) -> np.ndarray:
-    size = len(alphabet) + 2
-    out = np.full(sum(size**k for k in range(1, ORDERS + 1)), -1, np.int32)
-    known = np.frombuffer(grams, np.int64)
-    out[known] = np.arange(len(known))
-    return out
-
-
-def presence(found: list[tuple[np.ndarray, np.ndarray]], n: int, alphabet: str, grams: np.ndarray) -> np.ndarray:
-    places = _places(alphabet, grams.tobytes())
-    out = np.zeros(n * len(grams), np.float32)
-    for rows, numbers in found:
-        place = places[numbers]
-        known = place >= 0
-        out[rows[known] * len(grams) + place[known]] = 1
-    return out.reshape(n, len(grams))
-
-
-def kernel(x: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
-    """Normalised presence kernel; a text without known grams is orthogonal to all."""
-    own = np.sqrt(np.maximum(x.sum(1, keepdims=True), 1)) * np.sqrt(np.maximum(landmarks.sum(1), 1))
-    return (x @ landmarks.T) / own
-
-
 def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
     """Model of labelled (text, lang) rows; None if there are none with a letter."""
     rows = sorted({(t, lang) for t, lang in rows if t and lang and any(map(str.isalpha, t))})
     if not rows:
         return None
     langs = sorted({lang for _, lang in rows})
-    seen = Counter(c for t, _ in rows for c in t.lower() if c.isalpha())
-    alphabet = "".join(sorted(c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:MAX_ALPHABET]))
     order = np.random.default_rng(7).permutation(len(rows))
     rows = [rows[i] for i in order]
     chosen: list[str] = []
     by_lang = {lang: [t for t, x in rows if x == lang] for lang in langs}
     for k in range(max(map(len, by_lang.values()))):
         chosen += [by_lang[lang][k] for lang in langs if k < len(by_lang[lang])]
-    chosen = chosen[: max(landmarks, len(langs))]
+    chosen = chosen[: max(landmarks, len(langs), min(PER_LANDMARK * len(langs), MOST_LANDMARKS))]
+    marks = landmarks_of(chosen)
+    step = max(1, min(_ROWS, _CELLS // len(marks.grams)))
 
-    def columns(texts: list[str]) -> tuple[list, int]:
-        data, offsets = utf8(pa.array(texts, pa.string()))
-        points, at = _characters(data, offsets)
-        return _gram_numbers(points, at, alphabet), len(texts)
+    def described(texts: list[str]) -> np.ndarray:
+        parts = [texts[low : low + step] for low in range(0, len(texts), step)]
+        return np.vstack([marks.kernel(_columns(part, marks.alphabet), len(part)) for part in parts])
 
-    found, n = columns(chosen)
-    grams = np.unique(np.concatenate([numbers for _, numbers in found]))
-    marks = presence(found, n, alphabet, grams)
-    values, vectors = np.linalg.eigh(kernel(marks, marks).astype(np.float64))
+    values, vectors = np.linalg.eigh(described(chosen).astype(np.float64))
     keep = values > 1e-6
     root = vectors[:, keep] / np.sqrt(values[keep])
-    parts = []
-    for low in range(0, len(rows), _ROWS):
-        found, n = columns([t for t, _ in rows[low : low + _ROWS]])
-        parts.append(kernel(presence(found, n, alphabet, grams), marks) @ root)
-    phi = np.hstack([np.vstack(parts), np.ones((len(rows), 1))])
+    phi = np.hstack([described([t for t, _ in rows]) @ root, np.ones((len(rows), 1))])
     target = np.where(np.array([lang for _, lang in rows])[:, None] == np.array(langs), 1.0, -1.0)
     gram = phi.T @ phi + ridge * len(rows) / 100 * np.eye(phi.shape[1])
     w = np.linalg.solve(gram, phi.T @ target)
-    return Model(langs, alphabet, grams, marks, (root @ w[:-1]).astype(np.float32), w[-1].astype(np.float32))
+    return Model(langs, marks, (root @ w[:-1]).astype(np.float32), w[-1].astype(np.float32))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -161,16 +209,18 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model | None:
-    """Model of a bounded sample of the labelled documents outside the held-out quarter."""
+    """Model of a bounded sample of each language's labelled documents outside the held-out quarter."""
     labelled = docs.where("text is not null and lang is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
-    labelled = labelled.where(F.length("text") <= MAX_CHARS)
-    common = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    per_lang = max(1, min(per_lang, SAMPLE_ROWS // max(counts.count(), 1)))
     # A hash thins each language to a few times the sample before its rows are ranked, however many it has.
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    drawn = labelled.select("doc_id", "lang").join(F.broadcast(common), "lang").where(draw * F.col("n").cast("double") <= float(4 * per_lang << 30))
+    drawn = labelled.select("doc_id", "lang").join(counts, "lang").where(draw * F.col("n").cast("double") <= float(4 * per_lang << 30))
     order = Window.partitionBy("lang").orderBy(draw, "doc_id")
     ranked = drawn.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_lang).select("doc_id").distinct()
-    chosen = labelled.join(F.broadcast(ranked), "doc_id").select("text", "lang")
+    start = F.lit(1) + F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - MAX_CHARS, F.lit(0)) + 1).cast("int")
+    window = F.substring("text", start, MAX_CHARS).alias("text")
+    chosen = labelled.join(F.broadcast(ranked), "doc_id").select(window, "lang")
     return fit([(r["text"], r["lang"]) for r in chosen.collect()])
 
 
@@ -179,7 +229,7 @@ def _predict(model: Model | None, names: list[str]):
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             langs, scores = [], []
-            for low, high in steps(offsets, rows=_ROWS):
+            for low, high in steps(offsets, rows=model.rows if model else None):
                 if model is None:
                     langs += [UNKNOWN] * (high - low)
                     scores += [0.0] * (high - low)

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +57,39 @@ def test_language_without_labels(documents, no_documents):
     assert {(r["lang_pred"], r["score"]) for r in language.identify(unlabelled).collect()} == {("und", 0.0)}
 
 
+def invented(spark, texts_of):
+    """Documents (doc_id, text, lang) of many languages, 40 each."""
+    rng = np.random.default_rng(2)
+    rows = [(1000 * k + i, make(rng), lang) for k, (lang, make) in enumerate(texts_of.items()) for i in range(40)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+
+
+def writer(letters, words):
+    vocabulary = ["".join(letters[(k * 7 + j * j) % len(letters)] for j in range(2 + k % 4)) for k in range(30)]
+    return lambda rng: " ".join(rng.choice(vocabulary, words))
+
+
+def learned(spark, texts_of):
+    found = language.identify(invented(spark, texts_of)).where("held_out").collect()
+    assert {r["lang"] for r in found} == set(texts_of)
+    return sum(r["lang"] == r["lang_pred"] for r in found) / len(found)
+
+
+def test_more_than_64_languages(spark):
+    texts_of = {f"l{k:02}": writer([chr(0x4E00 + 20 * k + i) for i in range(20)], 12) for k in range(80)}
+    assert learned(spark, texts_of) > 0.99
+
+
+def test_language_of_long_texts_only(spark):
+    assert learned(spark, {"a": writer("abcdefg", 12), "b": writer("hijklmn", 12), "c": writer("opqrstu", 6000)}) > 0.99
+
+
+def test_letters_beyond_the_96_commonest(spark):
+    many = [chr(0x4E00 + i) for i in range(100)]
+    texts_of = {"zh": lambda rng: "".join(rng.permutation(many)) * 3, "el": writer("αβγδεζηθ", 5), "he": writer("אבגדהוזח", 5)}
+    assert learned(spark, texts_of) > 0.99
+
+
 # --- secrets ------------------------------------------------------------------------
 
 SECRETS = [
