@@ -10,6 +10,11 @@ scored by two matrix products per block of rows.
 Every letter of the landmarks has a code of its own, and grams are numbers in that base; a letter that no
 landmark has cannot be part of a gram they know.
 
+A text is foreign to all learned languages if too few of its 3-grams are known to the landmarks. How
+few is taken from the landmarks themselves, each against the others: half way from what nearly all have in
+common with the rest to what they have in common with other languages only; a short text is given three
+dependent draws' doubled standard error.
+
 The model is fitted on a bounded sample of every language: ``PER_LANG`` labelled texts each, fewer if there are
 so many languages that it would exceed ``SAMPLE_ROWS``, chosen by a hash of doc_id; of a text longer than
 ``MAX_CHARS`` characters a window of as many, at a place that the hash chooses.
@@ -36,6 +41,8 @@ LANDMARKS = 160
 PER_LANDMARK = 4
 MOST_LANDMARKS = 1024
 RIDGE = 1e-2
+# Of the landmarks' shares of known grams, the quantile that stands for texts of their languages.
+LOW = 0.01
 UNKNOWN = "und"
 _ROWS = 256
 # Grams are looked up in a table of at most so many numbers, else by binary search.
@@ -92,6 +99,12 @@ class Landmarks:
     bits: np.ndarray
     sizes: np.ndarray
 
+    def longest(self, found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and places of all grams of the highest order that hold a letter; place -1 if not known."""
+        row, numbers = found[-1]
+        letters = numbers > sum((len(self.alphabet) + 2) ** k for k in range(1, ORDERS))
+        return row[letters], _places(numbers[letters], self.grams, self.alphabet)
+
     def kernel(self, found: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
         """Normalised presence kernel of ``n`` texts' grams; a text without known grams is orthogonal to all.
 
@@ -136,26 +149,32 @@ def landmarks_of(texts: list[str]) -> Landmarks:
 
 @dataclass(frozen=True)
 class Model:
-    """Languages, the landmarks, machines."""
+    """Languages, the landmarks, machines, the share of 3-grams known in texts of these languages."""
 
     langs: list[str]
     landmarks: Landmarks
     weights: np.ndarray
     bias: np.ndarray
+    floor: float
 
     @property
     def rows(self) -> int:
         """Texts to score at a time."""
         return max(1, min(_ROWS, _CELLS // len(self.landmarks.grams)))
 
-    def scores(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Machine outputs (row x language), and which rows hold a letter."""
+    def scores(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Machine outputs (row x language), which rows hold a letter, and which are foreign to all languages."""
         points, rows = _characters(data, offsets)
         n = len(offsets) - 1
         found = _gram_numbers(points, rows, self.landmarks.alphabet)
         lettered = np.zeros(n, bool)
         lettered[rows[_letters()[points]]] = True
-        return self.landmarks.kernel(found, n) @ self.weights + self.bias, lettered
+        row, place = self.landmarks.longest(found)
+        total = np.maximum(np.bincount(row, minlength=n), 1)
+        known = np.bincount(row[place >= 0], minlength=n)
+        slack = 2 * np.sqrt(ORDERS * self.floor * (1 - self.floor) / total)
+        foreign = (np.bincount(row, minlength=n) > 0) & (known / total < self.floor - slack)
+        return self.landmarks.kernel(found, n) @ self.weights + self.bias, lettered, foreign
 
 
 def _gram_numbers(points: np.ndarray, rows: np.ndarray, alphabet: str) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -173,6 +192,27 @@ def _gram_numbers(points: np.ndarray, rows: np.ndarray, alphabet: str) -> list[t
     return out
 
 
+def known_share(marks: Landmarks, texts: list[str], langs: list[str]) -> float:
+    """The least share of known 3-grams expected of a text in one of the landmarks' languages."""
+    places = [marks.longest(_columns([t], marks.alphabet))[1] for t in texts]
+    sets = [np.unique(p) for p in places]
+    held = np.zeros(len(marks.grams), np.int64)
+    for found in sets:
+        held[found] += 1
+    same, other = [], []
+    for lang in set(langs):
+        own = np.zeros(len(held), np.int64)
+        mine = [k for k, x in enumerate(langs) if x == lang and len(places[k])]
+        for k in mine:
+            own[sets[k]] += 1
+        same += [(held[places[k]] > 1).mean() for k in mine]
+        other += [(held[places[k]] > own[places[k]]).mean() for k in mine]
+    if not same:
+        return 0.0
+    low = float(np.quantile(same, LOW))
+    return min(low, (low + float(np.median(other))) / 2)
+
+
 def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
     """Model of labelled (text, lang) rows; None if there are none with a letter."""
     rows = sorted({(t, lang) for t, lang in rows if t and lang and any(map(str.isalpha, t))})
@@ -181,12 +221,16 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float =
     langs = sorted({lang for _, lang in rows})
     order = np.random.default_rng(7).permutation(len(rows))
     rows = [rows[i] for i in order]
-    chosen: list[str] = []
-    by_lang = {lang: [t for t, x in rows if x == lang] for lang in langs}
+    picked: list[tuple[str, str]] = []
+    by_lang: dict[str, list[tuple[str, str]]] = {lang: [] for lang in langs}
+    for row in rows:
+        by_lang[row[1]].append(row)
     for k in range(max(map(len, by_lang.values()))):
-        chosen += [by_lang[lang][k] for lang in langs if k < len(by_lang[lang])]
-    chosen = chosen[: max(landmarks, len(langs), min(PER_LANDMARK * len(langs), MOST_LANDMARKS))]
+        picked += [by_lang[lang][k] for lang in langs if k < len(by_lang[lang])]
+    picked = picked[: max(landmarks, len(langs), min(PER_LANDMARK * len(langs), MOST_LANDMARKS))]
+    chosen = [t for t, _ in picked]
     marks = landmarks_of(chosen)
+    floor = known_share(marks, chosen, [lang for _, lang in picked])
     step = max(1, min(_ROWS, _CELLS // len(marks.grams)))
 
     def described(texts: list[str]) -> np.ndarray:
@@ -200,7 +244,7 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float =
     target = np.where(np.array([lang for _, lang in rows])[:, None] == np.array(langs), 1.0, -1.0)
     gram = phi.T @ phi + ridge * len(rows) / 100 * np.eye(phi.shape[1])
     w = np.linalg.solve(gram, phi.T @ target)
-    return Model(langs, marks, (root @ w[:-1]).astype(np.float32), w[-1].astype(np.float32))
+    return Model(langs, marks, (root @ w[:-1]).astype(np.float32), w[-1].astype(np.float32), floor)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -224,39 +268,44 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model | None:
     return fit([(r["text"], r["lang"]) for r in chosen.collect()])
 
 
-def _predict(model: Model | None, names: list[str]):
+def _predict(model: Model | None, names: list[str], foreign: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            langs, scores = [], []
+            langs, scores, strange = [], [], []
             for low, high in steps(offsets, rows=model.rows if model else None):
                 if model is None:
                     langs += [UNKNOWN] * (high - low)
                     scores += [0.0] * (high - low)
+                    strange += [False] * (high - low)
                     continue
                 part = offsets[low : high + 1]
-                out, lettered = model.scores(data[part[0] : part[-1]], part - part[0])
+                out, lettered, unknown = model.scores(data[part[0] : part[-1]], part - part[0])
                 best = out.argmax(1)
                 sure = np.where(lettered, np.clip((out.max(1).astype(np.float64) + 1) / 2, 0, 1), 0.0)
                 langs += [model.langs[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), lettered.tolist(), strict=True)]
                 scores += sure.tolist()
+                strange += unknown.tolist()
             out = {name: batch.column(name) for name in names}
-            yield pa.record_batch(out | {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64())})
+            out |= {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64())}
+            yield pa.record_batch(out | ({"foreign": pa.array(strange, pa.bool_())} if foreign else {}))
 
     return run
 
 
-def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
+def identify(docs: DataFrame, model: Model | None = None, foreign: bool = False) -> DataFrame:
     """``docs`` (doc_id, text, lang, any others) with held_out, lang_pred and score.
 
     lang_pred is the language whose machine answers highest, of ties the first by name; score
     its answer, -1 to 1, moved to 0 to 1: below 0.5 no machine claims the text. Null,
     empty and letterless texts are ``und`` with score 0, as is everything if no labelled row can be
-    learned from. Only text is looked at. Columns of these three names are replaced;
+    learned from. ``foreign`` adds a column of that name: whether the text is in none of the
+    learned languages, by the share of its 3-grams that the landmarks know. Only text is looked at. Columns of these three names are replaced;
     repeated rows are judged each; an empty table gives an empty one.
     """
     model = train(docs) if model is None else model
-    docs = docs.drop("held_out", "lang_pred", "score").withColumn("held_out", held_out(F.col("doc_id")))
+    docs = docs.drop("held_out", "lang_pred", "score", *["foreign"] * foreign).withColumn("held_out", held_out(F.col("doc_id")))
     schema = T.StructType([
-        *docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(_predict(model, docs.columns), schema)
+        *docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
+        *[T.StructField("foreign", T.BooleanType())] * foreign])
+    return docs.mapInArrow(_predict(model, docs.columns, foreign), schema)

@@ -51,6 +51,22 @@ def test_language_id(inputs):
     assert len(texts) >= 0.99 * lettered
 
 
+def test_foreign_texts_go(spark):
+    """Planted texts of unlearned languages and gibberish go, short clean ones stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(*COLUMNS)
+    foreign = [
+        "Tämä on suomenkielinen teksti, joka kertoo talvesta ja lumesta pohjoisessa kylässä.",
+        "W Polsce zima jest bardzo mroźna, a dzieci chętnie bawią się na śniegu przez cały dzień.",
+        "Это русский текст о зиме и снеге.", "qxzv kjwq zzxk vbnq xkcd pqzt wvxz", "asdf qwer zxcv hjkl uiop"]
+    clean = [r["text"] for r in docs.where(language.held_out(F.col("doc_id"))).collect() if any(map(str.isalpha, r["text"] or ""))]
+    clean += [" ".join(t.split()[:n]) for t in clean for n in (3, 8) if sum(map(str.isalpha, t[:30])) > 20]
+    rows = [(10**6 + i, t, None, "planted", len(t)) for i, t in enumerate(foreign + clean)]
+    found = corpus_pipeline.language_id(spark, docs.union(spark.createDataFrame(rows, docs.schema)), SF)
+    kept = {r["doc_id"] - 10**6 for r in found.where("source = 'planted'").collect()}
+    assert not kept & set(range(len(foreign)))
+    assert len(kept) >= 0.995 * len(clean) and len(clean) > 500
+
+
 def test_near_dedup(inputs):
     rows = rows_of(inputs[1])
     roots = {d: c for d, _, c in plain_components([r[:2] for r in rows])}
