@@ -1298,7 +1298,7 @@ def api_summary(c):
     files = c.files("code")
     index = _index(files)
     endpoints = _endpoints(files)
-    steps = callflow.endpoint_flows(endpoints, index)
+    steps = callflow.endpoint_flows(endpoints, index, max_depth=None)
     return callflow.api_summary(endpoints, steps).select("route", "handler", "steps_count")
 
 
@@ -1308,7 +1308,7 @@ def api_summary(c):
 """)
 def call_chains(c):
     index = _index(c.files("code"))
-    chains, _ = callflow.call_chains(index)
+    chains, _ = callflow.call_chains(index, max_depth=None)
     return chains.select("entry_point", "depth")
 
 
@@ -1320,7 +1320,7 @@ def call_chains(c):
            (select count(*) from orders) as endpoints, 3 * (select count(*) from orders) as chains
 """)
 def flow_stats(c):
-    return callflow.flow_stats(callflow.analyze_flows(c.files("code"))).drop("project")
+    return callflow.flow_stats(callflow.analyze_flows(c.files("code"), max_depth=None)).drop("project")
 
 
 @query("""
@@ -1334,7 +1334,7 @@ def flow_stats(c):
              (3, 'region_' || cast(n_regionkey as varchar), null)) as s(depth, step, d)
 """)
 def flow_item(c):
-    flows = callflow.analyze_flows(c.files("code"))
+    flows = callflow.analyze_flows(c.files("code"), max_depth=None)
     return callflow.flow_item(flows, 3).select("number", "method", "route", "entry_point", "depth", "step", "step_description")
 
 
@@ -1360,7 +1360,7 @@ def flow_mermaid(c):
     files = c.files("code")
     index = _index(files)
     endpoints = _endpoints(files)
-    lines = callflow.flow_lines(endpoints, callflow.endpoint_flows(endpoints, index), index)
+    lines = callflow.flow_lines(endpoints, callflow.endpoint_flows(endpoints, index, max_depth=None), index)
     return lines.where("section > 0").select("route", "section", "line_no", "line")
 
 
@@ -1388,7 +1388,7 @@ def flow_mermaid(c):
 """)
 def chain_mermaid(c):
     index = _index(c.files("code"))
-    chains, steps = callflow.call_chains(index)
+    chains, steps = callflow.call_chains(index, max_depth=None)
     lines = callflow.chain_lines(chains, steps, index)
     return lines.where("section > 0 or line like '%entryNode' and line like '%🚀%'").select("entry_point", "line")
 

@@ -133,6 +133,30 @@ def test_reach_stops_at_three_calls(spark):
     assert got == [("a", "a", 0), ("a", "b", 1), ("a", "c", 2), ("a", "d", 3), ("zz", "zz", 0)]
 
 
+def test_reach_of_a_long_chain(spark):
+    """Seven calls in a row and a way back: every function is reached, once."""
+    idx = index(spark, [(f"C.f{i}", f"f{i}", "C", [f"f{(i + 1) % 8}"]) for i in range(8)])
+    starts = spark.createDataFrame([("p", "C.f0", "C.f0"), ("p", "zz", "zz")], "project string, start string, node string")
+    got = bag(callflow.reach(starts, callflow.call_edges(idx), None), "start", "node", "depth")
+    assert got == [*[("C.f0", f"C.f{i}", i) for i in range(8)], ("zz", "zz", 0)]
+
+
+def test_queries_follow_all_calls(spark):
+    """The registered queries but call_reach_3, over an endpoint that reaches five calls deep."""
+    from types import SimpleNamespace
+
+    from graphloom.plans import queries
+
+    service = "class Service:\n" + "".join(f"    def step{i}(self):\n        return self.step{i + 1}()\n" for i in range(6))
+    corpus = SimpleNamespace(files=lambda kind: files(spark, {"app.py": SHELVES, "service.py": service}))
+    assert queries.api_summary(corpus).where("route = '/shelves'").first().steps_count == 6
+    assert queries.call_chains(corpus).where("entry_point = 'Service.step0'").first().depth == 6
+    assert queries.call_reach_3(corpus).where("route = '/shelves'").agg(F.max("depth")).first()[0] == 3
+    lines = queries.flow_mermaid(corpus).where("route = '/shelves' and section = 1")
+    assert lines.count() == 12
+    assert queries.chain_mermaid(corpus).where("entry_point = 'Service.step0' and line like '%📦%'").count() == 5
+
+
 def test_chains_and_suffix_start(spark):
     idx = index(spark, [
         ("Service.process", "process", "Service", ["validate", "transform", "get", "_x"]),
