@@ -131,7 +131,7 @@ def _digits(number: str) -> str:
 
 
 def _bytes(text: str) -> str:
-    return f"[('0x' || hex(encode({text}))[2 * i + 1:2 * i + 2])::bigint for i in range(strlen({text}))]"
+    return f"[('0x' || x)::bigint for x in regexp_extract_all(hex(encode({text})), '..')]"
 
 
 def _field(column: str) -> str:
