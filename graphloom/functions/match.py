@@ -2,27 +2,12 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, SparkSession, functions as F, types as T
-
-MATCH = "struct<score:double,match_type:string,start:int,end:int>"
+from pyspark.sql import Column, SparkSession, functions as F
 
+from graphloom.functions.fuzzy import reachable, similarity
 
-@F.pandas_udf(T.DoubleType())
-def similarity(text: pd.Series, query: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp ratio; null text gives null."""
-    matcher = SequenceMatcher(None)
-    scores = []
-    for value, wanted in zip(text, query):
-        if value is None or wanted is None:
-            scores.append(None)
-            continue
-        matcher.set_seqs(wanted, value)
-        scores.append(matcher.ratio())
-    return pd.Series(scores, dtype="float64")
+MATCH = "struct<score:double,match_type:string,start:int,end:int>"
 
 
 def valid_pattern(spark: SparkSession, pattern: str) -> bool:
@@ -46,22 +31,45 @@ def match_text(
     """Best match of a query in a text as MATCH, null when there is none.
 
     Exact (1.0) goes before regex (0.9), contains (0.8) and fuzzy (ratio x 0.7).
-    The Python ratio only sees rows no earlier branch took and whose lengths can
-    reach the threshold at all.
+    The Python ratio only sees texts that no earlier branch took and whose lengths, characters and
+    runs can reach the threshold at all; ``may_be_fuzzy`` says which these are.
     """
     if not query:
         return F.lit(None).cast(MATCH)
-    wanted = query if case_sensitive else query.lower()
-    seen = text if case_sensitive else F.lower(text)
+    result = _literal(text, query, case_sensitive, use_regex)[0]
+    if fuzzy:
+        candidate = F.when(may_be_fuzzy(text, query, case_sensitive, use_regex, fuzzy_threshold), _seen(text, case_sensitive))
+        ratio = similarity(candidate, F.lit(query if case_sensitive else query.lower()))
+        result = result.when(ratio >= fuzzy_threshold, _hit(ratio * 0.7, "fuzzy"))
+    return result
+
+
+def may_be_fuzzy(text: Column, query: str, case_sensitive: bool = False, use_regex: bool = False, fuzzy_threshold: float = 0.6) -> Column:
+    """Whether only the ratio can tell if a text matches; never null."""
+    if not query:
+        return F.lit(False)
+    found = _literal(text, query, case_sensitive, use_regex)[1]
+    near = reachable(_seen(text, case_sensitive), query if case_sensitive else query.lower(), fuzzy_threshold)
+    return F.coalesce((text != "") & ~found & near, F.lit(False))
+
+
+def _seen(text: Column, case_sensitive: bool) -> Column:
+    return text if case_sensitive else F.lower(text)
 
-    def hit(score, kind, start=None, end=None):
-        return F.struct(
-            (score if isinstance(score, Column) else F.lit(score)).cast("double").alias("score"),
-            F.lit(kind).alias("match_type"),
-            (F.lit(None) if start is None else start).cast("int").alias("start"),
-            (F.lit(None) if end is None else end).cast("int").alias("end"),
-        )
 
+def _hit(score, kind, start=None, end=None) -> Column:
+    return F.struct(
+        (score if isinstance(score, Column) else F.lit(score)).cast("double").alias("score"),
+        F.lit(kind).alias("match_type"),
+        (F.lit(None) if start is None else start).cast("int").alias("start"),
+        (F.lit(None) if end is None else end).cast("int").alias("end"),
+    )
+
+
+def _literal(text: Column, query: str, case_sensitive: bool, use_regex: bool) -> tuple[Column, Column]:
+    """The best match but the fuzzy one, and whether there is one."""
+    wanted = query if case_sensitive else query.lower()
+    seen, hit = _seen(text, case_sensitive), _hit
     usable = text.isNotNull() & (text != "")
     exact = usable & (seen == F.lit(wanted))
     found = exact
@@ -79,14 +87,7 @@ def match_text(
     contained = usable & F.contains(seen, F.lit(wanted))
     at = F.locate(wanted, seen) - 1
     result = result.when(contained, hit(0.8, "contains", at, at + len(wanted)))
-    if fuzzy:
-        found = found | contained
-        size, length = F.length(seen), F.lit(len(wanted))
-        reachable = 2 * F.least(size, length) >= fuzzy_threshold * (size + length)
-        candidate = F.when(usable & ~found & reachable, seen)
-        ratio = similarity(candidate, F.lit(wanted))
-        result = result.when(ratio >= fuzzy_threshold, hit(ratio * 0.7, "fuzzy"))
-    return result
+    return result, found | contained
 
 
 def highlight(text: Column, ranges: Column) -> Column:

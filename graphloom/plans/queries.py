@@ -30,7 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None, views: str = "", name: str | None = None):
+def query(sql: str | None = None, views: str = "", name: str | None = None, recursive: bool = False):
     """Register ``fn(corpus)`` under its name, with its checking SQL over the named views."""
 
     def register(fn):
@@ -41,7 +41,8 @@ def query(sql: str | None = None, views: str = "", name: str | None = None):
 
         QUERIES[key] = run
         if sql is not None:
-            ORACLES[key] = (with_views(*views.split()) if views else "") + sql
+            head = with_views(*views.split()) if views else ""
+            ORACLES[key] = (head.replace("with ", "with recursive ", 1) if recursive else head) + sql
         return fn
 
     return register
@@ -706,13 +707,76 @@ def search_context(c):
     )
 
 
-@query()
+# Ratio of the pairs (a, b): the longest common block, the earliest in a, then in b; then left and right of it.
+_RATIO = """
+    seg as (
+        select a, b, 0 as alo, length(a) as ahi, 0 as blo, length(b) as bhi, 0 as k from pair
+        union all
+        select a, b, n.alo, n.ahi, n.blo, n.bhi, n.k from (
+            select a, b, unnest([
+                {'alo': alo, 'ahi': alo + i, 'blo': blo, 'bhi': blo + j, 'k': size},
+                {'alo': alo + i + size, 'ahi': ahi, 'blo': blo + j + size, 'bhi': bhi, 'k': 0}]) as n
+            from (
+                select *, -best.n as size, best.i as i, instr(y, x[best.i + 1:best.i - best.n]) - 1 as j from (
+                    select *, list_min(flatten([
+                        [{'n': -k, 'i': i} for i in range(length(x) - k + 1) if contains(y, x[i + 1:i + k])]
+                        for k in range(1, least(length(x), length(y)) + 1)])) as best
+                    from (select *, a[alo + 1:ahi] as x, b[blo + 1:bhi] as y from seg where alo < ahi and blo < bhi)
+                ) where best is not null
+            )
+        )
+    ),
+    ratio as (select a, b, 2.0::double * sum(k) / (length(a) + length(b)) as ratio from seg group by a, b)
+"""
+
+
+def _may_reach(threshold: float) -> str:
+    """Whether a and b hold enough characters in common, counted with repeats."""
+    held = "length({0}) - length(replace({0}, c, ''))"
+    shared = f"list_sum([least({held.format('a')}, {held.format('b')}) for c in list_distinct(string_split(a, ''))])"
+    return f"2 * {shared} >= {threshold - 1e-9} * (length(a) + length(b))"
+
+
+@query(f"""
+    , seen as (
+        select project, name, type, kind, pos, 0 as f, 'name' as match_field, lower(name) as b, 1.2::double as weight from ent
+        union all select project, name, type, kind, pos, 1, 'description', lower(description), 1.0::double from ent where description <> ''),
+    pair as (select * from (select distinct 'suplier#000000010' as a, b from seen) where {_may_reach(0.6)}),
+    {_RATIO},
+    scored as (
+        select seen.*, case when b = a then 1.0::double when contains(b, a) then 0.8::double else ratio * 0.7 end as s,
+               case when b = a then 'exact' when contains(b, a) then 'contains' else 'fuzzy' end as match_type
+        from seen join ratio using (b) where contains(b, a) or ratio >= 0.6),
+    best as (
+        select *, row_number() over (partition by project, name, type order by s * weight desc, kind, pos, f) as rn from scored)
+    select project, name, type, round(s * weight, 9) as score, match_type, match_field from best where rn = 1
+""", "ent", recursive=True)
 def search_fuzzy(c):
     return search.search(c.graph(), "Suplier#000000010", fuzzy=True).select(
         "project", "name", "type", F.round("score", 9).alias("score"), "match_type", "match_field"
     )
 
 
+@query(f"""
+    , asked as (
+        select 'n' as field, replace(s_name, '#0000', ' ') as query from supplier
+        union all select 'd', reverse(p_type) || 's' from part union all select 'd', p_type || '-PLATED' from part),
+    texts as (
+        select project, name, type, 'name' as match_field, lower(name) as b from ent
+        union all select project, name, type, 'description', lower(description) from ent where description <> ''),
+    pair as (select a, b from (select distinct b from texts) t, (select distinct lower(query) as a from asked) q where {_may_reach(0.75)}),
+    {_RATIO}
+    select distinct query, project, name, type, match_field, round(ratio, 9) as similarity
+    from texts join ratio using (b) join asked on lower(query) = a where ratio >= 0.75
+""", "ent", recursive=True)
+def search_similar(c):
+    suppliers = c.table("supplier").select(F.replace(F.col("s_name"), F.lit("#0000"), F.lit(" ")).alias("query"))
+    kinds = c.table("part").select(F.explode(F.array(
+        F.concat(F.reverse("p_type"), F.lit("s")), F.concat(F.col("p_type"), F.lit("-PLATED")))).alias("query"))
+    found = search.search_similar(c.graph(), suppliers.unionByName(kinds).distinct(), 0.75)
+    return found.select("query", "project", "name", "type", "match_field", F.round("similarity", 9).alias("similarity"))
+
+
 # --- questions --------------------------------------------------------------
 
 _INTENT = "case " + " ".join(
