@@ -5,7 +5,7 @@ a leaf's witness is partial until a run is full, and each run that completes ext
 everything below its members by the siblings beside them. Witnesses share their upper parts, so a run is kept
 once and not once per leaf.
 
-Appends are dealt out in aligned blocks of ``FAN`` ** ``DEPTH`` leaves, which are whole subtrees, each appended in one task in
+Appends are dealt out in aligned blocks of ``FAN`` ** depth leaves, which are whole subtrees, each appended in one task in
 bounded memory. The roots of a source's blocks are then appended in the same way, as often as it takes to leave one
 node per source, and the sources' roots once more. On the way back the siblings that block roots met
 extend the witnesses of their blocks, down to the leaves.
@@ -17,7 +17,7 @@ from collections.abc import Iterator, Sequence
 from hashlib import sha256
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from graphloom.llm.common import stage
 from graphloom.llm.places import begins, placed
@@ -95,36 +95,36 @@ _BLOCK_ARROW = pa.schema([
     ("doc_ids", pa.list_(pa.int64())), ("altered", pa.list_(pa.binary()))])
 
 
-def _appended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per block from its nodes in order; a block holds at most FAN ** DEPTH of them."""
-    held: Frontier | None = None
-    where, last = (None, 0), None
-    doc_ids: list[int | None] = []
-    altered: list[bytes | None] = []
+def _appended(depth: int):
+    """A row per block from its nodes in order; a block holds at most FAN ** depth of them."""
 
-    def closed() -> pa.RecordBatch:
+    def closed(held: Frontier, source: str | None, block: int, doc_ids: list, altered: list) -> pa.RecordBatch:
         # The first block is its source's only one or full; either way it closes at its natural height.
-        root = held.close(DEPTH if where[1] else None)
+        root = held.close(depth if block else None)
         levels = [bytes.fromhex("".join(nodes)) for nodes in held.levels]
-        row = {"source": where[0], "block": where[1], "root": bytes.fromhex(root), "levels": levels, "doc_ids": doc_ids, "altered": altered}
+        row = {"source": source, "block": block, "root": bytes.fromhex(root), "levels": levels, "doc_ids": doc_ids, "altered": altered}
         return pa.RecordBatch.from_pylist([row], _BLOCK_ARROW)
 
-    for batch in batches:
-        if not len(batch):
-            continue
-        new = begins(batch, ["source", "block"], last)
-        last = batch.slice(len(batch) - 1)
-        rows = zip(new, *(batch.column(c).to_pylist() for c in ("source", "block", "node", "doc_id", "altered")), strict=True)
-        for first, source, block, node, doc_id, other in rows:
-            if first:
-                if held:
-                    yield closed()
-                held, where, doc_ids, altered = Frontier(), (source, block), [], []
-            held.append(node.hex())
-            doc_ids.append(doc_id)
-            altered.append(other)
-    if held:
-        yield closed()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_block, last = None, None
+        for batch in batches:
+            if not len(batch):
+                continue
+            new = begins(batch, ["source", "block"], last)
+            last = batch.slice(len(batch) - 1)
+            rows = zip(new, *(batch.column(c).to_pylist() for c in ("source", "block", "node", "doc_id", "altered")), strict=True)
+            for first, source, block, node, doc_id, other in rows:
+                if first:
+                    if open_block:
+                        yield closed(*open_block)
+                    open_block = (Frontier(), source, block, [], [])
+                open_block[0].append(node.hex())
+                open_block[3].append(doc_id)
+                open_block[4].append(other)
+        if open_block:
+            yield closed(*open_block)
+
+    return run
 
 
 def _spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -132,42 +132,43 @@ def _spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def _blocks(nodes: DataFrame) -> DataFrame:
+def _blocks(nodes: DataFrame, depth: int) -> DataFrame:
     """Blocks of the rows (source, pos, node, doc_id, altered), as a written table."""
-    keyed = nodes.withColumn("block", F.floor(F.col("pos") / F.lit(FAN**DEPTH)).cast("long"))
-    return stage(_spread(keyed, "source", "block").sortWithinPartitions("source", "block", "pos").mapInArrow(_appended, _BLOCK))
+    keyed = nodes.withColumn("block", F.floor(F.col("pos") / F.lit(FAN**depth)).cast("long"))
+    return stage(_spread(keyed, "source", "block").sortWithinPartitions("source", "block", "pos").mapInArrow(_appended(depth), _BLOCK))
 
 
-def _tiers(nodes: DataFrame) -> list[DataFrame]:
+def _tiers(nodes: DataFrame, depth: int) -> list[DataFrame]:
     """Blocks of the nodes, blocks of their roots, and so on until every source has one block."""
-    tiers = [_blocks(nodes)]
+    tiers = [_blocks(nodes, depth)]
     while (tiers[-1].agg(F.max("block")).first()[0] or 0) > 0:
         above = tiers[-1].select(
             "source", F.col("block").alias("pos"), F.col("root").alias("node"), F.lit(None).cast("long").alias("doc_id"),
             F.lit(None).cast("binary").alias("altered"))
-        tiers.append(_blocks(above))
+        tiers.append(_blocks(above, depth))
     return tiers
 
 
-_STEPS = [T.StructField(c, T.ArrayType(T.BinaryType())) for c in ("before", "after")]
+def _steps(depth: int):
+    """A row per node of each block: its place and witness, those of its block added."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                levels = [x.hex().encode() for x in row["levels"]]
+                n = len(row["doc_ids"])
+                for low in range(0, n, FAN):
+                    some = range(low, min(low + FAN, n))
+                    found = [list(witness(levels, i)) for i in some]
+                    yield pa.record_batch({
+                        "source": pa.array([row["source"]] * len(some), pa.string()),
+                        "pos": pa.array([row["block"] * FAN**depth + i for i in some], pa.int64()),
+                        "before": pa.array([[s[0] for s in f] + row["before"] for f in found], pa.list_(pa.binary())),
+                        "after": pa.array([[s[1] for s in f] + row["after"] for f in found], pa.list_(pa.binary())),
+                        "subroot": pa.array([row["subroot"]] * len(some), pa.string()),
+                        "top": pa.array([row["top"]] * len(some), pa.string())})
 
-def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per node of each block: its place and witness, those of its block added."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            levels = [x.hex().encode() for x in row["levels"]]
-            n = len(row["doc_ids"])
-            for low in range(0, n, FAN):
-                some = range(low, min(low + FAN, n))
-                found = [list(witness(levels, i)) for i in some]
-                yield pa.record_batch({
-                    "source": pa.array([row["source"]] * len(some), pa.string()),
-                    "pos": pa.array([row["block"] * FAN**DEPTH + i for i in some], pa.int64()),
-                    "before": pa.array([[s[0] for s in f] + row["before"] for f in found], pa.list_(pa.binary())),
-                    "after": pa.array([[s[1] for s in f] + row["after"] for f in found], pa.list_(pa.binary())),
-                    "subroot": pa.array([row["subroot"]] * len(some), pa.string()),
-                    "top": pa.array([row["top"]] * len(some), pa.string())})
+    return run
 
 
 _STEP_DDL = "source string, pos long, before array<binary>, after array<binary>, subroot string, top string"
@@ -228,7 +229,7 @@ def lowered(text: Column) -> Column:
     return F.translate(text, _UPPER, _LOWER)
 
 
-def proofs(docs: DataFrame, steps: bool = False) -> DataFrame:
+def proofs(docs: DataFrame, steps: bool = False, depth: int = DEPTH) -> DataFrame:
     """(doc_id, source, leaf, subroot, root, proof_sha256, folded_root, verified[, before, after]) of every row of ``docs``.
 
     ``docs`` has doc_id and n_chars (integers), source, lang, text (strings); other columns are not read. ``before`` and
@@ -241,28 +242,27 @@ def proofs(docs: DataFrame, steps: bool = False) -> DataFrame:
     their own. A lone row's leaf is its subroot, a lone source's subroot the root; neither has siblings, and the
     hash of none is that of the empty text. An empty table has no rows.
     """
-    spark: SparkSession = docs.sparkSession
     docs = docs.select(*[F.col(c).cast("string" if c in ("source", "lang", "text") else "long").alias(c) for c in FIELDS])
     as_is = [F.col(c) for c in FIELDS]
     other = F.when(tampered(F.col("doc_id")) & F.col("text").isNotNull(), leaf([*as_is[:-1], lowered(F.col("text"))]))
     nodes = docs.select("source", "doc_id", leaf(as_is).alias("node"), other.alias("altered"))
-    tiers = _tiers(placed(nodes, ["source"], ["doc_id", "node"], "pos"))
+    tiers = _tiers(placed(nodes, ["source"], ["doc_id", "node"], "pos"), depth)
 
     one = F.lit(None).cast("string").alias("source")
     tops = placed(tiers[-1].select(F.col("source").alias("name"), F.col("root").alias("node")).withColumn("all", F.lit(0)), ["all"], ["name"], "pos")
-    above = _tiers(tops.select(one, "pos", "node", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("altered")))
+    above = _tiers(tops.select(one, "pos", "node", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("altered")), depth)
     root = above[-1].select("root").first()
 
     none = F.array().cast("array<binary>")
-    top = spark.range(1).select(
-        one, F.lit(0).cast("long").alias("pos"), none.alias("before"), none.alias("after"),
-        F.lit("").alias("subroot"), F.lit(bytes(root[0]).hex() if root else "").alias("top"))
-    for blocks in reversed(above):
-        top = _with_above(blocks, top).mapInArrow(_steps, _STEP_DDL)
+    # The block at the very top has no witness.
+    last = {"before": none, "after": none, "subroot": F.lit(""), "top": F.lit(bytes(root[0]).hex() if root else "")}
+    top = above[-1].withColumns(last).mapInArrow(_steps(depth), _STEP_DDL)
+    for blocks in reversed(above[:-1]):
+        top = _with_above(blocks, top).mapInArrow(_steps(depth), _STEP_DDL)
     known = tops.select("pos", F.col("name"), F.lower(F.hex("node")).alias("own"))
     top = top.drop("source", "subroot").join(known, "pos").select(
         F.col("name").alias("source"), F.lit(0).cast("long").alias("pos"), "before", "after", F.col("own").alias("subroot"), "top")
     for blocks in reversed(tiers[1:]):
-        top = _with_above(blocks, top).mapInArrow(_steps, _STEP_DDL)
+        top = _with_above(blocks, top).mapInArrow(_steps(depth), _STEP_DDL)
     ready = _spread(_with_above(tiers[0], top), "source", "block")
     return ready.mapInArrow(_proofs(steps), _PROOF_DDL + (", before array<string>, after array<string>" if steps else ""))
