@@ -246,7 +246,8 @@ def proofs(docs: DataFrame, steps: bool = False, depth: int = DEPTH) -> DataFram
     as_is = [F.col(c) for c in FIELDS]
     other = F.when(tampered(F.col("doc_id")) & F.col("text").isNotNull(), leaf([*as_is[:-1], lowered(F.col("text"))]))
     nodes = docs.select("source", "doc_id", leaf(as_is).alias("node"), other.alias("altered"))
-    tiers = _tiers(placed(nodes, ["source"], ["doc_id", "node"], "pos"), depth)
+    # Written, so that texts are read and hashed once, though ranges are found by a pass of their own.
+    tiers = _tiers(placed(stage(nodes), ["source"], ["doc_id", "node"], "pos"), depth)
 
     one = F.lit(None).cast("string").alias("source")
     tops = placed(tiers[-1].select(F.col("source").alias("name"), F.col("root").alias("node")).withColumn("all", F.lit(0)), ["all"], ["name"], "pos")

@@ -51,7 +51,8 @@ def placed(df: DataFrame, group: Sequence[str], order: Sequence[str], into: str)
     """``df`` and in ``into`` (long) the place of each row, from 0, among those of its ``group`` by ``order``.
 
     Nulls come first, and null groups are groups. Rows that tie trade places; ties may span partitions too.
-    The sorted rows are a written table, so places stay the same for every reader.
+    The sorted rows are a written table, so places stay the same for every reader. ``df`` is read twice, once to find the
+    ranges.
     """
     keys = [*group, *order, _TIE]
     ranged = df.withColumn(_TIE, F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys).drop(_TIE)
