@@ -94,7 +94,8 @@ def place(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"))
-    rows = assign(rows, ["doc_id"], shards).withColumn(_TIE, F.monotonically_increasing_id())
+    # Written, as the range sort reads its input twice, once to find the ranges.
+    rows = stage(assign(rows, ["doc_id"], shards)).withColumn(_TIE, F.monotonically_increasing_id())
     order = ["shard", "doc_id", "text_crc32", "size", _TIE]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop(_TIE)
     rows = stage(rows.withColumn(_AT, F.monotonically_increasing_id())).withColumn(_PART, F.shiftright(_AT, 33))
