@@ -40,7 +40,7 @@ def turns(conversations: DataFrame) -> DataFrame:
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.unhex(F.sha2(F.concat(F.octet_length(role).cast("string"), F.lit(":"), role, text), 256)).alias("turn_hash"),
         F.length(text).cast("long").alias("chars"))
-    return placed(rows, ["conv_id"], ["turn", "turn_hash"], "pos").drop("turn")
+    return placed(stage(rows), ["conv_id"], ["turn", "turn_hash"], "pos").drop("turn")
 
 
 def rebuild(rows: DataFrame, run: int = RUN, heads: int = HEADS) -> tuple[DataFrame, DataFrame]:
