@@ -1,4 +1,4 @@
-"""Substring and phrase joins as equi-joins."""
+"""Substring and phrase joins: by automata beside the texts or, with very many needles, as equi-joins."""
 
 from __future__ import annotations
 
@@ -6,6 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from graphloom.functions import automaton
+from graphloom.session import cut
+
 GRAMS = (1, 2, 4, 8)
 PHRASE = 3
 _WORD = "[a-z0-9_]+"
@@ -26,13 +29,40 @@ def substring_join(
     text_id: Sequence[str],
     on: Sequence[str] = (),
 ) -> DataFrame:
-    """Pairs (text row, needle row) where the needle occurs in the text.
+    """Pairs (text row without its text, needle row) where the needle occurs in the text.
 
-    Each needle is looked up by its first 1, 2, 4 or 8 characters, as many as it has,
-    among the grams of the texts, so the join is on equality; needles longer than
-    their key are then checked in full. Only lengths that occur are generated.
     ``on`` adds equality columns, ``text_id`` identifies a text row. Empty needles
     match nothing here. Needle columns must not clash with the text columns.
+
+    As long as the needles fit some blocks (see automaton), texts stay where they are; beyond that
+    they are looked up by their grams.
+    """
+    return _join(texts, text, needles, needle, text_id, on, False, gram_join)
+
+
+def _join(texts, text, needles, needle, text_id, on, whole, beyond) -> DataFrame:
+    needles = cut(needles)
+    blocks = automaton.blocks_of(needles, needle)
+    keep = [c for c in texts.columns if c != text or c in text_id]
+    if blocks is None:
+        return beyond(texts, text, needles, needle, text_id, on).select(*keep, *[c for c in needles.columns if c not in on])
+    found = automaton.search(texts, text, blocks, needle, keep, whole)
+    return found.join(needles, [needle, *on]).select(*keep, *[c for c in needles.columns if c not in on])
+
+
+def gram_join(
+    texts: DataFrame,
+    text: str,
+    needles: DataFrame,
+    needle: str,
+    text_id: Sequence[str],
+    on: Sequence[str] = (),
+) -> DataFrame:
+    """substring_join for needles without bound, as a join on equality.
+
+    Each needle is looked up by its first 1, 2, 4 or 8 characters, as many as it has,
+    among the grams of the texts; needles longer than their key are then checked in full. Only lengths
+    that occur are generated.
     """
     sizes = F.array(*[F.lit(n) for n in GRAMS])
     keyed = (
@@ -94,13 +124,28 @@ def phrase_join(
     text_id: Sequence[str],
     on: Sequence[str] = (),
 ) -> DataFrame:
-    """Pairs (text row, name row) where the name stands in the text as a phrase.
+    """Pairs (text row without its text, name row) where the name stands in the text as a phrase.
 
     Both columns must be lower case and names at least two characters long. A name
-    counts when no ASCII word character touches it on either side. Its words then
-    are consecutive words of the text, so the join is on equality of up to PHRASE
-    leading words; the exact rule is checked on the pairs. ``text_id`` identifies a
-    text row; only ids and keys go through the explode, never copies of the text.
+    counts when no ASCII word character touches it on either side. ``text_id`` identifies a
+    text row. Names are searched like the needles of substring_join.
+    """
+    return _join(texts, text, names, name, text_id, on, True, key_join)
+
+
+def key_join(
+    texts: DataFrame,
+    text: str,
+    names: DataFrame,
+    name: str,
+    text_id: Sequence[str],
+    on: Sequence[str] = (),
+) -> DataFrame:
+    """phrase_join for names without bound, as a join on equality.
+
+    The words of a name are consecutive words of the text, so the join is on up to PHRASE
+    leading words; the exact rule is checked on the pairs. Only ids and keys go through the explode,
+    never copies of the text.
     """
     keyed = names.withColumn("_key", _leading(F.col(name)))
     extra = [c for c in on if c not in text_id]

@@ -136,19 +136,14 @@ def search_keywords(graph: Graph, keywords: DataFrame, keys: Sequence[str] = ("p
 
     With the default keys a keyword is asked of its project; with none, of all.
     """
+    # Both fields as one text; a needle that spans them holds the character between, so hits are checked.
+    between = F.lit("\u0000")
+    entities = graph.entities.select(*graph.entities.columns, F.lower(F.concat_ws("\u0000", "name", "description")).alias("_text"))
+    asked = keywords.select(*keys, F.lower("keyword").alias("_needle"), "keyword").distinct()
     # Graphs put together by hand may use a place twice; with name and type it is one entity.
-    row = ["project", "ord", "name", "type"]
-    fields = graph.entities.select(
-        *row, F.explode(F.array_compact(F.array(
-            F.struct(F.lit(0).alias("field"), F.lower("name").alias("text")),
-            F.when(F.col("description").isNotNull(),
-                   F.struct(F.lit(1).alias("field"), F.lower("description").alias("text"))),
-        ))).alias("f"),
-    ).select(*row, "f.field", "f.text")
-    asked = keywords.select(*keys, F.lower("keyword").alias("needle"), "keyword").distinct()
-    pairs = substring_join(fields, "text", asked, "needle", [*row, "field"], on=list(keys))
-    hits = pairs.select(*row, "keyword").distinct()
-    return hits.join(graph.entities, row)
+    pairs = substring_join(entities, "_text", asked, "_needle", ["project", "ord", "name", "type"], on=list(keys))
+    true = ~F.contains("_needle", between) | _mentions(F.col("keyword"))
+    return pairs.where(true).select("project", "ord", "name", "type", "keyword", "description", "source_file")
 
 
 def dependencies_both(graph: Graph, names: DataFrame | str) -> DataFrame:
