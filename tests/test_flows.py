@@ -99,7 +99,9 @@ def test_endpoints(spark):
 
 
 def test_flows(spark):
-    flows = callflow.analyze_flows(files(spark, {"app.py": SHELVES}))
+    whole = callflow.analyze_flows(files(spark, {"app.py": SHELVES}))
+    assert whole.endpoint_steps.where("route = '/shelves'").count() == 6
+    flows = callflow.analyze_flows(files(spark, {"app.py": SHELVES}), max_depth=3)
     steps = flows.endpoint_steps.where("route = '/shelves'").orderBy("depth", "step").collect()
     assert [(r.depth, r.step) for r in steps] == [
         (0, "all_shelves"), (1, "open_room"), (2, "sort_books"), (3, "by_author")]
@@ -129,7 +131,7 @@ def index(spark, rows):
 def test_reach_stops_at_three_calls(spark):
     idx = index(spark, [("a", "a", None, ["b", "b"]), ("b", "b", None, ["c"]), ("c", "c", None, ["d", "a"]), ("d", "d", None, ["e"]), ("e", "e", None, [])])
     starts = spark.createDataFrame([("p", "a", "a"), ("p", "zz", "zz")], "project string, start string, node string")
-    got = bag(callflow.reach(starts, callflow.call_edges(idx)), "start", "node", "depth")
+    got = bag(callflow.reach(starts, callflow.call_edges(idx), 3), "start", "node", "depth")
     assert got == [("a", "a", 0), ("a", "b", 1), ("a", "c", 2), ("a", "d", 3), ("zz", "zz", 0)]
 
 
@@ -137,7 +139,7 @@ def test_reach_of_a_long_chain(spark):
     """Seven calls in a row and a way back: every function is reached, once."""
     idx = index(spark, [(f"C.f{i}", f"f{i}", "C", [f"f{(i + 1) % 8}"]) for i in range(8)])
     starts = spark.createDataFrame([("p", "C.f0", "C.f0"), ("p", "zz", "zz")], "project string, start string, node string")
-    got = bag(callflow.reach(starts, callflow.call_edges(idx), None), "start", "node", "depth")
+    got = bag(callflow.reach(starts, callflow.call_edges(idx)), "start", "node", "depth")
     assert got == [*[("C.f0", f"C.f{i}", i) for i in range(8)], ("zz", "zz", 0)]
 
 
