@@ -24,7 +24,7 @@ from graphloom.sinks import tables as table_sinks
 from graphloom.sources.gitlog import read_git_log
 from graphloom.sources.graphs import read_graph, read_manifest
 from graphloom.sources.tree import parse_documents, scan_projects, scan_tree
-from graphloom.streaming.changes import debounce, watch_changes, watch_filter
+from graphloom.streaming.changes import debounce, debounce_stream, watch_changes, watch_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -1270,6 +1270,59 @@ def watched_changes(c):
     return c.spark.read.parquet(out).select("path", "change_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
 
 
+def _shuffled(c, rows: DataFrame, batches: int = 4) -> DataFrame:
+    """Rows with ``ts`` as a stream whose batches are dealt by hash, then two rows of nulls far ahead, which end all blocks."""
+    path = _folder(c)
+    dealt = rows.withColumn("_batch", F.pmod(F.xxhash64(*rows.columns), F.lit(batches)))
+    last = rows.agg(F.max("ts").alias("_last"))
+    ahead = [
+        last.select(*[
+            (F.col("_last") + F.expr(f"interval {1000 * (i + 1)} days") if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in rows.schema.fields])
+        for i in range(2)]
+    for i in range(batches):
+        dealt.where(F.col("_batch") == i).drop("_batch").coalesce(1).write.mode("append").parquet(path)
+    for row in ahead:
+        row.coalesce(1).write.mode("append").parquet(path)
+    return c.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _drained(c, stream: DataFrame) -> DataFrame:
+    out = _folder(c)
+    stream.writeStream.format("parquet").option("checkpointLocation", _folder(c)).trigger(availableNow=True).start(out).awaitTermination()
+    return c.spark.read.schema(stream.schema).parquet(out)
+
+
+@query("""
+    with recursive e as (select user_id, epoch_us(ts) as t from events),
+    kept as (
+        select user_id, min(t) as t from e group by 1
+        union all
+        select k.user_id, (select min(e.t) from e where e.user_id = k.user_id and e.t >= k.t + 3600000000) as t
+        from kept k where exists (select 1 from e where e.user_id = k.user_id and e.t >= k.t + 3600000000))
+    select user_id, t as us from kept
+""")
+def debounce_late(c):
+    """Events that arrive in no order, as a stream that waits for them."""
+    stream = _shuffled(c, c.table("events").select("user_id", "ts"))
+    kept = _drained(c, debounce_stream(stream, ["user_id"], 3600.0, delay="500 days")).where("user_id is not null")
+    return kept.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+
+
+@query("""
+    with s as (select cast(user_id as varchar) as path, ts, min(event_type) as now from events group by 1, 2),
+    b as (select *, lag(now) over (partition by path order by ts) as before from s)
+    select path, case when before is null then 'created' else 'modified' end as change_type, epoch_us(ts) as us
+    from b where before is null or before <> now
+""")
+def watched_changes_late(c):
+    """Snapshots that arrive in no order."""
+    rows = c.table("events").groupBy(F.col("user_id").cast("string").alias("path"), "ts").agg(F.min("event_type").alias("content_hash"))
+    stream = _shuffled(c, rows.select(F.lit("p").alias("project"), "path", "content_hash", "ts"))
+    found = _drained(c, watch_changes(stream, delay="500 days", seconds=86400.0)).where("path is not null")
+    return found.select("path", "change_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+
+
 # --- call flows -------------------------------------------------------------
 
 
@@ -1351,7 +1404,7 @@ def call_graph(c):
 def call_reach_3(c):
     files = c.files("code")
     index = _index(files)
-    return callflow.endpoint_flows(_endpoints(files), index).select("route", "depth", "step")
+    return callflow.endpoint_flows(_endpoints(files), index, max_depth=3).select("route", "depth", "step")
 
 
 @query("""
@@ -1362,7 +1415,7 @@ def api_summary(c):
     files = c.files("code")
     index = _index(files)
     endpoints = _endpoints(files)
-    steps = callflow.endpoint_flows(endpoints, index, max_depth=None)
+    steps = callflow.endpoint_flows(endpoints, index)
     return callflow.api_summary(endpoints, steps).select("route", "handler", "steps_count")
 
 
@@ -1372,7 +1425,7 @@ def api_summary(c):
 """)
 def call_chains(c):
     index = _index(c.files("code"))
-    chains, _ = callflow.call_chains(index, max_depth=None)
+    chains, _ = callflow.call_chains(index)
     return chains.select("entry_point", "depth")
 
 
@@ -1384,7 +1437,7 @@ def call_chains(c):
            (select count(*) from orders) as endpoints, 3 * (select count(*) from orders) as chains
 """)
 def flow_stats(c):
-    return callflow.flow_stats(callflow.analyze_flows(c.files("code"), max_depth=None)).drop("project")
+    return callflow.flow_stats(callflow.analyze_flows(c.files("code"))).drop("project")
 
 
 @query("""
@@ -1398,7 +1451,7 @@ def flow_stats(c):
              (3, 'region_' || cast(n_regionkey as varchar), null)) as s(depth, step, d)
 """)
 def flow_item(c):
-    flows = callflow.analyze_flows(c.files("code"), max_depth=None)
+    flows = callflow.analyze_flows(c.files("code"))
     return callflow.flow_item(flows, 3).select("number", "method", "route", "entry_point", "depth", "step", "step_description")
 
 
@@ -1424,7 +1477,7 @@ def flow_mermaid(c):
     files = c.files("code")
     index = _index(files)
     endpoints = _endpoints(files)
-    lines = callflow.flow_lines(endpoints, callflow.endpoint_flows(endpoints, index, max_depth=None), index)
+    lines = callflow.flow_lines(endpoints, callflow.endpoint_flows(endpoints, index), index)
     return lines.where("section > 0").select("route", "section", "line_no", "line")
 
 
@@ -1452,7 +1505,7 @@ def flow_mermaid(c):
 """)
 def chain_mermaid(c):
     index = _index(c.files("code"))
-    chains, steps = callflow.call_chains(index, max_depth=None)
+    chains, steps = callflow.call_chains(index)
     lines = callflow.chain_lines(chains, steps, index)
     return lines.where("section > 0 or line like '%entryNode' and line like '%🚀%'").select("entry_point", "line")
 

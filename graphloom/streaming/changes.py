@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
@@ -25,8 +26,10 @@ POLL_SECONDS = 2.0
 COOLDOWN_SECONDS = 5.0
 # --- end of fixed values ----------------------------------------------------
 
-# Length of the time blocks of a batch debounce, in multiples of its gap.
+# Length of the time blocks of a debounce, in multiples of its gap.
 BLOCK_GAPS = 64
+# Length of the time blocks of streamed snapshots.
+WATCH_BLOCK_SECONDS = 60.0
 
 # The state store that transformWithState needs.
 STATE_STORE = (
@@ -49,106 +52,216 @@ def watch_filter(
     return name.rlike("(?s)^(?:" + "|".join(globs) + ")$") & ~ignored
 
 
-class _Changes(StatefulProcessor):
-    """Last hash per path; a snapshot row without a hash says the file is gone."""
+class InOrder(StatefulProcessor):
+    """Rows of a key in the order of their times, however they arrive.
+
+    They wait in state, in parts by block of time, as they come: one entry per block and batch, never all rows of a key at
+    once. ``late`` keeps a block until the watermark has passed its end, by an event-time timer; else everything is
+    released with the micro-batch that brought it. ``step`` sees the rows of one block at a time, sorted.
+    """
+
+    def __init__(self, width: int, late: bool, columns: Sequence[str]):
+        self._width, self._late, self._columns = width, late, list(columns)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._last = handle.getValueState("last", "hash string")
+        self._handle = handle
+        self._parts = handle.getMapState("parts", "block bigint, part bigint", "rows binary")
+        self._count = handle.getValueState("count", "n bigint")
+        self._alarm = handle.getValueState("alarm", "ms bigint")
+        self.start(handle)
+
+    def start(self, handle: StatefulProcessorHandle) -> None:
+        raise NotImplementedError
+
+    def step(self, key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        raise NotImplementedError
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values("ts", kind="stable")
-        before = self._last.get()[0] if self._last.exists() else None
-        out = []
-        for now, ts in zip(frame["content_hash"], frame["ts"]):
-            now = None if pd.isna(now) else now
-            if now != before:
-                kind = "created" if before is None else "deleted" if now is None else "modified"
-                out.append((key[0], key[1], kind, ts))
-                before = now
-        if before is None:
-            self._last.clear()
-        else:
-            self._last.update((before,))
-        yield pd.DataFrame(out, columns=["project", "path", "change_type", "ts"])
+        part, first = self._count.get()[0] if self._count.exists() else 0, None
+        for frame in rows:
+            if frame.empty:
+                continue
+            blocks = _micros(frame) // self._width
+            for block, some in frame[self._columns].groupby(blocks, sort=False):
+                self._parts.updateValue((int(block), part), (_packed(some),))
+                part += 1
+            first = int(blocks.min()) if first is None else min(first, int(blocks.min()))
+        self._count.update((part,))
+        if not self._late:
+            yield from self._release(key, None)
+        elif first is not None:
+            self._wake(first)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._alarm.clear()
+        left = yield from self._release(key, timerValues.getCurrentWatermarkInMs() * 1000)
+        if left is not None:
+            self._wake(left)
+
+    def _wake(self, block: int) -> None:
+        end = -(-(block + 1) * self._width // 1000)
+        if not self._alarm.exists() or end < self._alarm.get()[0]:
+            self._handle.registerTimer(end)
+            self._alarm.update((end,))
+
+    def _release(self, key: tuple, now: int | None):
+        """Pass on the blocks that ended by ``now``, all for None; the first block that stays."""
+        held = sorted(tuple(k) for k in self._parts.keys())
+        for at, (block, _) in enumerate(held):
+            if now is not None and (block + 1) * self._width > now:
+                return block
+            if at and held[at - 1][0] == block:
+                continue
+            own = [k for k in held[at:] if k[0] == block]
+            frame = pd.concat([_unpacked(self._parts.getValue(k)[0]) for k in own], ignore_index=True)
+            for k in own:
+                self._parts.removeKey(k)
+            yield self.step(key, frame.sort_values("ts", kind="stable", ignore_index=True))
+        return None
 
     def close(self) -> None:
         pass
 
 
+def _micros(frame: pd.DataFrame) -> np.ndarray:
+    return frame["ts"].astype("datetime64[us]").astype("int64").to_numpy()
+
+
+def _packed(frame: pd.DataFrame) -> bytes:
+    batch = pa.RecordBatch.from_pandas(frame, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(data).read_pandas()
+
+
+def _in_order(rows: DataFrame, keys: Sequence[str], processor: InOrder, schema, delay: str | None) -> DataFrame:
+    """Run a processor over a stream with ``ts`` (timestamp_ntz); rows without a time take no part."""
+    _by_value()
+    rows.sparkSession.conf.set(*STATE_STORE)
+    rows = rows.where("ts is not null")
+    if delay is not None:
+        rows = rows.withColumn("_at", F.col("ts").cast("timestamp")).withWatermark("_at", delay)
+    return rows.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "None" if delay is None else "EventTime")
+
+
+class _Changes(InOrder):
+    """Last hash per path; a snapshot row without a hash says the file is gone."""
+
+    def start(self, handle: StatefulProcessorHandle) -> None:
+        self._last = handle.getValueState("last", "hash string")
+
+    def step(self, key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        before = self._last.get()[0] if self._last.exists() else None
+        now = frame["content_hash"].astype(object).where(frame["content_hash"].notna(), None)
+        was = now.shift(1)
+        was.iloc[0] = before
+        was = was.where(was.notna(), None)
+        changed = (now.fillna("") != was.fillna("")) | (now.isna() != was.isna())
+        kind = np.where(was.isna(), "created", np.where(now.isna(), "deleted", "modified"))
+        last = now.iloc[-1]
+        if last is None:
+            self._last.clear()
+        else:
+            self._last.update((last,))
+        out = pd.DataFrame({"project": key[0], "path": key[1], "change_type": kind, "ts": frame["ts"]})
+        return out[changed.to_numpy()]
+
+
 def _by_value() -> None:
     """Send the processors themselves: the process that prepares them has no shipped packages."""
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def watch_changes(snapshots: DataFrame) -> DataFrame:
-    """Change events of a stream of (project, path, content_hash, ts) snapshot rows."""
-    _by_value()
-    snapshots.sparkSession.conf.set(*STATE_STORE)
-    return snapshots.groupBy("project", "path").transformWithStateInPandas(
-        _Changes(), "project string, path string, change_type string, ts timestamp_ntz", "Append", "None"
-    )
+def watch_changes(snapshots: DataFrame, delay: str | None = None, seconds: float = WATCH_BLOCK_SECONDS) -> DataFrame:
+    """Change events of a stream of (project, path, content_hash, ts) snapshot rows.
+
+    Without ``delay`` rows arrive in time order from batch to batch, and events are given at once. With one, such as
+    "10 minutes", rows may be that late: they are put in order, and events come once the watermark has passed the
+    end of their block of ``seconds``. Rows later than that are dropped.
+    """
+    processor = _Changes(int(seconds * 1_000_000), delay is not None, ["content_hash", "ts"])
+    schema = "project string, path string, change_type string, ts timestamp_ntz"
+    return _in_order(snapshots, ["project", "path"], processor, schema, delay)
+
+
+def _followed(after: np.ndarray, marked: np.ndarray) -> np.ndarray:
+    """Everything that following ``after`` from the marked places leads to; pointers are doubled, so in a logarithm of steps."""
+    n = len(after)
+    jump, marked = np.append(after, n), np.append(marked, False)
+    for _ in range(n.bit_length() + 1):
+        marked[jump[marked]] = True
+        jump = jump[jump]
+    return marked[:n]
 
 
 def _keep(ts: np.ndarray, gap: int, last: int | None) -> np.ndarray:
     """Which sorted times are kept when each must be ``gap`` after the last kept one."""
-    kept = np.zeros(len(ts), dtype=bool)
-    i = 0 if last is None else int(np.searchsorted(ts, last + gap))
-    while i < len(ts):
-        kept[i] = True
-        i = int(np.searchsorted(ts, ts[i] + gap))
-    return kept
+    first = 0 if last is None else int(np.searchsorted(ts, last + gap))
+    marked = np.zeros(len(ts), dtype=bool)
+    marked[first : first + 1] = True
+    return _followed(np.searchsorted(ts, ts + gap), marked)
 
 
-class _Debounce(StatefulProcessor):
+class _Debounce(InOrder):
     """Time of the last emitted event per key, in microseconds."""
 
-    def __init__(self, gap: int, columns: list[str]):
-        self._gap, self._columns = gap, columns
+    def __init__(self, gap: int, late: bool, columns: Sequence[str]):
+        super().__init__(gap * BLOCK_GAPS, late, columns)
+        self._gap = gap
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def start(self, handle: StatefulProcessorHandle) -> None:
         self._last = handle.getValueState("last", "us bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values("ts", kind="stable")
-        times = frame["ts"].astype("datetime64[us]").astype("int64").to_numpy()
-        last = self._last.get()[0] if self._last.exists() else None
-        kept = _keep(times, self._gap, last)
+    def step(self, key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        times = _micros(frame)
+        kept = _keep(times, self._gap, self._last.get()[0] if self._last.exists() else None)
         if kept.any():
             self._last.update((int(times[kept][-1]),))
-        yield frame.loc[kept, self._columns]
-
-    def close(self) -> None:
-        pass
+        return frame.loc[kept, self._columns]
 
 
-def debounce_stream(events: DataFrame, keys: Sequence[str], seconds: float = DEBOUNCE_SECONDS) -> DataFrame:
+def debounce_stream(events: DataFrame, keys: Sequence[str], seconds: float = DEBOUNCE_SECONDS, delay: str | None = None) -> DataFrame:
     """Events of a stream at least ``seconds`` after the last emitted one of their key.
 
-    Events carry ``ts`` (timestamp_ntz) and arrive in time order from batch to batch.
+    Events carry ``ts`` (timestamp_ntz). Without ``delay`` they arrive in time order from batch to batch. With one they may be
+    that late, and what is emitted is what ``debounce`` keeps of the whole; an event comes once the watermark has
+    passed the end of its block of BLOCK_GAPS gaps. Later ones are dropped.
     """
-    _by_value()
-    events.sparkSession.conf.set(*STATE_STORE)
-    columns = events.columns
-    gap = int(seconds * 1_000_000)
-    return events.groupBy(*keys).transformWithStateInPandas(
-        _Debounce(gap, columns), events.schema, "Append", "None"
-    )
+    processor = _Debounce(int(seconds * 1_000_000), delay is not None, events.columns)
+    return _in_order(events, keys, processor, events.schema, delay)
 
 
 def _chunks(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, list]]:
     """Sorted batches cut so that no run of equal keys is split, with the runs' bounds."""
-    rest = None
+    held: list[pd.DataFrame] = []  # the run that may go on, in pieces
     for frame in frames:
-        frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
         if frame.empty:
             continue
         runs = _runs(frame, keys)
-        start = runs[-1][0]
-        rest = frame.iloc[start:]
-        if len(runs) > 1:
-            yield frame.iloc[:start], runs[:-1]
-    if rest is not None:
-        yield rest, [(0, len(rest))]
+        if held and not (len(runs) == 1 and _same(held[-1], frame, keys)):
+            # The held run ends within this batch or before it.
+            cut = runs[0][1] if _same(held[-1], frame, keys) else 0
+            whole = pd.concat([*held, frame.iloc[:cut]], ignore_index=True)
+            yield whole, [(0, len(whole))]
+            held, frame = [], frame.iloc[cut:]
+            runs = [(start - cut, end - cut) for start, end in runs if end > cut]
+        if not held and len(runs) > 1:
+            yield frame.iloc[: runs[-1][0]], runs[:-1]
+            frame = frame.iloc[runs[-1][0] :]
+        held.append(frame)
+    if held:
+        whole = pd.concat(held, ignore_index=True)
+        yield whole, [(0, len(whole))]
+
+
+def _same(before: pd.DataFrame, after: pd.DataFrame, keys: list[str]) -> bool:
+    """Whether the last row of one batch and the first of the next have one key."""
+    return all(before[k].iloc[-1] == after[k].iloc[0] for k in keys)
 
 
 def _runs(frame: pd.DataFrame, keys: list[str]) -> list[tuple[int, int]]:
@@ -187,11 +300,12 @@ def debounce(events: DataFrame, keys: Sequence[str], seconds: float = DEBOUNCE_S
             times, blocks, parts = frame["_us"].to_numpy(), frame["_block"].to_numpy(), []
             for start, end in runs:
                 ts = np.unique(times[start:end])
-                following = np.searchsorted(ts, ts + gap)
-                last = ts.copy()
-                for i in range(len(ts) - 1, -1, -1):
-                    if following[i] < len(ts):
-                        last[i] = last[following[i]]
+                # Where following the gaps ends, by doubled pointers.
+                jump = np.searchsorted(ts, ts + gap)
+                jump = np.where(jump < len(ts), jump, np.arange(len(ts)))
+                for _ in range(len(ts).bit_length()):
+                    jump = jump[jump]
+                last = ts[jump]
                 n = int(np.searchsorted(ts, blocks[start] * width + gap)) + 1
                 first, last = ts[:n], last[:n]
                 run_end = np.append(last[1:] != last[:-1], True)

@@ -3,6 +3,7 @@ import time
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from graphloom.operators import incremental
@@ -137,6 +138,62 @@ def test_streamed_debounce_equals_batch(spark, folder):
     assert bag(got, "path", "ts") == bag(want, "path", "ts")
 
 
+def test_late_debounce_equals_batch(spark, folder):
+    """Shuffled arrival within the delay; a last event far ahead moves the watermark over all others."""
+    rng = random.Random(4)
+    start = datetime(2024, 1, 1)
+    times = np.cumsum([rng.choice([0, 1, 2, 3, 15, 900]) for _ in range(300)]).tolist()
+    rows = [(rng.choice(["hot", "hot", "a", None]), start + timedelta(seconds=int(s)), i) for i, s in enumerate(times)]
+    arrival = sorted(rows, key=lambda r: (r[1] - start).total_seconds() + rng.random() * 3000)
+    schema = "path string, ts timestamp_ntz, n int"
+    end = [("end", start + timedelta(days=9), -1)]
+    stream = feed(spark, folder, schema, [arrival[i : i + 60] for i in range(0, 300, 60)] + [end, [("end", start + timedelta(days=18), -2)]])
+    got = drain(changes.debounce_stream(stream, ["path"], 10.0, "1 hour"), folder, "debounced_late").where("n >= 0")
+    want = changes.debounce(spark.createDataFrame(rows, schema), ["path"], 10.0)
+    assert bag(got, "path", "ts") == bag(want, "path", "ts")
+    assert arrival != rows and got.count() > 50
+
+
+def test_late_changes(spark, folder):
+    """The snapshots of test_streamed_changes, the second batch first."""
+    schema = "project string, path string, content_hash string, ts timestamp_ntz"
+    t = [datetime(2024, 1, 1, 0, s, 30) for s in range(4)]
+    end = [[("p", "end", "1", datetime(2024, 1, 1 + d))] for d in (1, 2)]
+    batches = [
+        [("p", "a", "1", t[1]), ("p", "b", "2", t[1])], [("p", "a", "1", t[0]), ("p", "b", "1", t[0]), ("p", "a", "3", t[3])],
+        [("p", "a", None, t[2]), ("p", "b", "2", t[2]), ("p", "b", "9", None)], *end,
+    ]
+    got = drain(changes.watch_changes(feed(spark, folder, schema, batches), "1 hour"), folder, "late_changes").where("path <> 'end'")
+    assert bag(got, "path", "change_type", "ts") == sorted([
+        ("a", "created", t[0]), ("b", "created", t[0]), ("b", "modified", t[1]), ("a", "deleted", t[2]), ("a", "created", t[3])], key=repr)
+
+
+def test_rows_later_than_the_delay_are_dropped(spark, folder):
+    start = datetime(2024, 1, 1)
+    schema = "path string, ts timestamp_ntz"
+    later = [timedelta(hours=1), timedelta(hours=9), timedelta(0), timedelta(days=3), timedelta(days=6)]
+    batches = [[("a", start + x)] for x in later]
+    got = drain(changes.debounce_stream(feed(spark, folder, schema, batches), ["path"], 10.0, "1 minute"), folder, "too_late")
+    assert [r.ts for r in got.orderBy("ts").collect()] == [start + timedelta(hours=1), start + timedelta(hours=9), start + timedelta(days=3)]
+
+
+def test_chunks_keep_runs_whole():
+    rng = random.Random(6)
+    for _ in range(60):
+        keys = sorted(rng.choice("abc") for _ in range(rng.randint(0, 40)))
+        frame = pd.DataFrame({"k": keys, "v": range(len(keys))})
+        at = sorted(rng.randint(0, len(keys)) for _ in range(rng.randint(0, 9)))
+        pieces = [frame.iloc[a:b] for a, b in zip([0, *at], [*at, len(keys)])]
+        seen, runs = [], []
+        for chunk, bounds in changes._chunks(iter(pieces), ["k"]):
+            for a, b in bounds:
+                runs.append(chunk["k"].iloc[a])
+                assert set(chunk["k"].iloc[a:b]) == {runs[-1]}
+            assert [x for a, b in bounds for x in range(a, b)] == list(range(len(chunk)))
+            seen += chunk["v"].tolist()
+        assert seen == list(range(len(keys))) and runs == sorted(set(keys))
+
+
 def test_watch_and_update(spark, folder):
     texts = [{"a.md": "# A\nredis"}, {"b.md": "# B\nkafka"}]
     state = {"step": -1}
