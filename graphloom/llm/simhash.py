@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from graphloom.llm.common import stage, utf8
+from graphloom.session import discard
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -119,9 +120,11 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("low").agg(F.min("high").alias("m")).withColumn("m", F.least("low", "m"))
         star = both.where("high > low").join(least, "low").select(F.col("m").alias("low"), "high").distinct()
         star = stage(star.where("low < high"))
+        discard(edges)
         least = star.groupBy("high").agg(F.min("low").alias("m"))
         small = star.join(least, "high").select(F.col("m").alias("low"), F.col("low").alias("high"))
         edges = stage(small.union(least.select(F.col("m").alias("low"), "high")).where("low < high").distinct())
+        discard(star)
         before, state = state, _state(edges)
         if state == before:
             break
