@@ -95,6 +95,23 @@ def stored_relations(c):
     return read_graph(c.spark, path).relations.select("project", "source", "target", "type", "source_file")
 
 
+@query("select project, name, type, description, source_file from ent", "ent")
+def stored_json_entities(c):
+    path = _folder(c)
+    table_sinks.write_graph(c.graph(), path, "json")
+    return read_graph(c.spark, path, "json").entities.select("project", "name", "type", "description", "source_file")
+
+
+@query("""
+    select project, source, target, type, description, source_file, row_number() over (partition by project order by kind, pos) - 1 as place from rel
+""", "rel")
+def stored_json_relations(c):
+    path = _folder(c)
+    table_sinks.write_graph(c.graph(), path, "json")
+    found = read_graph(c.spark, path, "json").relations
+    return found.select("project", "source", "target", "type", "description", "source_file", F.col("ord.pos").alias("place"))
+
+
 @query("""
     select project, path, md5(content) as content_hash from (
         select project, path, content from md union all select project, path, content from notes) f

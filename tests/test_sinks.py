@@ -49,6 +49,52 @@ def test_json_object_round_trip(spark, folder):
     assert bag(back.relations, "project", "source") == bag(g.relations, "project", "source")
 
 
+NASTY = ["plain", 'quote " and } brace', "back\\slash } \\\\", "{[]}", "new\nline }", '\\"}', "数据 }😀", "", "ends with \\", '"', "}" * 50, "a,b]"]
+
+
+def nasty(spark):
+    ents = [(f"n{i} {x}", "Module", x if i % 3 else None, x) for i, x in enumerate(NASTY * 20)]
+    rels = [(f"s{i} {x}", "uses", x) for i, x in enumerate(NASTY * 15)]
+    return join(graph(spark, ents, rels, "p +%/ 1"), graph(spark, [], rels[:3], "only relations"), graph(spark, ents[:2], [], "01"))
+
+
+@pytest.mark.parametrize("split", ["64m", "300b"])
+def test_json_store_round_trip(spark, folder, split):
+    """What write_graph writes, read in one piece and in splits of a few hundred bytes."""
+    g = nasty(spark)
+    tables.write_graph(g, f"{folder}/j", "json")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        back = read_graph(spark, f"{folder}/j", "json")
+        assert bag(back.entities, "project", "name", "type", "description", "source_file", "ord.pos") == bag(
+            g.entities, "project", "name", "type", "description", "source_file", "ord.pos")
+        assert bag(back.relations, "project", "source", "target", "ord.pos") == bag(g.relations, "project", "source", "target", "ord.pos")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+@pytest.mark.parametrize("tail", ["", "\n"])
+def test_json_files_in_splits(spark, folder, indent, tail):
+    """Single-object files, compact and indented, with other keys, nested values and empty arrays."""
+    entities = [{"name": x, "type": "Tool", "description": None, "source_file": x, "extra": {"a": [{"b": "}"}, 1]}} for x in NASTY * 10]
+    values = {
+        "a b+c": {"meta": {"k": "}", "deep": {"x": {"y": [{}]}}}, "note": "a { [ b", "entities": entities, "other": [{"name": "no"}], "relations": [{"source": "s", "target": "}", "type": "uses"}] * 3},
+        "empty": {"entities": [], "relations": []}, "none": {}, "late": {"entities": [], "relations": [{"source": "x", "target": "y", "type": "uses"}]},
+    }
+    Path(folder, "in").mkdir()
+    for name, value in values.items():
+        Path(folder, "in", f"{name}.graph.json").write_text(json.dumps(value, indent=indent, ensure_ascii=False) + tail)
+    Path(folder, "in", "notes.txt").write_text("not a graph }")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500b")
+    try:
+        back = read_graph(spark, f"{folder}/in", "json")
+        assert bag(back.entities, "project", "name", "source_file", "ord.pos") == sorted((("a b+c", x, x, i) for i, x in enumerate(NASTY * 10)), key=repr)
+        assert bag(back.relations, "project", "source", "target") == [*[("a b+c", "s", "}")] * 3, ("late", "x", "y")]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def read_csv(folder, project):
     rows = []
     for part in sorted(Path(folder, f"project={project}").glob("part-*")):
