@@ -11,6 +11,7 @@ from graphloom.graph import Graph
 from graphloom.operators.extract import extract_facts, graph_of_facts
 from graphloom.schema import ENTITY, RELATION
 from graphloom.session import cut
+from graphloom.sinks.store import GraphStore, upsert_delta
 
 
 class Update(NamedTuple):
@@ -103,6 +104,32 @@ def extract_changed(files: DataFrame, changes: DataFrame, title_fallback: str =
     return graph_of_facts(cut(extract_facts(changed, title_fallback, **options)))
 
 
+class _Changed(NamedTuple):
+    """What a listing brings: new rows, files whose rows go, the manifest and the changes."""
+
+    new: Graph
+    gone: DataFrame
+    manifest: DataFrame
+    changes: DataFrame
+
+
+def _changed(files: DataFrame, manifest: DataFrame, purge_modified: bool, title_fallback: str, options: Mapping) -> _Changed:
+    # The files may change while they are read. What is extracted is written first and has to have
+    # the listed hash; a file that no longer has it is left out of the manifest, for the next update.
+    current = cut(current_manifest(files))
+    changes = cut(detect_changes(current, manifest))
+    on = ["project", "path"]
+    wanted = current.join(changes.where("change_type in ('added', 'modified')").select(*on), on, "left_semi")
+    files = files.withColumn("content_hash", content_hash(F.col("content")))
+    files = cut(files.join(wanted.select(*on, "content_hash"), [*on, "content_hash"], "left_semi"))
+    missed = wanted.join(files, on, "left_anti").select(*on)
+    current = cut(current.join(missed, on, "left_anti"))
+    changes = cut(changes.join(missed, on, "left_anti"))
+    files = files.drop("content_hash")
+    gone = changes.where("change_type in ('deleted', 'modified')" if purge_modified else "change_type = 'deleted'")
+    return _Changed(extract_changed(files, changes, title_fallback, **options), gone, current, changes)
+
+
 def apply_incremental(
     files: DataFrame,
     manifest: DataFrame,
@@ -119,21 +146,21 @@ def apply_incremental(
     that vanished from a modified file stay unless ``purge_modified``. Nothing is
     deduplicated across files or inferred; extract_graph does that.
     """
-    # The files may change while they are read. What is extracted is written first and has to have
-    # the listed hash; a file that no longer has it is left out of the manifest, for the next update.
-    current = cut(current_manifest(files))
-    changes = cut(detect_changes(current, manifest))
-    on = ["project", "path"]
-    wanted = current.join(changes.where("change_type in ('added', 'modified')").select(*on), on, "left_semi")
-    files = files.withColumn("content_hash", content_hash(F.col("content")))
-    files = cut(files.join(wanted.select(*on, "content_hash"), [*on, "content_hash"], "left_semi"))
-    missed = wanted.join(files, on, "left_anti").select(*on)
-    current = cut(current.join(missed, on, "left_anti"))
-    changes = cut(changes.join(missed, on, "left_anti"))
-    files = files.drop("content_hash")
-    gone = changes.where("change_type in ('deleted', 'modified')" if purge_modified else "change_type = 'deleted'")
-    new = extract_changed(files, changes, title_fallback, **options)
-    return Update(upsert(remove_files(graph, gone), new, generation), current, changes)
+    found = _changed(files, manifest, purge_modified, title_fallback, options)
+    return Update(upsert(remove_files(graph, found.gone), found.new, generation), found.manifest, found.changes)
+
+
+def update_store(
+    store: GraphStore, files: DataFrame, manifest: DataFrame, *, purge_modified: bool = False, title_fallback: str = "stem", **options,
+) -> Update:
+    """The same for a stored graph: a generation with the changed rows is committed; returned is the snapshot after it."""
+    commits = store.commits()
+    if not commits:
+        store.create(Graph.empty(files.sparkSession))
+    generation = max((c.generation for c in commits), default=0) + 1
+    found = _changed(files, manifest, purge_modified, title_fallback, options)
+    store.commit(upsert_delta(store.snapshot(), found.new, found.gone, generation))
+    return Update(store.snapshot(), found.manifest, found.changes)
 
 
 def update_manifest(manifest: DataFrame, current: DataFrame, changes: DataFrame) -> DataFrame:
