@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 from html import unescape
@@ -22,13 +23,15 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 # --- blocks ------------------------------------------------------------------------
 
-_TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+_MARKUP = re.compile("<(?=[!?/a-zA-Z])")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_ATTRIBUTES = re.compile(r"""((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile("[a-z]+")
 
-# Elements whose content is no text of the page.
-_SILENT = frozenset("script style noscript template svg iframe object title math audio video canvas map".split())
+# Elements whose content is no text of the page; some of them hold others of their kind.
+_SILENT = frozenset("script style noscript template svg iframe title".split())
+_NESTED = frozenset(["template", "svg"])
 _BLOCK = frozenset(
     "address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 header hgroup html label legend li main menu nav ol optgroup option p pre search section select summary"
@@ -53,13 +56,23 @@ class Block:
 
 @dataclass
 class Places:
-    """Chains of open elements by number, with their features; forgotten when there are too many."""
+    """Chains of open elements by number, with their features; forgotten when there are too many.
 
+    What an element passes on to those in it is kept once for all that add nothing to it. ``vocabulary`` limits
+    features to those that count.
+    """
+
+    vocabulary: frozenset[str] | None = None
     limit: int = 100_000
     numbers: dict[tuple, int] = field(default_factory=dict)
-    features: list[frozenset[str]] = field(default_factory=lambda: [frozenset()])
+    passed: list[frozenset[str]] = field(default_factory=lambda: [frozenset()])
+    alone: list[tuple[str, ...]] = field(default_factory=lambda: [()])
     sections: list[tuple[str, ...]] = field(default_factory=lambda: [()])
 
+    @property
+    def features(self) -> _Features:
+        return _Features(self)
+
     def child(self, parent: int, tag: str, attributes: str) -> int:
         words = ()
         if attributes and "=" in attributes:
@@ -68,26 +81,79 @@ class Places:
         key = (parent, tag, words)
         number = self.numbers.get(key)
         if number is None:
-            number = self.numbers[key] = len(self.features)
-            before = {f for f in self.features[parent] if f[:2] != "o:" and f[:2] != "s:"}
+            number = self.numbers[key] = len(self.passed)
+            own = {f"t:{tag}", *(f"w:{w}" for w in words)}
+            if self.vocabulary is not None:
+                own &= self.vocabulary
+            before = self.passed[parent]
             sections = (*self.sections[parent], tag)[-2:] if tag in _SECTIONS else self.sections[parent]
-            own = {f"t:{tag}", f"o:{tag}", "s:" + ">".join(sections), *(f"w:{w}" for w in words)}
-            self.features.append(frozenset(before | own))
+            self.passed.append(before if own <= before else before | own)
+            self.alone.append((f"o:{tag}", "s:" + ">".join(sections)))
             self.sections.append(sections)
         return number
 
     def trim(self) -> bool:
-        if len(self.features) <= self.limit:
+        if len(self.passed) <= self.limit:
             return False
         self.numbers.clear()
-        del self.features[1:], self.sections[1:]
+        del self.passed[1:], self.alone[1:], self.sections[1:]
         return True
 
 
+@dataclass(frozen=True)
+class _Features:
+    places: Places
+
+    def __getitem__(self, number: int) -> frozenset[str]:
+        return self.places.passed[number].union(self.places.alone[number])
+
+
+@dataclass
+class _Open:
+    """The open elements, with the places of each tag among them."""
+
+    elements: list[tuple[str, int]] = field(default_factory=lambda: [("", 0)])
+    at: dict[str, list[int]] = field(default_factory=lambda: defaultdict(list))
+
+    def push(self, tag: str, place: int) -> None:
+        self.at[tag].append(len(self.elements))
+        self.elements.append((tag, place))
+
+    def _last(self, tags: Iterable[str]) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def end(self, tags: Iterable[str], stops: Iterable[str] = ()) -> None:
+        """End the last element of these tags with all in it, unless one of ``stops`` began after it."""
+        last = self._last(tags)
+        if last > self._last(stops):
+            while len(self.elements) > last:
+                self.at[self.elements.pop()[0]].pop()
+
+
+def _after_silent(html: str, at: int, tag: str) -> int:
+    """Where the text goes on after an element whose content counts for nothing."""
+    depth, shut = 1, at
+    for found in re.compile(f"<(/?){tag}(?=[\\s/>]|\\Z)", re.I).finditer(html, at):
+        if not found[1] and tag not in _NESTED:
+            continue
+        if shut < found.end():  # the end of the tag, looked for once
+            shut = html.find(">", found.end())
+            if shut < 0:
+                return len(html)
+        depth += -1 if found[1] else html[shut - 1] != "/"
+        if not depth:
+            return shut + 1
+    return len(html)
+
+
 def blocks(html: str, places: Places) -> list[Block]:
-    """The blocks of a page with any text, in page order."""
+    """The blocks of a page with any text, in page order; in time proportional to its length, whatever it holds.
+
+    A tag ends at the first ``>`` outside quotes. If a quote is never closed, this and all further tags end at the
+    first one. Without any, what looks like a tag is text.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, int]] = [("", 0)]
+    stack = _Open()
     parts: list[str] = []
     link: list[str] = []
     in_link = False
@@ -96,7 +162,7 @@ def blocks(html: str, places: Places) -> list[Block]:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, len("".join(link).split()), stack[-1][1]))
+                out.append(Block(text, len("".join(link).split()), stack.elements[-1][1]))
             parts.clear()
             link.clear()
 
@@ -106,44 +172,56 @@ def blocks(html: str, places: Places) -> list[Block]:
             if in_link:
                 link.append(text)
 
-    def end(tags: set[str] | frozenset[str], stops: set[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in tags:
-                del stack[i:]
-                return
-            if stack[i][0] in stops:
-                return
-
-    at, size = 0, len(html)
+    at, size, quoted = 0, len(html), True
     while at < size:
-        found = _TOKEN.search(html, at)
+        found = _MARKUP.search(html, at)
         if found is None:
             add(html[at:])
             break
-        add(html[at : found.start()])
-        at = found.end()
-        tag = found[2]
-        if tag is None:
+        start = found.start()
+        add(html[at:start])
+        ends = "-->" if html.startswith("<!--", start) else "]]>" if html.startswith("<![CDATA[", start) else None
+        if ends is not None:
+            shut = html.find(ends, start + (4 if ends == "-->" else 9))
+            at = size if shut < 0 else shut + 3
+            continue
+        name = _NAME.match(html, start)
+        if name is None and html[start + 1] == "/":
+            add("<")
+            at = start + 1
             continue
-        tag = tag.lower()
-        if found[1]:
+        shut, attributes = -1, ""
+        if name is not None and quoted:
+            inside = _ATTRIBUTES.match(html, name.end())
+            quoted = inside is not None
+            if quoted:
+                shut, attributes = inside.end() - 1, inside[1]
+        if shut < 0:
+            shut = html.find(">", start + 1)
+            if shut < 0:
+                add(html[start:])
+                break
+            attributes = html[name.end() : shut] if name is not None else ""
+        at = shut + 1
+        if name is None:
+            continue
+        tag = name[2].lower()
+        if name[1]:
             if tag in _BLOCK:
                 flush()
-                end({tag}, set())
+                stack.end((tag,))
             elif tag == "a":
                 in_link = False
-            continue
-        if tag in _SILENT:
-            if not found[3].endswith("/"):
-                close = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>|</{re.escape(tag)}\\Z", re.I).search(html, at)
-                at = close.end() if close else size
+        elif tag in _SILENT:
+            if not attributes.endswith("/"):
+                at = _after_silent(html, at, tag)
         elif tag in _BLOCK:
             flush()
             if tag in _ENDS_P:
-                end({"p"}, _P_STOPS)
+                stack.end(("p",), _P_STOPS)
             if tag in _ENDS:
-                end(*_ENDS[tag])
-            stack.append((tag, places.child(stack[-1][1], tag, found[3])))
+                stack.end(*_ENDS[tag])
+            stack.push(tag, places.child(stack.elements[-1][1], tag, attributes))
         elif tag == "a":
             in_link = True
             link.append(" ")
@@ -378,7 +456,7 @@ class Extractor:
     """Main text of one page after the other."""
 
     def __init__(self, crf: Model):
-        self._crf, self._places, self._known, self._shapes = crf, Places(), {}, {}
+        self._crf, self._places, self._known = crf, Places(frozenset(crf.weights)), {}
 
     def text(self, html: str) -> str:
         if self._places.trim():

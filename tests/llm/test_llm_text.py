@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -169,6 +170,39 @@ def test_blocks():
     assert html_text.blocks("", places) == [] and html_text.blocks("<p", places)[0].text == "<p"
 
 
+def test_markup_does_not_leak():
+    def texts(page):
+        return [b.text for b in html_text.blocks(page, html_text.Places())]
+
+    assert texts('one <a href="x>link two</a> three') == ["one link two three"]
+    assert texts("<p>a<svg><svg><text>no</text></svg><text>no</text></svg>b<svg/>c<template><template>x</template>y</template>d") == ["abcd"]
+    assert texts("<p>let <math><mi>x</mi> = <mn>2</mn></math> <object>kept</object> <canvas>too</canvas></p>") == ["let x = 2 kept too"]
+    assert texts("<p>a < b and </ c <3 <!-- x") == ["a < b and </ c <3"]
+    assert texts("<script>if (a < b) { '</scripty>' }</script >after<style>p{}") == ["after"]
+    assert texts("<p title='a > b' data-x=\"c > d\">text</p>") == ["text"]
+    assert texts("<![CDATA[no]]>yes<!doctype html><?php no ?>") == ["yes"]
+
+
+def test_hostile_pages_take_linear_time(crf):
+    """A megabyte each of what a page may hold."""
+    size = 1_000_000
+    pages = {
+        "open tags": "<a " * (size // 3), "divs": "<div>" * (size // 5), "classes": "".join(f"<div class=c{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}>" for i in range(size // 16)),
+        "ends": "</div>" * (size // 6), "paragraphs": "<p>" * (size // 3), "quotes": '<a "' * (size // 4), "mixed": "<a '\"" * (size // 5) + ">", "comments": "<!--" * (size // 4),
+        "scripts": "<script>" + "</script " * (size // 9), "svg": "<svg>" * (size // 5), "svg tags": "<svg " * (size // 5) + ">", "lists": "<ul><li>" * (size // 8),
+        "cells": "<table><tr><td>" * (size // 15), "ands": "&" * size, "less": "<" * size, "cdata": "<![CDATA[" * (size // 9), "names": "<" + "a" * size, "words": "x " * (size // 2),
+    }
+    extractor = html_text.Extractor(crf)
+    for name, page in pages.items():
+        start = time.perf_counter()
+        extractor.text(page)
+        half = html_text.Extractor(crf)
+        middle = time.perf_counter()
+        half.text(page[: len(page) // 2])
+        took, part = middle - start, time.perf_counter() - middle
+        assert took < 3 and (took < 0.5 or took < 3.5 * part), (name, took, part)
+
+
 def test_viterbi_is_the_best_of_all_sequences(crf):
     r = random.Random(2)
     for _ in range(50):
