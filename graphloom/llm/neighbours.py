@@ -5,7 +5,7 @@ within each centre's vectors, until a node has at most ``LEAF`` of them. It has
 SAMPLE / LEAF * BRANCH nodes and is sent to every task. Every vector of the table is put
 into a leaf. A query walks the tree with a priority queue, always into the node whose centre has
 the largest inner product with it plus a quarter of what the node's mean radius allows, and
-visits leaves in that order.
+visits leaves in that order, until they hold enough rows, and k besides its own at least.
 
 How many vectors a query visits is calibrated: ``PROBES`` queries are also answered exactly over all
 rows, and the visited share of the table is widened until ``RECALL`` of their neighbours
@@ -92,10 +92,10 @@ class Tree:
             todo += [(child, rows[nearest == k]) for k, child in enumerate(below) if (nearest == k).any()]
         return out
 
-    def visits(self, query: np.ndarray, sizes: np.ndarray, share: float) -> list[int]:
-        """Leaves in best-bin-first order until they hold ``share`` of all rows."""
+    def visits(self, query: np.ndarray, sizes: np.ndarray, share: float, least: int = 0) -> list[int]:
+        """Leaves in best-bin-first order until they hold ``share`` of all rows, and ``least`` rows."""
         bound = self.centres @ query + self.radii * np.sqrt(query @ query) / 4
-        wanted, held, out = share * sizes.sum(), 0, []
+        wanted, held, out = max(share * sizes.sum(), least), 0, []
         queue = [(-bound[0], 0)]
         while queue and held < wanted:
             _, node = heapq.heappop(queue)
@@ -216,7 +216,7 @@ def calibrate(placed: DataFrame, queries: DataFrame, tree: Tree, sizes: np.ndarr
     while share < 1:
         hits = total = 0
         for r in truth:
-            seen = set(tree.visits(at[r["query_id"]], sizes, share))
+            seen = set(tree.visits(at[r["query_id"]], sizes, share, k + 1))
             hits += sum(leaf in seen for leaf in r["leaves"])
             total += len(r["leaves"])
         if hits >= recall * total:
@@ -234,15 +234,15 @@ def _assign(tree: Tree):
     return run
 
 
-def _walk(tree: Tree, sizes: np.ndarray, share: float, shard: np.ndarray):
-    """Each query once for every shard it visits leaves of, with these leaves."""
+def _walk(tree: Tree, sizes: np.ndarray, share: float, shard: np.ndarray, k: int):
+    """Each query once for every shard it visits leaves of, with these leaves; they hold k rows besides its ``own``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = matrix(batch.column("embedding"))
             row, shards, leaves = [], [], []
-            for i, q in enumerate(x):
-                visits = np.sort(np.array(tree.visits(q, sizes, share), np.int64))
+            for i, (q, own) in enumerate(zip(x, batch.column("own").to_pylist(), strict=True)):
+                visits = np.sort(np.array(tree.visits(q, sizes, share, k + own), np.int64))
                 for part in np.split(visits, np.flatnonzero(np.diff(shard[visits])) + 1):
                     if len(part):
                         row.append(i)
@@ -323,7 +323,10 @@ def search(index: Index, queries: DataFrame, k: int = 20, share: float | None =
     shard = np.cumsum(index.sizes) // CHUNK
     _, shard = np.unique(shard, return_inverse=True)
     rows = np.bincount(shard, weights=index.sizes).astype(np.int64)
-    walk = _walk(index.tree, index.sizes, share, shard)
+    walk = _walk(index.tree, index.sizes, share, shard, k)
+    # Rows of a query's own id are no candidates, so they do not count among those visited.
+    own = index.placed.groupBy("vec_id").agg(F.count("*").alias("own"))
+    queries = queries.join(own, "vec_id", "left").withColumn("own", F.coalesce("own", F.lit(0)))
     asked = stage(queries.mapInArrow(walk, "query_id long, query array<double>, shard long, leaves array<long>"))
     visitors = np.zeros(len(rows), np.int64)
     for r in asked.groupBy("shard").agg(F.count("*").alias("n")).collect():

@@ -108,3 +108,17 @@ def test_empty_and_single(spark, where):
     frame = spark.createDataFrame(odd_vectors(), SCHEMA).where(where)
     assert neighbours.search(neighbours.build(frame), frame, 5).count() == 0
     assert top_k.top_k(frame, frame, 5).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_tight_clusters_give_all_neighbours(spark, seed):
+    """Clusters of 20: the nearest leaf may hold a query and 19 others, which is one too few."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(60, 16)) * 8
+    x = np.repeat(centres, 20, 0) + rng.normal(size=(1200, 16)) * 0.01
+    rows = [(i, [float(v) for v in row], "more") for i, row in enumerate(x)] + [(40, [float(v) for v in x[40]], "again")] * 3
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, own string")
+    index = neighbours.build(vectors)
+    for share in (None, 1e-9):
+        got = neighbours.search(index, vectors.where("vec_id % 20 = 0"), 20, share).groupBy("query_id").count().collect()
+        assert len(got) == 60 and {r["count"] for r in got} == {20}
