@@ -36,6 +36,7 @@ ORDERS = 3
 PER_LANG = 400
 MAX_CHARS = 20_000
 SAMPLE_ROWS = 25_600
+SAMPLE_CHARS = 1 << 26
 LANDMARKS = 160
 # Landmarks for each language, up to a bound; one at least.
 PER_LANDMARK = 4
@@ -256,14 +257,18 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model | None:
     """Model of a bounded sample of each language's labelled documents outside the held-out quarter."""
     labelled = docs.where("text is not null and lang is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
     counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
-    per_lang = max(1, min(per_lang, SAMPLE_ROWS // max(counts.count(), 1)))
+    languages = counts.count()
+    per_lang = max(1, min(per_lang, SAMPLE_ROWS // max(languages, 1)))
     # A hash thins each language to a few times the sample before its rows are ranked, however many it has.
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    drawn = labelled.select("doc_id", "lang").join(counts, "lang").where(draw * F.col("n").cast("double") <= float(4 * per_lang << 30))
+    # One row per language, as the model has: labelled rows stay where they are.
+    drawn = labelled.select("doc_id", "lang").join(F.broadcast(counts), "lang").where(draw * F.col("n").cast("double") <= float(4 * per_lang << 30))
     order = Window.partitionBy("lang").orderBy(draw, "doc_id")
     ranked = drawn.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_lang).select("doc_id").distinct()
-    start = F.lit(1) + F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - MAX_CHARS, F.lit(0)) + 1).cast("int")
-    window = F.substring("text", start, MAX_CHARS).alias("text")
+    # With many languages windows are shorter, so that what is collected has at most SAMPLE_CHARS characters.
+    most = max(1, min(MAX_CHARS, SAMPLE_CHARS // max(per_lang * languages, 1)))
+    start = F.lit(1) + F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - most, F.lit(0)) + 1).cast("int")
+    window = F.substring("text", start, most).alias("text")
     chosen = labelled.join(F.broadcast(ranked), "doc_id").select(window, "lang")
     return fit([(r["text"], r["lang"]) for r in chosen.collect()])
 
