@@ -10,7 +10,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from graphloom.functions.skew import split_join
 from graphloom.graph import Graph
+from graphloom.session import cut
 
 
 def keep_one(df: DataFrame, keys: Sequence[Column], last: bool = False, order: str = "ord") -> DataFrame:
@@ -46,7 +48,8 @@ def infer_relations(
             "project", F.col("name").alias(out), F.col("ord").alias(f"_{out}")
         )
 
-    pairs = side(target_type, "target").join(side(source_type, "source"), "project")
+    # All of a project's pairs come of one key; the targets of a large project are dealt out.
+    pairs = split_join(cut(side(target_type, "target")), side(source_type, "source"), ["project"])
     known = graph.relations.select(
         "project", F.lower("source").alias("_s"), F.lower("target").alias("_t")
     )

@@ -109,23 +109,29 @@ def _names_over_time(touched: DataFrame, paths: DataFrame) -> DataFrame:
     A log has the newest commit first. A name holds from after the commit that renamed it on (``after``)
     back to the one that gave it (``until``, null if none), so a new file at an old path is another file.
     """
-    moves = cut(touched.where("old_path is not null").select("repo", F.col("commit").alias("at"), "path", "old_path").distinct())
-    names = []
-    newest = paths.select("repo", F.col("path").alias("asked"), "path", F.lit(None).cast(moves.schema["at"].dataType).alias("after")).distinct()
-    # One round per rename in a file's life; a round without a new name ends it.
-    while True:
-        n, m = newest.alias("n"), moves.alias("m")
-        earlier = F.col("n.after").isNull() | (F.col("m.at") > F.col("n.after"))
-        same = (F.col("n.repo") == F.col("m.repo")) & (F.col("n.path") == F.col("m.path"))
-        named = cut(n.join(m, same & earlier, "left").groupBy("n.repo", "n.asked", "n.path", "n.after").agg(
-            F.min("m.at").alias("until"), F.min_by("m.old_path", F.struct("m.at", "m.old_path")).alias("old_path")))
-        names.append(named.drop("old_path"))
-        newest = named.where("old_path is not null").select("repo", "asked", F.col("old_path").alias("path"), F.col("until").alias("after"))
-        if newest.isEmpty():
-            out = names[0]
-            for more in names[1:]:
-                out = out.unionByName(more)
-            return out
+    key = ["repo", "at", "path"]
+    moves = cut(touched.where("old_path is not null").groupBy("repo", F.col("commit").alias("at"), "path").agg(F.min("old_path").alias("old_path")))
+    # Of each move the one before it: the nearest older one that gave the name it took the file from. Newest first, older
+    # is a greater commit; from the oldest on, the last naming passed is the nearest.
+    events = moves.select("repo", F.col("path").alias("name"), "at", F.lit(True).alias("gives"), F.lit(None).cast("string").alias("path")).unionByName(
+        moves.select("repo", F.col("old_path").alias("name"), "at", F.lit(False).alias("gives"), "path"))
+    passed = Window.partitionBy("repo", "name").orderBy(F.desc("at"), "gives").rowsBetween(Window.unboundedPreceding, -1)
+    nearest = events.withColumn("_at", F.last(F.when(F.col("gives"), F.col("at")), ignorenulls=True).over(passed)).where("not gives")
+    pointer = cut(nearest.where("_at is not null").select(*key, F.col("_at").alias("to_at"), F.col("name").alias("to_path")))
+    # The last move of each asked file, and by doubled pointers all before it: as many rounds as the logarithm of the renames.
+    asked = paths.select("repo", F.col("path").alias("asked")).distinct()
+    newest = moves.groupBy("repo", "path").agg(F.min("at").alias("at"))
+    found = cut(asked.join(newest.withColumn("asked", F.col("path")), ["repo", "asked"]).select("repo", "asked", "at", "path"))
+    jump = pointer
+    while not jump.isEmpty():
+        more = found.join(jump, key).select("repo", "asked", F.col("to_at").alias("at"), F.col("to_path").alias("path"))
+        found = cut(found.unionByName(more))
+        onward = jump.select("repo", F.col("at").alias("to_at"), F.col("path").alias("to_path"), F.col("to_at").alias("_at"), F.col("to_path").alias("_path"))
+        jump = cut(jump.join(onward, ["repo", "to_at", "to_path"]).select(*key, F.col("_at").alias("to_at"), F.col("_path").alias("to_path")))
+    earlier = found.join(moves, key).join(pointer, key, "left").select(
+        "repo", "asked", F.col("old_path").alias("path"), F.col("at").alias("after"), F.col("to_at").alias("until"))
+    present = asked.join(newest.select("repo", F.col("path").alias("asked"), F.col("at").alias("until")), ["repo", "asked"], "left")
+    return present.select("repo", "asked", F.col("asked").alias("path"), F.lit(None).cast(moves.schema["at"].dataType).alias("after"), "until").unionByName(earlier)
 
 
 def file_commits(lines: DataFrame, paths: DataFrame | None = None, strict: bool = False) -> DataFrame:

@@ -12,6 +12,7 @@ from graphloom.operators.extract import extract_facts, graph_of_facts
 from graphloom.schema import ENTITY, RELATION
 from graphloom.session import cut
 from graphloom.sinks.store import GraphStore, upsert_delta
+from graphloom.sources.tree import as_files
 
 
 class Update(NamedTuple):
@@ -163,6 +164,19 @@ def update_store(
     return Update(store.snapshot(), found.manifest, found.changes)
 
 
+def update_changed(
+    store: GraphStore, changed: DataFrame, *, purge_modified: bool = False, title_fallback: str = "stem", **options,
+) -> int:
+    """Commit what changed files (project, path, content; null content: gone) bring; the generation."""
+    if not store.commits():
+        store.create(Graph.empty(changed.sparkSession))
+    generation = store.commits()[-1].generation + 1
+    gone = changed if purge_modified else changed.where("content is null")
+    files = as_files(changed.where("content is not null"))
+    new = graph_of_facts(cut(extract_facts(files, title_fallback, **options)))
+    return store.commit(upsert_delta(store.snapshot(), new, gone.select("project", "path"), generation))
+
+
 def update_manifest(manifest: DataFrame, current: DataFrame, changes: DataFrame) -> DataFrame:
     """The old manifest with current hashes put in and deleted paths taken out."""
     on = ["project", "path"]

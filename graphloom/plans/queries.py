@@ -21,10 +21,12 @@ from graphloom.schema import (
 from graphloom.session import checkpoint_dir, cut
 from graphloom.sinks import lines as line_sinks
 from graphloom.sinks import tables as table_sinks
+from graphloom.sinks.store import GraphStore
 from graphloom.sources.gitlog import read_git_log
-from graphloom.sources.graphs import read_graph, read_manifest
-from graphloom.sources.tree import parse_documents, scan_projects, scan_tree
-from graphloom.streaming.changes import debounce, debounce_stream, watch_changes, watch_filter
+from graphloom.sources.graphs import read_flow, read_graph, read_manifest
+from graphloom.sources.tree import as_files, parse_documents, scan_projects, scan_tree
+from graphloom.sources.watched import watch_tree
+from graphloom.streaming.changes import debounce, debounce_stream, watch_and_update, watch_changes, watch_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -131,6 +133,25 @@ def stored_flow(c):
     return c.spark.read.json(f"{path}/api_endpoints").select("method", "route", "handler")
 
 
+@query("""
+    select 'Order' || cast(o_orderkey as varchar) || '.' || name as entry_point, cast(depth as bigint) as depth, step
+    from orders, lateral (values
+        ('order', 0, 'Order' || cast(o_orderkey as varchar) || '.order_' || cast(o_orderkey as varchar)),
+        ('order', 1, 'customer_' || cast(o_custkey as varchar)), ('order', 1, 'status_' || o_orderstatus),
+        ('order', 2, 'nation_' || cast((select c_nationkey from customer where c_custkey = o_custkey) as varchar)),
+        ('order', 3, 'region_' || cast((select n_regionkey from customer join nation on n_nationkey = c_nationkey where c_custkey = o_custkey) as varchar)),
+        ('total', 0, 'Order' || cast(o_orderkey as varchar) || '.total'), ('total', 1, 'Order' || cast(o_orderkey as varchar) || '.price'),
+        ('total', 2, 'status_' || o_orderstatus),
+        ('price', 0, 'Order' || cast(o_orderkey as varchar) || '.price'), ('price', 1, 'status_' || o_orderstatus)) as m(method, depth, step),
+        lateral (select case method when 'order' then 'order_' || cast(o_orderkey as varchar) else method end as name) as n
+""")
+def stored_chains(c):
+    path, files = _folder(c), c.files("code")
+    endpoints, index = _endpoints(files), _index(files)
+    table_sinks.write_flow(endpoints, callflow.call_chains(index)[1], path)
+    return read_flow(c.spark, path)[1].select("entry_point", "depth", "step")
+
+
 @query('select line, count(*) as "count" from log group by 1', "log")
 def stored_log(c):
     path = _folder(c)
@@ -164,6 +185,13 @@ def scanned_tree(c):
     return _line_counts(scan_tree(c.spark, _written_texts(c), project="texts", extensions=["txt"]))
 
 
+@query(_TEXT_LINES.format(source="'texts'"))
+def watched_tree(c):
+    """The same tree as a stream, drained."""
+    stream = watch_tree(c.spark, _written_texts(c), _folder(c), project="texts", extensions=["txt"])
+    return _line_counts(_drained(c, stream))
+
+
 @query("""
     select project, path, regexp_extract(content, '^# ([^\\n]*)', 1) as title, count(*) as headings from (
         select project, path, content, unnest(string_split(content, chr(10))) as line
@@ -393,6 +421,57 @@ def extracted_types(c):
     return graph.entities.groupBy("project", "type").agg(F.count("*").alias("count"))
 
 
+# All rules over Markdown pages, documents and code; of equal names the first file and rule counts.
+_ALL_FACTS = f"""
+    f as materialized (select project, path, content from md union all select project, path, content from notes),
+    hits as materialized ({_MENTIONS}),
+    titled as (select project, path, regexp_extract(content, '^# ([^\\n]*)', 1) as title from f),
+    page as (
+        select replace(p_brand, '#', '_') as project, 'docs/part_' || cast(p_partkey as varchar) || '.md' as path, p_name, p_type,
+               '/parts/' || cast(p_partkey as varchar) as route from part),
+    found as (
+        select project, path, 0 as kind, 0 as rule, title as name, 'Document' as type from titled
+        union all select project, path, 0, 1, term, type from hits
+        union all select project, path, 0, 2, route, 'API' from page
+        union all select project, path, 0, 3, 'dataflow build', 'Command' from page
+        union all select project, path, 0, 4, p_type, 'Module' from page
+        union all select source, 'notes/' || cast(doc_id as varchar) || '.md', 0, 4, 'Notes ' || lang, 'Module' from documents
+        union all select project, path, 0, 5, project, 'Module' from page
+        union all select 'shop', source_file, 1, 0, name, type from ({_CODE_ENTITIES}) code),
+    ents as materialized (
+        select project, arg_min(name, (kind, path, rule)) as name, type, arg_min(path, (kind, path, rule)) as source_file
+        from found group by project, lower(name), type),
+    links as (
+        select project, path, 0 as rule, title as source, term as target, 'uses' as type from hits join titled using (project, path)
+        union all select project, path, 2, p_name, route, 'contains' from page
+        union all select project, path, 4, p_name, p_type, 'contains' from page
+        union all select source, 'notes/' || cast(doc_id as varchar) || '.md', 4, 'Note ' || cast(doc_id as varchar), 'Notes ' || lang, 'contains' from documents
+        union all select project, path, 5, p_name, project, 'documents' from page
+        union all select 'shop', 'orders/order_' || cast(o_orderkey as varchar) || '.py', rule, source, target, type from orders, lateral (values
+            (1, 'order_' || cast(o_orderkey as varchar), 'Order' || cast(o_orderkey as varchar), 'contains'),
+            (2, 'Order' || cast(o_orderkey as varchar), 'BaseOrder', 'extends'),
+            (3, 'order_' || cast(o_orderkey as varchar), 'shop', 'depends_on'),
+            (4, 'order_' || cast(o_orderkey as varchar), 'customer_' || cast(o_custkey as varchar), 'depends_on')) as x(rule, source, target, type)),
+    rels as materialized (
+        select project, arg_min(source, (path, rule)) as source, arg_min(target, (path, rule)) as target, type, min(path) as source_file
+        from links group by project, lower(source), lower(target), type),
+    inferred as (
+        select a.project, a.name as source, b.name as target, 'uses' as type, 'inferred' as source_file
+        from ents a join ents b on a.project = b.project where a.type = 'Framework' and b.type = 'Database'
+        and not exists (select 1 from rels r where r.project = a.project and lower(r.source) = lower(a.name) and lower(r.target) = lower(b.name)))
+"""
+
+
+@query(f", {_ALL_FACTS} select project, name, type, source_file from ents", "md notes")
+def extracted_entities(c):
+    return extract.extract_graph(c.files("md", "notes", "code")).entities.select("project", "name", "type", "source_file")
+
+
+@query(f", {_ALL_FACTS} select * from rels union all select * from inferred", "md notes")
+def extracted_relations(c):
+    return extract.extract_graph(c.files("md", "notes", "code")).relations.select("project", "source", "target", "type", "source_file")
+
+
 @query(f"""
     select name, type, description, source_file from ({_CODE_ENTITIES}) code
     union all select 'Note ' || doc_id, 'Document', '文档: notes/' || doc_id || '.md', 'notes/' || doc_id || '.md' from documents
@@ -610,13 +689,13 @@ def list_projects(c):
 
 
 @query(f"""
-    , {_TOUCH}, top as (select *, row_number() over (partition by project, asked order by kind, pos) as rn from touch)
+    , {_TOUCH.replace("touch as (", "touch as materialized (", 1)}
     select project, asked, line from (
         select distinct project, asked, unnest(['graph LR', '    ' || replace(asked, '.', '_') || '["' || asked || '"]:::main',
                '    classDef main fill:#4CAF50,stroke:#388E3C,color:white', '    classDef related fill:#2196F3,stroke:#1565C0,color:white']) as line
         from touch
         union all select project, asked, unnest(['    ' || other || '["' || other || '"]:::related',
-               '    ' || asked || ' -->|' || type || '| ' || other]) from top) t
+               '    ' || asked || ' -->|' || type || '| ' || other]) from touch) t
 """, "ent rel")
 def ego_mermaid(c):
     return views.ego_lines(c.graph(), c.names()).select("project", "asked", "line")
@@ -950,10 +1029,10 @@ def diff_entities(c):
 
 
 @query("""
-    select coalesce(n.project, o.project) as project, coalesce(n.source, o.source) as source, coalesce(n.target, o.target) as target,
-           coalesce(n.type, o.type) as relation_type, case when o.source is null then 'added' else 'deleted' end as change_type
-    from rel_old o full outer join rel_new n on o.project = n.project and o.source = n.source and o.target = n.target and o.type = n.type
-    where o.source is null or n.source is null
+    , o as materialized (select project, source, target, type as relation_type from rel_old),
+    n as materialized (select project, source, target, type as relation_type from rel_new)
+    select *, 'added' as change_type from (select * from n except select * from o)
+    union all select *, 'deleted' from (select * from o except select * from n)
 """, "rel_old rel_new")
 def diff_relations(c):
     return diff.diff_relations(c.graph("ent_old", "rel_old"), c.graph("ent_new", "rel_new")).drop("description", "ord")
@@ -1226,6 +1305,80 @@ def apply_incremental(c):
     return update.graph.entities.select("project", "name", "type", "source_file")
 
 
+def _listings(c) -> tuple[DataFrame, DataFrame]:
+    """The documents as notes, as they were and as they are now."""
+    def notes(frame):
+        text = F.concat(F.lit("# Note "), "path", F.lit("\n"), "content")
+        return frame.select(
+            "project", "path", F.lit("md").alias("ext"), F.lit("md").alias("kind"), text.alias("content"), F.md5(text).alias("content_hash"))
+
+    old = c.table("documents").where("lang <> 'es'").select(
+        F.col("source").alias("project"), F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
+    return notes(old), notes(c.view("listing"))
+
+
+_NOTE_RULES = {"documents": {"rules": ["document", "mention"], "lexicon": PROSE_LEXICON}}
+_UPDATED = f"""
+    {_CHANGES}, old as (
+        select source as project, cast(doc_id as varchar) as path, text as content, 0 as g from documents where lang <> 'es'),
+    versions as (
+        select project, path, content, g from old o
+        where not exists (select 1 from changes c where c.project = o.project and c.path = o.path and c.change_type = 'deleted')
+        union all select l.project, l.path, l.content, 1 from listing l join changes c using (project, path) where c.change_type <> 'deleted'),
+    hits as (
+        select project, path, term, type, g from versions, (values {_terms(PROSE_LEXICON)}) as t(term, type)
+        where contains(lower('# Note ' || path || chr(10) || content), term)),
+    terms as (
+        select project, term as name, type, max(path) filter (g = last) as source_file
+        from (select *, max(g) over (partition by project, term) as last from hits) group by 1, 2, 3),
+    ents as (
+        select project, 'Note ' || path as name, 'Document' as type, path as source_file from versions group by all
+        union all select * from terms),
+    rels as (select distinct project, 'Note ' || path as source, term as target, 'uses' as type, path as source_file from hits)
+"""
+
+
+def _stored_updates(c):
+    """A graph store after two listings, a compaction and a third update without changes."""
+    old, new = _listings(c)
+    store = GraphStore(c.spark, _folder(c))
+    first = incremental.update_store(store, old, c.view("manifest").limit(0), **_NOTE_RULES)
+    second = incremental.update_store(store, new, first.manifest, **_NOTE_RULES)
+    store.compact()
+    store.vacuum()
+    return incremental.update_store(store, new, second.manifest, **_NOTE_RULES).graph
+
+
+@query(f", {_UPDATED} select * from ents", "listing manifest")
+def stored_updates_entities(c):
+    return _stored_updates(c).entities.select("project", "name", "type", "source_file")
+
+
+@query(f", {_UPDATED} select * from rels", "listing manifest")
+def stored_updates_relations(c):
+    return _stored_updates(c).relations.select("project", "source", "target", "type", "source_file")
+
+
+@query(f", {_UPDATED} select * from rels", "listing manifest")
+def watched_updates(c):
+    """The two listings as they come in a stream; every batch updates the store."""
+    store, path, manifests = GraphStore(c.spark, _folder(c)), _folder(c), [c.view("manifest").limit(0)]
+    for frame in _listings(c):
+        frame.coalesce(1).write.mode("append").parquet(path)
+
+    def load():
+        return _listings(c)[len(manifests) - 1], manifests[-1], store.snapshot()
+
+    def keep(update, batch_id):
+        manifests.append(update.manifest)
+        store.create(update.graph)
+
+    stream = c.spark.readStream.schema(_listings(c)[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+    writer = watch_and_update(stream, load, keep, _folder(c), **_NOTE_RULES)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return store.snapshot().relations.select("project", "source", "target", "type", "source_file")
+
+
 # --- streaming rules over tables --------------------------------------------
 
 
@@ -1378,6 +1531,22 @@ def code_endpoints(c):
     return callflow.code_endpoints(c.files("code")).select("method", "route", "handler", "file_path")
 
 
+@query("""
+    select upper(method) as method, '/' || place || '/' || cast(n_nationkey as varchar) as route, handler || case when handler = 'handler' then '' else '_' || cast(n_nationkey as varchar) end as handler
+    from nation, (values ('post', 'app', 'made'), ('put', 'flask', 'kept'), ('delete', 'router', 'gone'), ('get', 'express', 'handler')) as x(method, place, handler)
+""")
+def code_endpoints_all(c):
+    """Decorators of both kinds, routes with methods, and calls of an application object."""
+    key = F.col("n_nationkey").cast("string")
+    text = F.concat(
+        F.lit('@app.post("/app/'), key, F.lit('")\ndef made_'), key, F.lit("(x):\n    return x\n\n@app.route('/flask/"), key,
+        F.lit("', methods=['PUT'])\ndef kept_"), key, F.lit("(x):\n    return x\n\n@router.delete(\"/router/"), key,
+        F.lit('")\nasync def gone_'), key, F.lit("(x):\n    return x\n\napp.get('/express/"), key, F.lit("', (req, res) => res.send(1));\n"))
+    files = as_files(c.table("nation").select(
+        F.lit("web").alias("project"), F.concat(F.lit("n_"), key, F.lit(".py")).alias("path"), text.alias("content")))
+    return callflow.code_endpoints(files).select("method", "route", "handler")
+
+
 _LAST_ORDER = "(select max(cast(o_orderkey as varchar) || '.py') from orders)"
 _EDGES = f"""
     edges as (
@@ -1827,6 +1996,22 @@ def create_relations(c):
     return mutate.create_relations(c.graph(), requests).results.drop("project")
 
 
+@query("""
+    select project, source, target, type, 0 as gen from rel
+    union all select distinct ps.project, s_name, 'part#' || cast(l_partkey as varchar), 'supports', 1
+    from lineitem join supplier_of ps on ps.s_suppkey = l_suppkey join part_of pp on pp.p_partkey = l_partkey where ps.project = pp.project
+""", "rel supplier_of part_of")
+def created_relations(c):
+    """The graph with the relations that the requests create."""
+    requests = c.table("lineitem").join(c.view("supplier_of"), F.col("l_suppkey") == F.col("s_suppkey")).select(
+        "project", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("request_id"), F.col("s_name").alias("source"),
+        F.concat(F.lit("part#"), F.col("l_partkey").cast("string")).alias("target"), F.lit("supports").alias("type"),
+        F.lit(None).cast("string").alias("description"),
+    )
+    made = mutate.create_relations(c.graph(), requests).graph.relations
+    return made.select("project", "source", "target", "type", F.col("ord.gen").alias("gen"))
+
+
 @query("select project, source, target, type from rel where type <> 'belongs_to'", "rel")
 def delete_relations(c):
     requests = c.view("customer_of").select(
@@ -2010,3 +2195,18 @@ def plugin_extraction(c):
     )
     totals = plugins.extraction_totals(plugins.file_outcomes(registry.facts(files)))
     return totals.drop("relations")
+
+
+@query("""
+    select project, count(*) as entities, min(name) as first, '<' || project || '>' as shown from ent where type = 'Tool' group by 1
+""", "ent")
+def plugin_rendering(c):
+    """A registered exporter's files and a registered renderer's rows."""
+    registry, path = plugins.Registry(), _folder(c)
+    registry.register_exporter("names", lambda graph, to: graph.entities.select("project", "name", "type").write.json(to))
+    registry.register_renderer("tags", lambda graph, mark: graph.entities.select("project").distinct().select(
+        "project", F.concat(F.lit(mark[0]), "project", F.lit(mark[1])).alias("shown")))
+    registry.export("names", c.graph(), path)
+    names = c.spark.read.schema("project string, name string, type string").json(path).where("type = 'Tool'")
+    counts = names.groupBy("project").agg(F.count("*").alias("entities"), F.min("name").alias("first"))
+    return counts.join(registry.render("tags", c.graph(), mark="<>"), "project")

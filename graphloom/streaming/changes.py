@@ -17,8 +17,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from graphloom.functions.text import base_name, has_component
-from graphloom.operators.incremental import Update, apply_incremental
+from graphloom.operators.incremental import Update, apply_incremental, update_changed
 from graphloom.schema import WATCH_IGNORED, WATCHED_EXTENSIONS
+from graphloom.session import cut
+from graphloom.sinks.store import GraphStore
 
 # --- fixed values: defaults in seconds --------------------------------------
 DEBOUNCE_SECONDS = 1.0
@@ -373,3 +375,18 @@ def watch_and_update(
         .option("checkpointLocation", checkpoint)
         .trigger(processingTime=f"{cooldown} seconds")
     )
+
+
+def update_from_tree(changed: DataFrame, store: GraphStore, checkpoint: str, **options) -> DataStreamWriter:
+    """Update a graph store from a stream of changed files (see watch_tree), one generation per batch.
+
+    Rows without content take a file's rows out, others are extracted and upserted. A batch that is run again leaves
+    the store as it was. Call ``.start()`` on the result, with a trigger of at least the cooldown.
+    """
+    def update(batch: DataFrame, batch_id: int) -> None:
+        batch = cut(batch)
+        if not batch.isEmpty():
+            update_changed(store, batch, **options)
+
+    return changed.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint).trigger(
+        processingTime=f"{COOLDOWN_SECONDS} seconds")

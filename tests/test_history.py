@@ -1,8 +1,10 @@
+import random
 from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from graphloom.operators import history
+from graphloom.session import cut
 from graphloom.sources.gitlog import read_git_log
 from helpers import bag
 
@@ -71,6 +73,51 @@ def test_a_new_file_at_an_old_path_is_another(spark, folder):
         ("a.py", "c1"), ("a.py", "c3"), ("a.py", "c4"), ("b.py", "c1"), ("b.py", "c2")]
 
 
+def test_forty_renames_in_six_rounds(spark, folder, monkeypatch):
+    """A file renamed 40 times, its names used again by others; every round is one written table of reached moves."""
+    text = ""
+    for i in range(40, 0, -1):
+        text += f"m{i}|move|x@x.org|2024-01-01\n1\t0\tf{i - 1}.py => f{i}.py\n"
+        text += f"o{i}|other|x@x.org|2024-01-01\n1\t0\tf{i}.py\n" if i % 3 else ""
+    (Path(folder) / "repo.log").write_text(text + "c0|first|x@x.org|2024-01-01\n1\t0\tf0.py\n")
+    lines = read_git_log(spark, folder)
+    asked = spark.createDataFrame([("repo", "f40.py"), ("repo", "f20.py"), ("repo", "none.py")], "repo string, path string")
+    written = []
+    monkeypatch.setattr(history, "cut", lambda df: written.append(1) or cut(df))
+    found = history.file_commits(lines, asked)
+    assert len(written) <= 4 + 2 * 6
+    got = {f: {r["hash"] for r in found.where(F.col("file") == f).collect()} for f in ("f40.py", "f20.py", "none.py")}
+    # An f20.py edited before the name was given was another file, which the log knows no more of.
+    assert got["f40.py"] == {f"m{i}" for i in range(1, 41)} | {"c0"}
+    assert got["none.py"] == set()
+    assert got["f20.py"] == {f"m{i}" for i in range(1, 21)} | {"c0"}
+
+
+def plain_names(touched, asked):
+    """Names of a file with the commits they held for; commits grow towards the past."""
+    path, after, out = asked, -1, []
+    while True:
+        moves = sorted((at, old) for at, new, old in touched if new == path and old is not None and at > after)
+        out.append((path, after, moves[0][0] if moves else None))
+        if not moves:
+            return out
+        after, path = moves[0]
+
+
+def test_random_renames(spark):
+    rng = random.Random(12)
+    touched = []
+    for at in range(120):
+        for new, old in {(f"n{rng.randrange(9)}", rng.choice([None, f"n{rng.randrange(9)}"])) for _ in range(rng.randrange(3))}:
+            if not any(t[:2] == (at, new) for t in touched) and new != old:
+                touched.append((at, new, old))
+    frame = spark.createDataFrame([("r", at, new, old) for at, new, old in touched], "repo string, commit long, path string, old_path string")
+    asked = spark.createDataFrame([("r", f"n{i}") for i in range(10)], "repo string, path string")
+    got = history._names_over_time(frame, asked).collect()
+    want = [(f"n{i}", p, None if a < 0 else a, u) for i in range(10) for p, a, u in plain_names(touched, f"n{i}")]
+    assert sorted((tuple(r)[1:] for r in got), key=repr) == sorted(want, key=repr)
+
+
 def test_splits_of_one_log_keep_their_order(spark, folder):
     """A log read in many splits gives the same commits as one read whole."""
     text = "".join(

@@ -36,10 +36,11 @@ def test_oracles_have_queries():
     assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
 
 
-def test_entry_without_the_subpackage():
-    """Without llm/ and the pipeline the other queries are there all the same."""
+@pytest.mark.parametrize("missing", ["graphloom.llm", "corpus_pipeline", "xxhash"])
+def test_entry_without_the_subpackage(missing):
+    """Without llm/, the pipeline or an extra they need the other queries are there all the same."""
     code = (
-        "import sys; sys.modules['graphloom.llm'] = None; import __spark_entry__ as e; "
+        f"import sys; sys.modules['{missing}'] = None; import __spark_entry__ as e; "
         "assert len(e.queries()) > 100 and not any(n.startswith('op') for n in e.queries()) and 'pipeline' not in e.oracle_sql()"
     )
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
