@@ -177,3 +177,19 @@ def test_no_similar_documents(no_documents):
 def test_empty_tables(no_documents):
     assert simhash.near_duplicates(no_documents).collect() == []
     assert repeats.remove_repeats(no_documents).collect() == []
+
+
+def test_sketches_drop_only_what_is_apart():
+    """Pairs of sets of many sizes: none that is 4/5 alike is dropped, few of those far apart stay."""
+    rng = np.random.default_rng(3)
+    stay = far = 0
+    for size in [0, 1, 2, 5, 40, 300, 2000, 20_000]:
+        for share in [0.0, 0.3, 0.6, 0.7, 0.78, 0.8, 0.82, 0.9, 1.0]:
+            for other in {size, int(size * 0.85), int(size * 1.2)}:
+                a = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+                b = np.unique(np.concatenate([a[: int(len(a) * share)], rng.integers(0, 1 << 63, max(other - int(len(a) * share), 0)).astype(np.uint64)]))
+                kept = jaccard.possible(jaccard.sketch(a), jaccard.sketch(b), len(a) + len(b))
+                assert kept or not jaccard.similar(a, b)
+                if size >= 300 and len(np.intersect1d(a, b)) < 0.65 * len(np.union1d(a, b)):
+                    far, stay = far + 1, stay + kept
+    assert far > 20 and stay == 0
