@@ -229,6 +229,8 @@ def data_flows(routes: DataFrame, services: DataFrame) -> DataFrame:
         F.col("call.service_calls").alias("service_call"), plain(F.col("call.service_receivers")).alias("owner"),
     )
     methods = services.select("project", F.col("name").alias("service_call"), "class_name", "db_operations", "file_path")
+    # Looked up twice, so the service files are read once; a few columns of what they hold.
+    methods = methods if hasattr(services, "stored_at") else cut(methods)
     owners = F.array_distinct(F.array(plain(F.col("class_name")), plain(file_stem(F.col("file_path")))))
     owned = methods.select("project", "service_call", "class_name", "db_operations", F.explode(owners).alias("owner"))
     sole = methods.groupBy("project", "service_call").agg(
@@ -309,6 +311,94 @@ def report_lines(report: Report) -> DataFrame:
     return out
 
 
+# --- fixed values: texts of the report --------------------------------------
+REPORT_HEAD = ["# 接口数据流分析报告", "", "## 一、API端点汇总", "", "| 方法 | 路径 | 处理函数 | 描述 |", "|------|------|----------|------|"]
+REPORT_FLOWS = ["", "## 二、接口详细数据流", ""]
+REPORT_SERVICES = ["", "## 三、服务层分析", ""]
+REPORT_MODELS = ["", "## 四、数据模型", ""]
+REPORT_METHODS = ["", "| 方法 | 调用的方法 | 数据库操作 |", "|------|-----------|-----------|"]
+REPORT_ARROW = "    ↓"
+# --- end of fixed values ----------------------------------------------------
+
+
+def document_lines(report: Report, calls: int | None = None, fields: int | None = None) -> DataFrame:
+    """The report in full as Markdown line rows (project, section, place, line), in order of section and place.
+
+    Endpoints stand under the module of their file, methods under their class, fields under their model, all or the first
+    ``calls`` and ``fields`` of each. An endpoint's flow names every service call and every database operation.
+    """
+    def key(group, item, slot, n) -> Column:
+        """Place within a section: group, item in it, part of the item, number in the part."""
+        return F.struct(group.alias("group"), item.alias("item"), F.lit(slot).alias("slot"), n.cast("long").alias("n"))
+
+    def rows(frame, section, group, item, slot, texts) -> DataFrame:
+        items = F.array_compact(F.array(*[t if isinstance(t, Column) else F.lit(t) for t in texts]))
+        exploded = frame.withColumns({"_g": group, "_i": item}).select("project", "_g", "_i", F.posexplode(items).alias("_n", "line"))
+        return exploded.select("project", F.lit(section).alias("section"), key(F.col("_g"), F.col("_i"), slot, F.col("_n")).alias("place"), "line")
+
+    def each(frame, section, group, item, slot, n, line) -> DataFrame:
+        return frame.select("project", F.lit(section).alias("section"), key(group, item, slot, n).alias("place"), line.alias("line"))
+
+    def listed(column: Column) -> Column:
+        return F.when(F.size(column) > 0, F.array_join(column, ", ")).otherwise("-")
+
+    nothing, first = order_key(), F.lit(0)
+    projects = report.endpoints.select("project").union(report.services.select("project")).union(report.models.select("project")).distinct()
+    heads = [rows(projects, s, nothing, nothing, 0, t) for s, t in ((0, REPORT_HEAD), (2, REPORT_FLOWS), (4, REPORT_SERVICES), (6, REPORT_MODELS))]
+
+    endpoints = report.endpoints.withColumn("module", file_stem(F.col("ord.path")))
+    modules = endpoints.groupBy("project", "module").agg(F.min("ord").alias("start"))
+    endpoints = endpoints.join(modules, ["project", "module"])
+    start, own = F.col("start"), F.col("ord")
+    told = F.array(
+        F.lit(""), F.format_string("#### %s %s", "method", "route"), F.lit(""), F.format_string("- **处理函数**: `%s`", "handler"),
+        F.when(F.coalesce("description", F.lit("")) != "", F.concat(F.lit("- **描述**: "), "description")),
+        F.when(F.col("request_body").isNotNull(), F.format_string("- **请求体**: `%s`", "request_body")),
+        F.when(F.size("dependencies") > 0, F.concat(F.lit("- **依赖**: "), F.array_join("dependencies", ", "))),
+        F.lit(""), F.lit("**数据流向:**"), F.lit("```"), F.format_string("前端请求 → %s %s", "method", "route"), F.lit(REPORT_ARROW),
+        F.format_string("路由处理器: %s()", "handler"))
+    flows = report.flows.where("service_call is not null").join(endpoints.select("project", "ord", "start"), ["project", "ord"])
+    some = flows.select("project", "ord", "start").distinct()
+    # Operations in the order of their markers; there are as many as markers at most.
+    operations = flows.groupBy("project", "ord", "start").agg(F.collect_set(F.array_join("db_operations", ",")).alias("_all"))
+    named = F.array_intersect(F.array(*[F.lit(op) for _, op in DB_MARKERS]), F.split(F.array_join("_all", ","), ","))
+    operations = operations.withColumn("_ops", named).where(F.size("_ops") > 0)
+    detail = [
+        rows(modules, 3, start, nothing, 0, ["", F.format_string("### %s 模块", "module"), ""]),
+        rows(endpoints, 3, start, own, 1, [F.get(F.array_compact(told), F.lit(i)) for i in range(13)]),
+        rows(some, 3, start, own, 2, [REPORT_ARROW, "服务层调用:"]),
+        each(flows, 3, start, own, 3, F.col("call_no"), F.format_string("      - %s()", "service_call")),
+        rows(operations, 3, start, own, 4, [REPORT_ARROW, F.concat(F.lit("数据库操作: "), F.array_join("_ops", ", "))]),
+        rows(endpoints, 3, start, own, 5, [REPORT_ARROW, "返回响应", "```"]),
+    ]
+
+    classes = report.services.groupBy("project", "class_name").agg(
+        F.min("ord").alias("start"), F.min_by("file_path", "ord").alias("file_path"), F.count("*").alias("methods"))
+    methods = report.services.join(classes.select("project", "class_name", "start"), ["project", "class_name"])
+    shown = F.col("calls") if calls is None else F.slice("calls", 1, calls)
+    detail += [
+        rows(classes, 5, start, nothing, 0, [
+            "", F.format_string("### %s", "class_name"), "", F.format_string("- **文件**: `%s`", "file_path"),
+            F.format_string("- **方法数量**: %d", "methods"), *REPORT_METHODS]),
+        each(methods, 5, start, own, 1, first, F.format_string("| `%s` | %s | %s |", "name", listed(shown), listed(F.col("db_operations")))),
+    ]
+    shown = F.col("fields") if fields is None else F.slice("fields", 1, fields)
+    field = F.transform(shown, lambda f: F.format_string("  - `%s`: %s", f["name"], F.coalesce(f["type"], f["definition"], F.lit(""))))
+    defined = report.models.withColumn("_n_fields", F.size("fields"))
+    detail += [
+        rows(defined, 7, own, nothing, 0, [
+            "", F.format_string("### %s (%s)", "name", "kind"), "", F.format_string("- **文件**: `%s`", "file_path"),
+            F.when(F.col("_n_fields") > 0, F.lit("- **字段**:"))]),
+        defined.select("project", "ord", F.posexplode(field).alias("_n", "line")).select(
+            "project", F.lit(7).alias("section"), key(own, nothing, 1, F.col("_n")).alias("place"), "line"),
+    ]
+    endpoint = F.format_string("| %s | `%s` | `%s` | %s |", "method", "route", "handler", F.coalesce("description", F.lit("")))
+    out = each(endpoints, 1, nothing, own, 0, first, endpoint)
+    for part in [*heads, *detail]:
+        out = out.unionByName(part)
+    return out
+
+
 def dataflow_graph(routes: DataFrame, services: DataFrame) -> FlowGraph:
     """Nodes front end, routes, services and database of each project, and the edges between them.
 
