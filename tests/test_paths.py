@@ -5,7 +5,8 @@ from random import Random
 
 import pytest
 
-from graphloom.functions.paths import Buckets, chains, distances
+from graphloom.functions import paths
+from graphloom.functions.paths import Buckets, by_caller, chains, distances
 
 
 def plain(starts, edges, most=None):
@@ -65,6 +66,25 @@ def test_random_graphs(spark, most):
     assert found(spark, starts, edges, most) == plain(starts, edges, most)
 
 
+def test_shallow_graphs_take_no_chains_out(spark, monkeypatch):
+    """Written edges serve several searches; chains are looked for only where a way is longer than PLAIN."""
+    monkeypatch.setattr(paths, "chains", lambda *_: pytest.fail("chains of a shallow graph"))
+    edges = [("p", f"a{i}", f"a{i + 1}") for i in range(paths.PLAIN - 1)] + [("p", "a0", "b"), ("q", "a0", "a1")]
+    written = by_caller(spark.createDataFrame(edges, "project string, caller string, callee string"))
+    for starts in ([("p", "S", "a0"), ("q", "S", "a0")], [("p", "T", "a3"), ("p", "b", "b")]):
+        rows = distances(spark.createDataFrame(starts, "project string, start string, node string"), written)
+        assert sorted(map(tuple, rows.collect())) == plain(starts, edges)
+    written.close()
+
+
+def test_starts_on_both_sides_of_the_last_plain_round(spark):
+    """Long chains that end in themselves, in the start or in what was found before, by ways of other lengths."""
+    edges = cycle(40) + [("p", f"d{i}", f"d{i + 1}") for i in range(30)] + [
+        ("p", "d30", "d2"), ("p", "d9", "c3"), ("p", "c20", "d0"), ("p", "d0", "d25"), ("p", "c39", "e"), ("p", "e", "c35")]
+    starts = [("p", n, n) for n in ("c0", "c8", "c9", "c31", "d0", "d1", "d8", "d30", "e")]
+    assert found(spark, starts, edges) == plain(starts, edges)
+
+
 def test_empty(spark):
     assert found(spark, [], [("p", "a", "b")]) == []
     assert found(spark, [("p", "s", "a")], []) == [("p", "s", "a", 0)]
