@@ -13,7 +13,7 @@ Copies share a fingerprint and are one node. Lists are joined by Spark, split wh
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -34,6 +34,19 @@ _STEP = 1 << 18
 GROUPS = [g for g in combinations(range(_BYTES), _BYTES // 2) if g[0] ^ g[1] ^ g[2] ^ g[3] == 0]
 
 
+def majority(parts: Iterable[np.ndarray], total: int) -> int:
+    """The bits that are set in over half of ``total`` 64-bit hashes, which come in parts, as an unsigned number."""
+    counts = np.zeros(64, np.int64)
+    for h in parts:
+        counts += np.unpackbits(h.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > total, bitorder="little").view("<u8")[0])
+
+
+def of_hashes(hashes: np.ndarray) -> int:
+    """SimHash of the hashes of a text's shingles; 0 for none."""
+    return majority((hashes[low : low + _STEP] for low in range(0, len(hashes), _STEP)), len(hashes))
+
+
 def fingerprint(text: bytes, size: int = SHINGLE) -> int:
     """SimHash of a text's word shingles, as an unsigned number; 0 without words."""
     normal = b" ".join(text.lower().split())
@@ -46,13 +59,14 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
         starts, ends = starts[: len(starts) - size + 1], ends[size - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
-    counts, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
-    for low in range(0, len(starts), _STEP):
-        pairs = zip(starts[low : low + _STEP].tolist(), ends[low : low + _STEP].tolist(), strict=True)
-        h = np.array([digest(normal[s:e], SEED) for s, e in pairs], "<u8")
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = np.packbits(2 * counts > len(starts), bitorder="little")
-    return int(bits.view("<u8")[0])
+    digest = xxhash.xxh64_intdigest
+
+    def hashes() -> Iterator[np.ndarray]:
+        for low in range(0, len(starts), _STEP):
+            pairs = zip(starts[low : low + _STEP].tolist(), ends[low : low + _STEP].tolist(), strict=True)
+            yield np.array([digest(normal[s:e], SEED) for s, e in pairs], "<u8")
+
+    return majority(hashes(), len(starts))
 
 
 def _fingerprints(names: list[str], column: str, size: int):

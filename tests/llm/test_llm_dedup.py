@@ -2,6 +2,7 @@
 
 from collections import defaultdict
 from itertools import combinations
+from random import Random
 
 import numpy as np
 import pytest
@@ -170,6 +171,36 @@ def test_similar_edited_copies(spark, sample):
     assert sorted(map(tuple, jaccard.near_duplicates(frame, sample=sample).collect())) == plain_similar(rows)
 
 
+def test_similar_by_fingerprint(spark, monkeypatch):
+    """Near fingerprints are met through their index and checked on the sets: it gives no dissimilar pair and decides nothing alone."""
+    rng = Random(4)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    rows = [(i, " ".join(w if k != 7 * i else "x" for k, w in enumerate(base))) for i in range(1, 9)]
+    rows += [(100 + i, " ".join(f"v{rng.randrange(10**6)}" for _ in range(50))) for i in range(10)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    met, join = [], jaccard._by_fingerprint
+    monkeypatch.setattr(jaccard, "_by_fingerprint", lambda texts: met.append(join(texts)) or met[0])
+    monkeypatch.setattr(jaccard, "discard", lambda *_: None)
+    assert sorted(map(tuple, jaccard.near_duplicates(frame).collect())) == plain_similar(rows)
+    assert met[0].count() > 0
+
+
+def test_pairs_of_a_list_come_once(spark, monkeypatch):
+    """Texts that share much and are not alike: each pair is a candidate once, however many members they share."""
+    rng = Random(5)
+    rows = []
+    for i in range(12):
+        base = [f"w{k}" for k in range(1000)]
+        for k in rng.sample(range(0, 1000, 5), 15):
+            base[k] = f"x{i}_{k}"
+        rows.append((i, " ".join(base)))
+    asked, settled = [], jaccard._settled
+    monkeypatch.setattr(jaccard, "_settled", lambda pairs, *rest: asked.append((pairs.count(), pairs.distinct().count())) or settled(pairs, *rest))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.near_duplicates(frame).collect())) == plain_similar(rows)
+    assert asked[-1][0] == asked[-1][1] > 0
+
+
 def test_no_similar_documents(no_documents):
     assert jaccard.near_duplicates(no_documents).collect() == []
 
