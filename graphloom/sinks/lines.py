@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from graphloom.graph import Graph
 from graphloom.schema import order_key
+from graphloom.session import cut
 
 
 def write_lines(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -106,7 +107,8 @@ def cypher_lines(graph: Graph) -> DataFrame:
 
 def _items(frame: DataFrame, section: int, fields: list[str]) -> DataFrame:
     """JSON array elements, a comma before every element but a project's first."""
-    first = frame.groupBy("project").agg(F.min("ord").alias("_first"))
+    # Written, so that the planner sees how few rows it has and does not deal out all elements by project.
+    first = cut(frame.groupBy("project").agg(F.min("ord").alias("_first")))
     body = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
     line = F.concat(F.when(F.col("ord") == F.col("_first"), "").otherwise(","), body)
     return _row_lines(frame.join(first, "project"), section, line)
@@ -117,6 +119,8 @@ def graph_json_lines(graph: Graph) -> DataFrame:
 
     Rows of a project must have distinct ``ord`` values, as extraction gives.
     """
+    # Read for the projects, the first places, the ranges and the lines themselves.
+    graph = Graph(cut(graph.entities), cut(graph.relations))
     projects = _projects(graph)
     return _stack(
         fixed_lines(projects, 0, ['{"entities": [']),

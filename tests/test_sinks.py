@@ -3,11 +3,13 @@ import json
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.operators import callflow, plugins, responses, views
 from graphloom.sinks import lines as sinks
 from graphloom.sinks import tables
 from graphloom.sources.graphs import read_graph, read_manifest
+from graphloom.sources.objects import read_elements
 from helpers import bag, files, graph, join
 
 
@@ -95,6 +97,29 @@ def test_json_files_in_splits(spark, folder, indent, tail):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+@pytest.mark.parametrize("chunk", [1, 40, 1 << 20])
+def test_json_elements_across_chunks(spark, folder, chunk):
+    """Chunks of a few bytes up to one for all; only what crosses their edges is shuffled, not the object's text."""
+    objects = {"a": [{"n": x, "more": {"b": [x, {"c": "}"}]}} for x in NASTY * 4], "b": [{"n": i} for i in range(3)]}
+    Path(folder, "in").mkdir()
+    for name, rows in objects.items():
+        Path(folder, "in", f"{name}.json").write_text(json.dumps({"first": rows, "k": {"z": 1}, "second": rows[:2]}, ensure_ascii=False))
+    unit = F.regexp_extract(F.col("_metadata.file_name"), r"(.*)\.json$", 1)
+    found = [(r.unit, r.name, r.pos, json.loads(r.element)) for r in read_elements(spark, f"{folder}/in", unit, chunk=chunk).collect()]
+    wanted = [(k, name, i, row) for k, rows in objects.items() for name, part in (("first", rows), ("second", rows[:2])) for i, row in enumerate(part)]
+    assert sorted(found, key=repr) == sorted(wanted, key=repr)
+
+
+def test_json_texts_are_not_shuffled(spark, folder):
+    """Elements of one chunk leave it without an exchange of their texts."""
+    Path(folder, "in").mkdir()
+    Path(folder, "in", "a.json").write_text(json.dumps({"rows": [{"n": i} for i in range(500)]}))
+    parts = read_elements(spark, f"{folder}/in", F.lit("a")).where("name = 'rows'")
+    assert parts.count() == 500
+    plan = parts._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Union" in plan
+
+
 def read_csv(folder, project):
     rows = []
     for part in sorted(Path(folder, f"project={project}").glob("part-*")):
