@@ -138,3 +138,13 @@ def test_regex_ranges(spark):
     for text, pattern, start, end in cases:
         row = spark.createDataFrame([(text,)], "t string").select(match_text(F.col("t"), pattern, use_regex=True).alias("m")).first()
         assert (row.m.match_type, row.m.start, row.m.end) == ("regex", start, end), (text, pattern)
+
+
+def test_strip_takes_unicode_white_space_from_the_ends(spark):
+    """The same as the pattern it stands for, for every character of the first plane, without searching the text for it."""
+    ch = F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE")
+    texts = spark.range(1 << 16).where("id not between 55296 and 57343").select(
+        F.explode(F.array(ch, F.concat(ch, F.lit("a  b"), ch), F.concat(F.lit(" \n"), ch, F.lit("x"), ch, F.lit("y\t\r\n")))).alias("t"))
+    both = texts.select(strip(F.col("t")).alias("now"), F.regexp_replace("t", r"(?U)^\s+|\s+$", "").alias("pattern"))
+    assert both.where(~F.col("now").eqNullSafe(F.col("pattern"))).count() == 0
+    assert "regexp" not in texts.select(strip(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
