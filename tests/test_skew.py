@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.skew import split_join
 from graphloom.operators.dedupe import infer_relations
+from graphloom.session import prepare
 from helpers import bag, graph, join
 
 
@@ -35,3 +36,8 @@ def test_inference_in_one_large_project(spark):
     found = infer_relations(g).relations.where("type = 'uses'")
     assert found.count() == 40 * 300 - 1 + 1
     assert found.where("project = 'p' and source = 'f1'").count() == 299
+
+
+def test_tasks_are_measured_before_rows_widen(spark):
+    """16 MB of a shuffle a task: rows of keys become texts many times as wide behind it."""
+    assert prepare(spark).conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"
