@@ -41,3 +41,10 @@ def test_inference_in_one_large_project(spark):
 def test_tasks_are_measured_before_rows_widen(spark):
     """16 MB of a shuffle a task: rows of keys become texts many times as wide behind it."""
     assert prepare(spark).conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"
+
+
+def test_training_operators_keep_the_size_of_tasks(spark):
+    common = pytest.importorskip("graphloom.llm.common")
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    assert common.prepare(spark).conf.get(key) != "16m"
+    assert prepare(spark).conf.get(key) == "16m"
