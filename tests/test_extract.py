@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from graphloom.operators.dedupe import dedupe_entities, dedupe_relations, infer_relations
-from graphloom.operators.extract import extract_code, extract_documents, extract_graph, mention_lookup
+from graphloom.operators.extract import extract_code, extract_documents, extract_facts, extract_graph, mention_lookup
 from graphloom.sources.tree import decode_content, parse_documents, scan_projects, scan_tree
 from helpers import bag, files, graph
 
@@ -101,6 +101,25 @@ def test_code_rules(spark):
     assert quiet.relations.where("target = ''").count() == 0
 
 
+def test_a_text_is_searched_once_for_entities_and_relations(spark):
+    plan = extract_facts(files(spark, {"a.md": "# A", "b.py": "x"}))._jdf.queryExecution().analyzed().toString()
+    # Three endpoint patterns, two fences, three lists; classes, functions, imports. Lower case once, besides short names.
+    assert plan.count("regexp_extract_all(content") == 11
+    assert plan.count("lower(content") == 1
+
+
+def test_files_of_no_kind_are_read_as_code(spark):
+    rows = files(spark, {"a.py": "class A(B):\n    pass\n"}).withColumn("kind", F.lit(None).cast("string"))
+    assert bag(extract_facts(rows), "side", "name", "source", "type") == sorted(
+        [(0, "a", None, "Module"), (0, "A", None, "Module"), (1, None, "a", "contains"), (1, None, "A", "extends")], key=repr)
+
+
+def test_what_is_asked_of_a_type_groups_that_type_only(spark):
+    entities = graph(spark, [("a", "Module"), ("A", "Module"), ("b", "Tool")]).entities
+    plan = dedupe_entities(entities).where("type = 'Tool'")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("Filter")
+
+
 def test_long_fence_does_not_overflow(spark):
     text = "```bash\n" + "echo\n" * 40000 + "dataflow go\n```\n"
     g = extract_documents(files(spark, {"a.md": text}), rules=["command"])
