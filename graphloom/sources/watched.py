@@ -13,6 +13,7 @@ import time
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
@@ -21,6 +22,9 @@ from graphloom.schema import CODE_EXTENSIONS, IGNORED_DIRECTORIES
 
 SCHEMA = "project string, path string, content string, content_hash string, ts timestamp_ntz"
 FILES_PER_TASK = 256
+# Bytes of the files of one task, and of the texts that leave it at a time; a larger file goes by itself.
+BYTES_PER_TASK, BYTES_PER_BATCH = 32 << 20, 4 << 20
+_ARROW = pa.schema([*((name, pa.string()) for name in ("project", "path", "content", "content_hash")), ("ts", pa.timestamp("us"))])
 
 
 @dataclass
@@ -39,6 +43,11 @@ def _text(raw: bytes) -> str:
     return text.replace("\r\n", "\n").replace("\r", "\n")
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows), _ARROW.types)], schema=_ARROW) if rows \
+        else pa.RecordBatch.from_pylist([], schema=_ARROW)
+
+
 def _at(address: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(address if "://" in address or address.startswith("file:") else f"file://{address}")
 
@@ -92,23 +101,34 @@ class _TreeReader(DataSourceStreamReader):
         before, now = self._listing(start["tick"])["files"], self._listing(end["tick"])
         files = [(p, v[1], True) for p, v in sorted(now["files"].items()) if before.get(p) != v]
         files += [(p, now["at"], False) for p in sorted(before.keys() - now["files"].keys())]
-        return [_Files(files[i : i + self._per_task]) for i in range(0, len(files), self._per_task)] or [_Files([])]
-
-    def read(self, partition: _Files) -> Iterator[tuple]:
-        import datetime
-
+        parts, size = [[]], 0
+        for file in files:
+            more = now["files"][file[0]][0] if file[2] else 0
+            if parts[-1] and (len(parts[-1]) == self._per_task or size + more > BYTES_PER_TASK):
+                parts.append([])
+                size = 0
+            parts[-1].append(file)
+            size += more
+        return [_Files(part) for part in parts]
+
+    def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
         system, base = _at(self._root)
+        rows, size = [], 0
         for path, micros, there in partition.files:
-            ts = datetime.datetime(1970, 1, 1) + datetime.timedelta(microseconds=micros)
-            if not there:
-                yield self._project, path, None, None, ts
-                continue
-            try:
-                with system.open_input_stream(f"{base}/{path}") as stream:
-                    text = _text(stream.read())
-            except FileNotFoundError:
-                continue  # gone since it was listed: the next listing says so
-            yield self._project, path, text, hashlib.md5(text.encode()).hexdigest(), ts
+            text = None
+            if there:
+                try:
+                    with system.open_input_stream(f"{base}/{path}") as stream:
+                        text = _text(stream.read())
+                except FileNotFoundError:
+                    continue  # gone since it was listed: the next listing says so
+            # What goes to Spark at once is held three times over, so it is measured in bytes, not in rows.
+            if rows and size + len(text or "") > BYTES_PER_BATCH:
+                yield _batch(rows)
+                rows, size = [], 0
+            rows.append((self._project, path, text, None if text is None else hashlib.md5(text.encode()).hexdigest(), micros))
+            size += len(text or "")
+        yield _batch(rows)
 
     def commit(self, end: dict) -> None:
         """Listings before the one that the next batch starts from are no longer needed."""

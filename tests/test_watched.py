@@ -5,9 +5,12 @@ import shutil
 import time
 from pathlib import Path
 
+import pyarrow as pa
+
 from graphloom.graph import Graph
 from graphloom.operators import incremental
 from graphloom.sinks.store import GraphStore
+from graphloom.sources import watched
 from graphloom.sources.tree import scan_tree
 from graphloom.sources.watched import watch_tree
 from graphloom.streaming import changes
@@ -87,3 +90,20 @@ def test_a_store_kept_up_with_a_tree(spark, folder):
     shutil.rmtree(root)
     run(changes.update_from_tree(watch_tree(spark, root, f"{folder}/listings3", project="p"), again, f"{folder}/state3"))
     assert again.snapshot().entities.count() == 0
+
+
+def test_tasks_and_batches_are_measured_in_bytes(folder, monkeypatch):
+    monkeypatch.setattr(watched, "BYTES_PER_TASK", 1000)
+    monkeypatch.setattr(watched, "BYTES_PER_BATCH", 300)
+    sizes = [200, 200, 200, 200, 5000, 200, 0, 200]
+    put(f"{folder}/tree", {f"f{i}.md": chr(97 + i) * size for i, size in enumerate(sizes)}, int(time.time()) - 1000)
+    reader = watched._TreeReader({
+        "path": f"{folder}/tree", "listings": f"{folder}/listings", "project": "p", "extensions": '["md"]', "ignore": "[]", "files_per_task": "256"})
+    parts = reader.partitions(reader.initialOffset(), reader.latestOffset())
+    assert [[p for p, _, _ in part.files] for part in parts] == [["f0.md", "f1.md", "f2.md", "f3.md"], ["f4.md"], ["f5.md", "f6.md", "f7.md"]]
+    batches = [batch for part in parts for batch in reader.read(part)]
+    assert [batch.num_rows for batch in batches] == [1, 1, 1, 1, 1, 2, 1]
+    table = pa.Table.from_batches(batches)
+    assert [len(text) for text in table.column("content").to_pylist()] == sizes
+    assert [batch.num_rows for batch in reader.read(watched._Files([("gone.md", 0, True)]))] == [0]
+    assert next(reader.read(watched._Files([("f0.md", 5, False)]))).to_pylist()[0]["content"] is None
