@@ -1,12 +1,15 @@
 """Shortest ways against a breadth-first walk."""
 
+import time
 from collections import deque
 from random import Random
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.functions import paths
 from graphloom.functions.paths import Buckets, by_caller, chains, distances
+from graphloom.session import cut
 
 
 def plain(starts, edges, most=None):
@@ -85,6 +88,22 @@ def test_starts_on_both_sides_of_the_last_plain_round(spark):
     assert found(spark, starts, edges) == plain(starts, edges)
 
 
+def _shuffle_files(spark):
+    return spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").count("shuffle_")
+
+
+def test_shuffle_files_go_once_a_table_is_written(spark):
+    rows = spark.range(1000).select(F.lit("p").alias("project"), F.col("id").cast("string").alias("caller"), F.lit("x").alias("callee"))
+    before = _shuffle_files(spark)
+    cut(rows.repartition(3, "caller"))
+    by_caller(rows).close()
+    end = time.time() + 20
+    while _shuffle_files(spark) > before and time.time() < end:
+        time.sleep(0.2)
+    assert _shuffle_files(spark) <= before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_empty(spark):
     assert found(spark, [], [("p", "a", "b")]) == []
     assert found(spark, [("p", "s", "a")], []) == [("p", "s", "a", 0)]
