@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 
 from graphloom.operators import apiflow, callflow
@@ -98,6 +100,50 @@ def test_endpoints(spark):
         ("PUT", "/shelves/:no", "handler"), ("GET", "/authors", "handler")], key=repr)
 
 
+ODD = """@App.Get('/a')
+def a(): pass
+x@ROUTER.post("/b")
+async def b_2(y): pass
+@app.route('/c', METHODS=['put'])
+@myapp.get('/d')
+app.get('/e')
+@app.get('/f')
+App.get('/g')
+wrapapp.delete ( '/h' )
+"""
+
+
+def test_endpoints_in_odd_texts(spark):
+    rows = callflow.code_endpoints(files(spark, {"odd.py": ODD, "none.py": "def app(): pass\n", "last.py": "@app.get('/z')"}))
+    assert bag(rows, "method", "route", "handler") == sorted([
+        ("GET", "/a", "a"), ("POST", "/b", "b_2"), ("PUT", "/c", "unknown"), ("GET", "/d", "handler"), ("GET", "/e", "handler"),
+        ("GET", "/f", "unknown"), ("DELETE", "/h", "handler"), ("GET", "/z", "unknown")], key=repr)
+
+
+def test_texts_are_looked_through_only_where_they_may_match(spark):
+    plan = callflow.code_endpoints(files(spark, {"a.py": "x"}))._jdf.queryExecution().analyzed().toString()
+    assert len(re.findall(r"(?i)contains\(_lowered#", plan)) == len(callflow.ENDPOINTS)
+
+
+def test_calls_in_odd_texts(spark):
+    text = "a(b.c (d),e\t(1)) fé_1( if (g) x\U0001d4d0y(2) 3h() i j(k)"
+    frame = spark.createDataFrame([(text,)], "body string").select(callflow.function_calls(F.col("body")).alias("c"))
+    assert frame.first().c == sorted(["a", "c", "e", "fé_1", "x\U0001d4d0y", "3h", "j"])
+
+
+def test_chains_are_found_once(spark):
+    index = callflow.function_index(callflow.extract_functions(files(spark, {"app.py": SHELVES})))
+    for frame in callflow.call_chains(index):
+        assert "Aggregate" not in frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_steps_are_numbered_before_they_are_described(spark):
+    flows = callflow.analyze_flows(files(spark, {"app.py": SHELVES}))
+    plan = callflow.flow_lines(flows.endpoints, flows.endpoint_steps, flows.index)._jdf.queryExecution().analyzed().toString()
+    # The labels of the index are looked up for the lines, not for the number of steps as well.
+    assert plan.count("AS step_file") == 1 and "_part" not in plan
+
+
 def test_flows(spark):
     whole = callflow.analyze_flows(files(spark, {"app.py": SHELVES}))
     assert whole.endpoint_steps.where("route = '/shelves'").count() == 6
